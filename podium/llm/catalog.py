@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, license_scan, packing, quality
+from pyspark.sql import functions as F
+
+from . import language_id, license_scan, packing, quality, substring_dedup
 from .common import table
 
 
@@ -12,6 +14,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op3_substring_dedup(spark, sf_dir):
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
