@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, packing, quality, substring_dedup
+from . import language_id, license_scan, ngram_join, packing, quality, substring_dedup
 from .common import table
 
 
@@ -14,6 +14,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark, sf_dir):
     out = substring_dedup.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
