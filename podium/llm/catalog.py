@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, ngram_join, packing, quality, substring_dedup
+from . import language_id, license_scan, lm_score, ngram_join, packing, quality, substring_dedup
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_lm_score(spark, sf_dir):
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
