@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, lm_score, ngram_join, packing, quality, substring_dedup
+from . import embedding_dedup, language_id, license_scan, lm_score, ngram_join, packing, quality, substring_dedup
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_lm_score(spark, sf_dir):
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
