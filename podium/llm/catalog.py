@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, license_scan, lm_score, ngram_join, packing, quality, substring_dedup
+from . import decontaminate, embedding_dedup, language_id, license_scan, line_dedup, lm_score, ngram_join, packing, quality, substring_dedup
 from .common import table
 
 
@@ -14,6 +14,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_decontaminate(spark, sf_dir):
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_ngram_join(spark, sf_dir):
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,11 @@ def op5_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    out = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 

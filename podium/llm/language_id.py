@@ -131,11 +131,13 @@ def learn(docs: DataFrame, *, dims: int, n: int, seed: int) -> tuple[list[str],
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", dims: int = 1024, n: int = 3, seed: int = 7, folds: int = 5, passing: tuple[str, ...] = ()) -> DataFrame:
-    """id, held_out, lang_pred, score (cosine, 0 to 1) for each row of docs, and its columns named in ``passing``.
+    """id, held_out, lang_pred, score (cosine, 0 to 1) for each row of docs, and its columns named in ``passing`` (names other than
+    those four).
 
     Learns from text and lang of the rows whose crc32(id as text) mod folds is not 0.
     """
     common.ready(docs.sparkSession)
+    carried = [f"carried_{i}" for i in range(len(passing))]
     langs, prototypes = learn(docs.where(bucket_of(id_col, folds) != 0), dims=dims, n=n, seed=seed)
 
     def predict(batches):
@@ -153,11 +155,10 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", dims: int = 1024, n: in
                 best = cos.argmax(axis=1)
                 names += [langs[i] if s > 0 else UND for i, s in zip(best, size, strict=True)]
                 scores += np.where(size > 0, np.clip(cos.max(axis=1), 0, 1), 0).astype(float).tolist()
-            cols = [b.column(i) for i in range(2 + len(passing))]
-            yield pa.RecordBatch.from_arrays([cols[0], cols[1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), *cols[2:-1]], names=["id", "held_out", "lang_pred", "score", *passing])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *(b[c] for c in carried)], names=["id", "held_out", "lang_pred", "score", *carried])
 
     held = F.coalesce(bucket_of(id_col, folds) == 0, F.lit(False))
-    own = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), *passing, "text")
-    kinds = "".join(f", `{c}` {own.schema[c].dataType.simpleString()}" for c in passing)
+    own = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), "text", *(F.col(c).alias(x) for c, x in zip(passing, carried, strict=True)))
+    kinds = "".join(f", {x} {own.schema[x].dataType.simpleString()}" for x in carried)
     out = own.mapInArrow(predict, f"id {own.schema['id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double{kinds}")
-    return out.withColumnRenamed("id", id_col)
+    return out.select(F.col("id").alias(id_col), "held_out", "lang_pred", "score", *(F.col(x).alias(c) for c, x in zip(passing, carried, strict=True)))
