@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,7 @@ class Scratch:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         to = self.path(name)
         df.write.option("compression", "zstd").parquet(to)
+        self.spark._jvm.System.gc()  # shuffles that led here go when the driver notices that nobody needs them
         out = self.spark.read.schema(df.schema).parquet(to)
         out._podium_path = to
         return out
@@ -94,6 +96,33 @@ def ngram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out + np.uint64(width))
 
 
+class Words:
+    """Words of a batch of texts, hashed together: one array for all, with each word's text."""
+
+    def __init__(self, texts: list[bytes | None]):
+        self.words = [t.split() if t else [] for t in texts]
+        self.sizes = np.fromiter(map(len, self.words), dtype=np.int64, count=len(texts))
+        self.hashes = np.fromiter(map(_word_hash.__getitem__, chain.from_iterable(self.words)), dtype=np.uint64, count=int(self.sizes.sum()))
+        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        #: words from each word to the end of its text
+        self.left = np.repeat(self.starts + self.sizes, self.sizes) - np.arange(len(self.hashes))
+
+    def grams(self, k: int) -> np.ndarray:
+        """At each word the hash of the k words from there on; only meaningful where left >= k."""
+        out = np.zeros(max(0, len(self.hashes) - k + 1), dtype=np.uint64)
+        for i in range(k):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + self.hashes[i : i + len(out)] + np.uint64(i + 1))
+        return mix(out + np.uint64(k))
+
+    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, hash) of every run of k words, and of the whole of shorter texts."""
+        at = np.flatnonzero(self.left >= k)
+        short = np.flatnonzero((self.sizes > 0) & (self.sizes < k))
+        rest = [ngram_hashes(self.hashes[self.starts[i] : self.starts[i] + self.sizes[i]], k) for i in short]
+        return np.concatenate([self.owner[at], short]), np.concatenate([self.grams(k)[at], *rest])
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BANDS, ROWS = 6, 2
+BANDS, ROWS = 8, 3
+#: Nodes in candidate pairs up to which they are broadcast in order to fetch their lines (some 20 bytes each); beyond, by a shuffle.
+FEW = 1_000_000
 
 
 def once(value: Column, f) -> Column:
@@ -29,7 +31,7 @@ def once(value: Column, f) -> Column:
 
 def flips(n: int) -> list[int]:
     """Bit patterns whose leading bits differ, so that the minima under them are of different shingles."""
-    out = [((i << 60) | (0x0F3C5A69 * (2 * i + 1) << 16)) & common.M64 for i in range(n)]
+    out = [((i * 0x9E3779B97F4A7C15) ^ (0x0F3C5A69 * (2 * i + 1) << 16)) & common.M64 for i in range(n)]
     return [x - (1 << 64) if x >> 63 else x for x in out]
 
 
@@ -47,24 +49,27 @@ def located(docs: DataFrame, id_col: str) -> DataFrame:
 def links(lines: DataFrame, scratch: common.Scratch, *, q: int, threshold: float) -> DataFrame:
     """Pairs of nodes (a, b) with exact Jaccard from threshold on."""
     hashed = lines.select("node", F.explode(shingles(F.col("line"), q)).alias("s")).select("node", F.xxhash64("s").alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{i}") for i, x in enumerate(flips(BANDS * ROWS))]
+    # the upper halves are enough to compare
+    minima = [F.shiftright(F.min(F.col("h").bitwiseXOR(F.lit(x))), 32).cast("int").alias(f"m{i}") for i, x in enumerate(flips(BANDS * ROWS))]
     signed = hashed.groupBy("node").agg(*minima)
     bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
     entries = scratch.put(signed.select("node", F.explode(bands).alias("band")), "bands")
     pivots = entries.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     met = entries.join(pivots, "band").select("node", F.explode(F.array("lo", "hi")).alias("pivot")).where("node <> pivot")
     pairs = scratch.put(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
+    scratch.drop(entries)
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     first = lines.groupBy("node").agg(F.min(F.struct("place", "tag", "pos")).alias("at")).join(nodes, "node", "left_semi")
     first = scratch.put(first.select("node", "at.*"), "first")
-    texts = lines.select("place", "tag", "pos", "node", "line").join(first, ["place", "tag", "pos", "node"], "left_semi")
+    wanted = F.broadcast(first) if first.count() <= FEW else first
+    texts = lines.select("place", "tag", "pos", "node", "line").join(wanted, ["place", "tag", "pos", "node"], "left_semi")
     sets = scratch.put(texts.groupBy("node").agg(F.first("line").alias("line")).select("node", F.array_distinct(shingles(F.col("line"), q)).alias("s")), "sets")
     full = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     both = full.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("k"))
     return scratch.put(both.where(F.col("k") >= threshold * (F.col("n") + F.col("m") - F.col("k"))).select("a", "b"), "links")
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", q: int = 8, threshold: float = 0.8) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", q: int = 16, threshold: float = 0.8) -> DataFrame:
     """The rows of docs with text without its repeated lines, and n_lines and n_removed."""
     scratch = common.Scratch(docs.sparkSession)
     lines = located(docs, id_col)

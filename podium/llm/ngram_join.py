@@ -7,7 +7,7 @@ sets share one of the first n - ceil(J n) + 1, so lists of those are enough. The
 and large is where enumeration would cost more rows than scanning, by the measured list lengths.
 
 Equal sets are one node from the start, named by the 64-bit sum of their hashed n-grams (n-grams are
-compared by 64-bit hashes throughout). Lists are not expanded into pairs: each set is first tested
+counted by 64-bit hashes, and compared by 48 of these bits). Lists are not expanded into pairs: each set is first tested
 against the pivot of its lists, twice with different pivots; the components so found leave only pairs
 across components, which are generated under three exact bounds (sizes, components, and the Hamming
 distance of 512-bit parity sketches, which no symmetric difference undercuts) and then verified with
@@ -69,18 +69,30 @@ class Bounds:
             n += 1
 
 
-def shingles(text: bytes | None, k: int) -> np.ndarray:
-    words = text.lower().split() if text else ()
-    return np.unique(common.ngram_hashes(common.word_hashes(words), k)) if words else np.zeros(0, dtype=np.uint64)
+def sets_of(texts: list[bytes | None], k: int):
+    """(sorted distinct n-gram hashes, signature, parity words) of each text."""
+    owner, h = common.Words([t.lower() if t else t for t in texts]).shingles(k)
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    owner, h = owner[new], h[new]
+    edges = np.searchsorted(owner, np.arange(len(texts) + 1))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(common.mix(h + np.uint64(0x51ED270B)), dtype=np.uint64)])
+    sigs = common.signed(total[edges[1:]] - total[edges[:-1]])
+    bits = np.bincount(owner * 512 + (h >> np.uint64(20)).astype(np.int64) % 512, minlength=len(texts) * 512).astype(np.uint8) & 1
+    return h, edges, sigs, np.packbits(bits.reshape(-1, 512), axis=1).view(np.int64)
 
 
-def signature(s: np.ndarray) -> int:
-    return int(np.add.reduce(common.mix(s + np.uint64(0x51ED270B)), dtype=np.uint64).view(np.int64)) if len(s) else 0
+def stored(s: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes."""
+    return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
 
-def parity(s: np.ndarray) -> list[int]:
-    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & 511, minlength=512).astype(np.uint8) & 1
-    return np.packbits(bits).view(np.int64).tolist()
+def restored(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, 2:] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
 def batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
@@ -96,29 +108,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", k: int = 3, num:
     mask = (1 << SKETCH_BITS) - 1
 
     def survey(batches):
-        """Each document's set in brief; at the end of a task what it adds to the frequency sketch and the sample."""
-        names = ["kind", "id", "n", "sig", *PARITY]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.int64()] * 8]
-        counts, sample = np.zeros(mask + 1, dtype=np.int64), {}
+        """Each document's set; at the end of a task what it adds to the frequency sketch and the sample."""
+        names = ["kind", "id", "n", "sig", *PARITY, "items"]
+        counts, sample, done = np.zeros(mask + 1, dtype=np.int64), {}, set()
         for b in batches:
-            rows = []
-            for key, text in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                s = shingles(text, k)
-                rows.append((0, key, len(s), signature(s), *parity(s)))
-                if len(s):
-                    counts += np.bincount((s & np.uint64(mask)).astype(np.int64), minlength=mask + 1) if len(s) > 20_000 else 0
-                    if len(s) <= 20_000:
-                        np.add.at(counts, (s & np.uint64(mask)).astype(np.int64), 1)
-                    for x in s[(s >> np.uint64(50)) == 0].tolist():
-                        sample[x] = sample.get(x, 0) + 1
-            yield batch(names, kinds, rows)
+            h, edges, sigs, words = sets_of(b["text"].to_pylist(), k)
+            counts += np.bincount((h >> np.uint64(16)).astype(np.int64) & mask, minlength=mask + 1)
+            for x in h[(h >> np.uint64(50)) == 0].tolist():
+                sample[x] = sample.get(x, 0) + 1
+            items = []
+            for sig, a, z in zip(sigs.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                items.append(None if sig in done or a == z else stored(h[a:z]))
+                done.add(sig)
+            if len(done) > 500_000:
+                done.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sigs), dtype=np.int32)), b["id"], pa.array(edges[1:] - edges[:-1]), pa.array(sigs), *(pa.array(words[:, i]) for i in range(8)), pa.array(items, pa.binary())], names=names)
         at = np.flatnonzero(counts)
         none = lambda n: pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 1, dtype=np.int32)), pa.array(at), pa.array(counts[at]), *[none(len(at))] * 9], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 1, dtype=np.int32)), pa.array(at), pa.array(counts[at]), *[none(len(at))] * 9, pa.nulls(len(at), pa.binary())], names=names)
         own = np.fromiter(sample, dtype=np.uint64, count=len(sample))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), 2, dtype=np.int32)), pa.array(own.view(np.int64)), pa.array(np.fromiter(sample.values(), dtype=np.int64, count=len(own))), *[none(len(own))] * 9], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), 2, dtype=np.int32)), pa.array(own.view(np.int64)), pa.array(np.fromiter(sample.values(), dtype=np.int64, count=len(own))), *[none(len(own))] * 9, pa.nulls(len(own), pa.binary())], names=names)
 
-    seen = scratch.put(texts.mapInArrow(survey, "kind int, id long, n long, sig long, " + ", ".join(f"{p} long" for p in PARITY)), "survey")
+    seen = scratch.put(texts.mapInArrow(survey, "kind int, id long, n long, sig long, " + ", ".join(f"{p} long" for p in PARITY) + ", items binary"), "survey")
     sketch = np.zeros(mask + 1, dtype=np.int64)
     got = seen.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     sketch[got["id"].to_numpy()] = got["n"].to_numpy()
@@ -128,17 +139,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", k: int = 3, num:
     del sketch, got
 
     def keys(batches):
-        done: set[int] = set()
         for b in batches:
             out = [(np.zeros(0, dtype=np.uint64), 0, 0, False)]
-            for text in b["text"].to_pylist():
-                s = shingles(text, k)
-                n, sig = len(s), signature(s)
-                if not n or sig in done:
-                    continue
-                if len(done) > 500_000:
-                    done.clear()
-                done.add(sig)
+            for sig, n, data in zip(b["sig"].to_pylist(), b["n"].to_pylist(), b["items"].to_pylist(), strict=True):
+                s = restored(data)
                 if n <= boundary:
                     h = common.mix(s)
                     for m, leave in need.subsets(n, boundary):
@@ -146,14 +150,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", k: int = 3, num:
                         rest = np.array([h.sum(dtype=np.uint64) - h[list(c)].sum(dtype=np.uint64) for c in combinations(range(n), leave)], dtype=np.uint64)
                         out.append((common.mix(rest + common.mix(np.array([name]))), sig, n, True))
                 if n > boundary or need.most(n) > boundary:
-                    order = np.lexsort((s, own.value[(s & np.uint64(mask)).astype(np.int64)]))
-                    out.append((s[order[: need.prefix(n)]], sig, n, False))
+                    rank = own.value[(s >> np.uint64(16)).astype(np.int64) & mask]
+                    out.append((s[np.lexsort((s, rank))[: need.prefix(n)]], sig, n, False))
             size = [len(x[0]) for x in out]
             cols = [pa.array(common.signed(np.concatenate([x[0] for x in out])))]
             cols += [pa.array(np.repeat(np.array([x[i] for x in out], dtype=t), size)) for i, t in ((1, np.int64), (2, np.int64), (3, bool))]
             yield pa.RecordBatch.from_arrays(cols, names=["key", "sig", "n", "sure"])
 
-    posted = scratch.put(texts.select("text").mapInArrow(keys, "key long, sig long, n long, sure boolean"), "lists")
+    whole = seen.where("kind = 0 and items is not null").select("sig", "n", "items")
+    posted = scratch.put(whole.mapInArrow(keys, "key long, sig long, n long, sure boolean"), "lists")
     shared_keys = scratch.put(posted.groupBy("key", "sure").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("key", "sure"), "keys")
     key_bits = spark.sparkContext.broadcast(common.bitmap(shared_keys, "key", BITMAP_BITS))
 
@@ -163,38 +168,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", k: int = 3, num:
 
     perhaps = posted.mapInArrow(in_keys, "key long, sig long, n long, sure boolean")
     lists = scratch.put(perhaps.join(shared_keys, ["key", "sure"], "left_semi").distinct(), "shared")
+    scratch.drop(posted)
     meta = scratch.put(seen.where("kind = 0 and n > 0").groupBy("sig").agg(F.first("n").alias("n"), *(F.first(p).alias(p) for p in PARITY)).join(lists.select("sig").distinct(), "sig", "left_semi"), "meta")
-    sig_bits = spark.sparkContext.broadcast(common.bitmap(meta, "sig", BITMAP_BITS))
-
-    def wanted(batches):
-        done: set[int] = set()
-        for b in batches:
-            rows = []
-            for text in b["text"].to_pylist():
-                s = shingles(text, k)
-                sig = signature(s)
-                if len(s) and sig not in done and common.in_bitmap(sig_bits.value, np.array([sig], dtype=np.int64))[0]:
-                    done.add(sig)
-                    rows.append((sig, s.tobytes()))
-                if len(done) > 500_000:
-                    done.clear()
-            yield batch(["sig", "items"], [pa.int64(), pa.binary()], rows)
-
-    sets = scratch.put(texts.select("text").mapInArrow(wanted, "sig long, items binary").groupBy("sig").agg(F.first("items").alias("items")), "sets")
-
     def overlap(batches):
         for b in batches:
             ok = []
-            for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
+            for x, y, n, m in zip(b["x"].to_pylist(), b["y"].to_pylist(), b["an"].to_pylist(), b["bn"].to_pylist(), strict=True):
+                both = len(np.intersect1d(restored(x), restored(y), assume_unique=True))
+                ok.append(den * both >= num * (n + m - both))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        with_x = pairs.join(sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a")
-        with_y = with_x.join(sets.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b")
-        return scratch.put(with_y.select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long"), "links")
+        """Pairs that hold with whole sets, which are fetched for the sets in pairs alone."""
+        pairs = scratch.put(pairs, "pairs")
+        ids = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+        bits = spark.sparkContext.broadcast(common.bitmap(ids, "sig", BITMAP_BITS))
+
+        def wanted(batches):
+            for b in batches:
+                yield b.filter(pa.array(common.in_bitmap(bits.value, b["sig"].to_numpy())))
+
+        sets = scratch.put(whole.mapInArrow(wanted, "sig long, n long, items binary").dropDuplicates(["sig"]), "sets")
+        with_x = pairs.join(sets.select(F.col("sig").alias("a"), F.col("n").alias("an"), F.col("items").alias("x")), "a")
+        with_y = with_x.join(sets.select(F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("items").alias("y")), "b")
+        out = scratch.put(with_y.select("a", "b", "an", "bn", "x", "y").mapInArrow(overlap, "a long, b long"), "links")
+        scratch.drop(sets)
+        return out
 
     def near(a: str, b: str):
         """Bounds that every linked pair keeps."""

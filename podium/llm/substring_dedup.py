@@ -44,32 +44,35 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def runs(x: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin, none longer than LONGEST; and the end."""
-    cut = np.flatnonzero(x[1:] != x[:-1]) + 1
-    edges = np.concatenate([[0], cut, [len(x)]])
-    if (edges[1:] - edges[:-1]).max() > LONGEST:
-        edges = np.unique(np.concatenate([edges, *(np.arange(a, b, LONGEST) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > LONGEST)]))
-    return edges
+def runs(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Where runs of equal values of one owner begin, none longer than LONGEST; and the end."""
+    edges = np.concatenate([[0], np.flatnonzero((x[1:] != x[:-1]) | (owner[1:] != owner[:-1])) + 1, [len(x)]])
+    long = np.flatnonzero(edges[1:] - edges[:-1] > LONGEST)
+    return np.unique(np.concatenate([edges, *(np.arange(edges[i], edges[i + 1], LONGEST) for i in long)])) if len(long) else edges
 
 
-def grams(words: list[bytes], m: int) -> np.ndarray:
-    return common.ngram_hashes(common.word_hashes(words), m) >> np.uint64(1)
+def windows(words: common.Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of runs of m words, least of them in each window, places of windows within texts)."""
+    g = words.grams(m) >> np.uint64(1)
+    at = np.flatnonzero(words.left >= k)
+    return g, sliding_min(g, k - m + 1) if len(at) else g[:0], at
 
 
 def minimisers(texts: DataFrame, k: int, m: int) -> DataFrame:
+    """The minimiser at each place that is the least of some window."""
+
     def of(batches):
         for b in batches:
-            out = [np.zeros(0, dtype=np.uint64)]
-            for text in b["text"].to_pylist():
-                words = text.split() if text else ()
-                if len(words) >= k:
-                    g = grams(words, m)
-                    low = sliding_min(g, k - m + 1)
-                    out.append(low[runs(low)[:-1]])
-                    g.sort()  # what a document repeats can make one run of windows
-                    out.append(g[1:][g[1:] == g[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(common.signed(np.concatenate(out)))], names=["mini"])
+            words = common.Words(b["text"].to_pylist())
+            g, low, at = windows(words, k, m)
+            out = np.zeros(0, dtype=np.uint64)
+            if len(at):
+                # the greatest minimum of the windows over a place is the place's hash if that is a minimum
+                width = k - m + 1
+                low = np.where(words.left[: len(low)] >= k, low, np.uint64(0))
+                padded = np.concatenate([np.zeros(width - 1, dtype=np.uint64), low, np.zeros(width - 1, dtype=np.uint64)])
+                out = g[g == ~sliding_min(~padded, width)]
+            yield pa.RecordBatch.from_arrays([pa.array(common.signed(out))], names=["mini"])
 
     return texts.select("text").mapInArrow(of, "mini long")
 
@@ -99,34 +102,34 @@ def repeats(texts: DataFrame, scratch: common.Scratch, *, k: int, m: int) -> Dat
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=names)
 
         for b in batches:
-            for place, tag, text in zip(b["place"].to_pylist(), b["tag"].to_pylist(), b["text"].to_pylist(), strict=True):
-                words = text.split() if text else ()
-                if len(words) < k:
-                    continue
-                g = grams(words, m)
-                low = sliding_min(g, k - m + 1)
+            words = common.Words(b["text"].to_pylist())
+            g, low, at = windows(words, k, m)
+            if len(at):
+                low = low[at]
                 maybe = common.in_bitmap(bits.value, common.signed(low))
-                if not maybe.any():
-                    continue
                 if len(hot.value):
                     slot = np.minimum(np.searchsorted(hot.value, g), len(hot.value) - 1)
                     is_hot = hot.value[slot] == g
                     if is_hot.any():
-                        late = sliding_min(np.where(is_hot, g | TOP, g), k - m + 1)
+                        late = sliding_min(np.where(is_hot, g | TOP, g), k - m + 1)[at]
                         maybe |= (late & ~TOP) != low  # such minimisers weren't counted
                         low = late
-                edges = runs(low)
-                any_in = np.add.reduceat(maybe, edges[:-1]) > 0
-                for a, z, mini in zip(edges[:-1][any_in].tolist(), edges[1:][any_in].tolist(), common.signed(low[edges[:-1][any_in]]).tolist(), strict=True):
-                    packed = b" ".join(words[a : z + k - 1])
-                    at, old = (place, tag, a, z - a), first.get((mini, packed))
+                owner = words.owner[at]
+                edges = runs(low, owner)
+                sent_ = np.flatnonzero(np.add.reduceat(maybe, edges[:-1]) > 0)
+                places, tags = b["place"].to_pylist(), b["tag"].to_pylist()
+                begin, size = edges[sent_], edges[sent_ + 1] - edges[sent_]
+                docs_ = owner[begin]
+                for i, a, n, mini in zip(docs_.tolist(), (at[begin] - words.starts[docs_]).tolist(), size.tolist(), common.signed(low[begin]).tolist(), strict=True):
+                    packed = b" ".join(words.words[i][a : a + n + k - 1])
+                    here, old = (places[i], tags[i], a, n), first.get((mini, packed))
                     if old is None:
-                        first[mini, packed] = at
+                        first[mini, packed] = here
                         held += len(packed) + 200
-                    elif (place, a) == (old[0], old[2]):
-                        rows.append((mini, packed, *at, False))
+                    elif (here[0], a) == (old[0], old[2]):
+                        rows.append((mini, packed, *here, False))
                     else:
-                        early, later = (at, old) if (place, a) < (old[0], old[2]) else (old, at)
+                        early, later = (here, old) if (here[0], a) < (old[0], old[2]) else (old, here)
                         first[mini, packed] = early
                         rows.append((None, None, *later, True))
             yield flush(False)
