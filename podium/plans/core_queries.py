@@ -205,7 +205,7 @@ def _(t):
     return t.ranges.select("target", I.render(I.parse(text)).alias("lenient"), F.size(I.parse_strict(text)).alias("strict"))
 
 
-@query("str9_tag_trimming", "SELECT ord, CASE WHEN ends_with(sequence, 'GSHHHHHH') AND length(sequence) >= 38 THEN length(sequence) - 8 WHEN ends_with(sequence, 'GHHHHHH') AND length(sequence) >= 37 THEN length(sequence) - 7 WHEN ends_with(sequence, 'HHHHHH') AND length(sequence) >= 36 THEN length(sequence) - 6 ELSE length(sequence) END AS len FROM chains", "chains")
+@query("str9_tag_trimming", "SELECT ord, CAST(len64 AS INTEGER) AS len FROM (SELECT ord, CASE WHEN ends_with(sequence, 'GSHHHHHH') AND length(sequence) >= 38 THEN length(sequence) - 8 WHEN ends_with(sequence, 'GHHHHHH') AND length(sequence) >= 37 THEN length(sequence) - 7 WHEN ends_with(sequence, 'HHHHHH') AND length(sequence) >= 36 THEN length(sequence) - 6 ELSE length(sequence) END AS len64 FROM chains)", "chains")
 def _(t):
     got = t.chains.select("ord", Q.trimmed(F.col("sequence"), epitopes=True).alias("c"))
     return got.select("ord", F.length("c.sequence").alias("len"))
@@ -396,16 +396,15 @@ NAMES = "names AS (SELECT n_nationkey AS target_id, concat('/', CAST(n_nationkey
 
 @query(
     "join6_matches",
-    "WITH f AS (SELECT page_id, lower(regexp_extract(url, '[^/]*$')) AS name, list_transform(string_split(url, '/')[:-2], lambda x: lower(x)) AS dirs FROM pages), a AS (SELECT n_nationkey AS target_id, concat('p', CAST(n_nationkey AS VARCHAR)) AS alias, 0 AS place, 'exact' AS match_type FROM nation UNION ALL SELECT n_nationkey, CAST(1000 + n_nationkey AS VARCHAR), 1, 'lookup' FROM nation UNION ALL SELECT n_nationkey, concat('site', CAST(n_nationkey AS VARCHAR), '.example'), 2, 'official' FROM nation) SELECT page_id, target_id, min(place) AS place, arg_min(match_type, place) AS match_type FROM f JOIN a ON contains(name, alias) OR list_contains(dirs, alias) GROUP BY 1, 2",
+    "WITH f AS (SELECT page_id, lower(regexp_extract(url, '[^/]*$')) AS name, list_transform(string_split(url, '/')[:-2], lambda x: lower(x)) AS dirs FROM pages), a AS (SELECT n_nationkey AS target_id, CAST(n_nationkey + 60 AS VARCHAR) AS alias, 0 AS place, 'exact' AS match_type FROM nation UNION ALL SELECT n_nationkey, concat('page=', CAST(n_nationkey AS VARCHAR)), 1, 'lookup' FROM nation UNION ALL SELECT n_nationkey, substr('endefres', CAST(n_nationkey % 4 * 2 + 1 AS INT), 2), 2, 'official' FROM nation) SELECT page_id, target_id, min(place) AS place, arg_min(match_type, place) AS match_type FROM f JOIN a ON contains(name, alias) OR list_contains(dirs, alias) GROUP BY 1, 2",
 )
 def _(t):
-    names = t.nation.select(F.col("n_nationkey").alias("target_id"), F.explode(F.array(
-        F.struct(F.concat(F.lit("P"), F.col("n_nationkey").cast("string")).alias("alias"), F.lit(0).alias("place"), F.lit("exact").alias("match_type")),
-        F.struct((F.col("n_nationkey") + 1000).cast("string").alias("alias"), F.lit(1).alias("place"), F.lit("lookup").alias("match_type")),
-        F.struct(F.concat(F.lit("site"), F.col("n_nationkey").cast("string"), F.lit(".example")).alias("alias"), F.lit(2).alias("place"), F.lit("official").alias("match_type")),
-    )).alias("a")).select("target_id", "a.*")
-    files = t.pages.select(F.col("url").alias("path"))
-    return D.matches(files.distinct(), names).join(t.pages.select("page_id", F.col("url").alias("path")), "path").select("page_id", "target_id", "place", "match_type")
+    key = F.col("n_nationkey")
+    of = lambda alias, place, kind: F.struct(alias.alias("alias"), F.lit(place).alias("place"), F.lit(kind).alias("match_type"))
+    language = F.substr(F.lit("ENDEFRES"), (key % 4 * 2 + 1).cast("int"), F.lit(2))
+    names = t.nation.select(key.alias("target_id"), F.explode(F.array(of((key + 60).cast("string"), 0, "exact"), of(F.concat(F.lit("Page="), key.cast("string")), 1, "lookup"), of(language, 2, "official"))).alias("a")).select("target_id", "a.*")
+    paths = t.pages.select("page_id", F.col("url").alias("path"))
+    return D.matches(paths.select("path").distinct(), names).join(paths, "path").select("page_id", "target_id", "place", "match_type")
 
 
 FOUND = "found AS (SELECT target_id, path, CAST(ord % 3 AS INT) AS place, CASE ord % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'lookup' ELSE 'official' END AS match_type FROM candidates)"

@@ -1,0 +1,84 @@
+"""Small cases of operators that SQL can't check, with answers worked out by hand."""
+
+from pyspark.sql import functions as F
+
+from podium.functions import scores as S
+from podium.functions import sequences as Q
+from podium.operators import lookups, tasks
+from podium.sources import texts
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+def test_lenient_float(spark):
+    got = [one(spark, S.lenient_float(F.lit(x))) for x in ("99.67", "-", "12abc", "1e-3", ".5", "N/A", "")]
+    assert got == [99.67, None, 12.0, 0.001, 0.5, None, None]
+
+
+def test_normalized(spark):
+    assert one(spark, S.normalized(F.lit("RMSD"), F.lit(3.0))) == 0.25
+    assert one(spark, S.normalized(F.lit("GDT_TS"), F.lit(0.98))) == 0.0098
+    assert one(spark, S.normalized(F.lit("lddt"), F.lit(0.5))) == 0.5
+
+
+def test_greedy_shards(spark):
+    rows = [("p", f"t{i}", i, n) for i, n in enumerate((100, 90, 50, 20, 10))]
+    out = tasks.shard(spark.createDataFrame(rows, "pool string, name string, ord long, tokens long"), shards=2)
+    sums = {r["shard"]: (r["s"], r["n"]) for r in out.groupBy("shard").agg(F.sum("tokens").alias("s"), F.count(F.lit(1)).alias("n")).collect()}
+    assert sums == {1: (130, 3), 2: (140, 2)}
+
+
+def test_prefix_skips_what_does_not_fit(spark):
+    e = lambda n, c: F.struct(F.lit("proteinChain").alias("kind"), F.repeat(F.lit("A"), F.lit(n)).alias("sequence"), F.lit(c).alias("count"), F.array().cast("array<string>").alias("ids"))
+    kept = one(spark, F.transform(tasks.prefix_within(F.array(e(60, 1), e(50, 1), e(20, 3)), 100), lambda x: x["count"]))
+    assert kept == [1, 2]
+
+
+def test_leader_and_complexity(spark):
+    assert one(spark, Q.leader_cut(F.lit("MKT" + "LLLLAVVLLALLAGSA" + "Q" * 100))) > 0
+    assert one(spark, Q.leader_cut(F.lit("Q" * 120))) == 0
+    cuts = one(spark, Q.low_complexity_cuts(F.lit("GS" * 20 + "ACDEFGHIKLMNPQRSTVWY" * 5)))
+    assert (cuts["n"], cuts["c"]) == (40, 0)
+
+
+def test_fasta(spark):
+    df = spark.createDataFrame([("f", ">T1234s1 a protein\nMKV\n\nlla\n>R0001 x\nACGU\n>none\n")], "file string, text string")
+    got = {r["record_id"]: (r["target_ids"], r["sequence"], r["sequence_kind"]) for r in texts.fasta(df).collect()}
+    assert got == {"T1234s1": ("T1234,T1234S1", "MKVLLA", "proteinChain"), "R0001": ("R0001", "ACGU", "rnaSequence")}
+
+
+def test_score_table(spark):
+    body = "Target: T1200 x\n#  Model GR# GDT_TS Note\n1 T1200TS001_1 001 55.5 a b c\nT1200TS002_1 002\nnothing here\n"
+    rows = texts.score_table(spark.createDataFrame([("f", body)], "file string, text string"), "prot_domains").orderBy("n").collect()
+    assert [(r["model"], r["group"], r["submitted_rank"], r["primary_score"]) for r in rows] == [("T1200TS001_1", "001", "1", 55.5), ("T1200TS002_1", "002", "", None)]
+    assert '"Note":"a b c"' in rows[0]["metric_json"]
+
+
+def test_overlay_stops_on_bad_rows(spark):
+    import pytest
+
+    rows = spark.createDataFrame([("T1", "1abc", "accepted", "")], "target_id string, ids string, status string, provenance string")
+    with pytest.raises(Exception, match="incomplete row"):
+        lookups.overlay(rows).collect()
+
+
+def test_listing_counts_empty_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name in ("a/x.pdb", "a/y.cif", "z.cif"):
+        (tmp_path / name).write_text("")
+    got = [r["path"].rsplit("/", 1)[1] for r in texts.listing(spark, str(tmp_path)).orderBy("place").collect()]
+    assert got == ["y.cif", "z.cif", "x.pdb"]
+
+
+def test_latest_status_stream(spark, tmp_path):
+    from podium.streaming import status
+
+    schema = "ord long, run_id string, status string"
+    for i, s in enumerate(("pending", "ok")):
+        spark.createDataFrame([(i, "R1", s)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    q = status.latest(status.log_stream(spark, str(tmp_path / "log"), schema)).writeStream.format("memory").queryName("latest").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r["run_id"], r["status"]) for r in spark.sql("select * from latest").collect()] == [("R1", "ok")]
