@@ -118,6 +118,8 @@ class Schedule:
             left = [x - int(n * sums[i + 1]) + int(n * sums[i]) for i, x in enumerate(left)]
             window += n
         self.ends = [[p[1][i] for p in self.phases] for i in range(len(lanes))]
+        #: by phase and lane: first window, first token, and the bounds of the lane's quota as whole numbers
+        self.plain = [[(first, bases[i], sums[i].numerator, sums[i].denominator, sums[i + 1].numerator, sums[i + 1].denominator, float(sums[i + 1] - sums[i])) for i in range(len(lanes))] for first, bases, sums in self.phases]
 
     @staticmethod
     def last_of(left: list[int], part: list[Fraction], length: int) -> dict[int, Fraction]:
@@ -136,19 +138,24 @@ class Schedule:
         """(window, place in it, tokens) for n tokens of a queue from start on."""
         i, base = self.at[source]
         start += base
+        ends = self.ends[i]
         while n:
-            p = bisect_right(self.ends[i], start) - 1
-            first, bases, sums = self.phases[p]
-            stop = self.ends[i][p + 1] if p + 1 < len(self.phases) else None
-            lo, hi, t = sums[i], sums[i + 1], start - bases[i]
-            given = lambda w: w * hi.numerator // hi.denominator - w * lo.numerator // lo.denominator  # noqa: B023, E731
-            w = max(0, int(t / (hi - lo)) - 2)
-            while given(w + 1) <= t:
-                w += 1
-            took, place = given(w), (w + 1) * lo.numerator // lo.denominator - w * lo.numerator // lo.denominator
-            k = min(n, given(w + 1) - t, *([stop - start] if stop is not None else []))
-            yield first + w, place + t - took, k
-            start, n = start + k, n - k
+            p = bisect_right(ends, start) - 1
+            first, begin, ln, ld, hn, hd, quota = self.plain[p][i]
+            stop = ends[p + 1] if p + 1 < len(ends) else start + n
+            t = start - begin
+            w = max(0, int(t / quota) - 2)
+            low = w * ln // ld
+            took = w * hn // hd - low
+            while n and start < stop:
+                next_low = (w + 1) * ln // ld
+                after = (w + 1) * hn // hd - next_low
+                if after > t:
+                    k = min(n, after - t, stop - start)
+                    yield first + w, next_low - low + t - took, k
+                    start, t, n = start + k, t + k, n - k
+                if after <= t:
+                    w, low, took = w + 1, next_low, after
 
 
 def pack(docs: DataFrame, *, tokens_path: str, id_col: str = "doc_id", source_col: str = "source", length: int = 2048, end_id: int = 1, weights: dict | None = None) -> DataFrame:
@@ -187,17 +194,23 @@ def pack(docs: DataFrame, *, tokens_path: str, id_col: str = "doc_id", source_co
 
     def cut(batches):
         names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]
-        kinds = [None, *[pa.int64()] * 6, pa.string(), pa.binary()]
         for b in batches:
-            out = [[] for _ in names]
-            for key_, source, ids, n, at in zip(*(b[c].to_pylist() for c in ("id", "source", "ids", "n", "at")), strict=True):
-                all_ids, start = np.frombuffer(ids, dtype=width).astype("<u4"), 0
+            row, windows, places, sizes, starts, sums, pieces = [], [], [], [], [], [], []
+            for r, (source, ids, n, at) in enumerate(zip(*(b[c].to_pylist() for c in ("source", "ids", "n", "at")), strict=True)):
+                data, start = np.frombuffer(ids, dtype=width).astype("<u4").tobytes(), 0
                 for window, place, k in schedule.pieces(source, at, n):
-                    piece = all_ids[start : start + k].tobytes()
-                    for x, v in zip(out, (key_, start, k, zlib.crc32(piece), n, window, place, source, piece), strict=True):
-                        x.append(v)
+                    piece = data[4 * start : 4 * (start + k)]
+                    row.append(r)
+                    windows.append(window)
+                    places.append(place)
+                    sizes.append(k)
+                    starts.append(start)
+                    sums.append(zlib.crc32(piece))
+                    pieces.append(piece)
                     start += k
-            yield pa.RecordBatch.from_arrays([pa.array(x, t or b["id"].type) for x, t in zip(out, kinds, strict=True)], names=names)
+            take = pa.array(row, pa.int64())
+            long = lambda x: pa.array(x, pa.int64())
+            yield pa.RecordBatch.from_arrays([b["id"].take(take), long(starts), long(sizes), long(sums), b["n"].take(take), long(windows), long(places), b["source"].take(take), pa.array(pieces, pa.binary())], names=names)
 
     out = placed.mapInArrow(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
     return out.withColumnRenamed("id", id_col)
