@@ -633,3 +633,35 @@ def _(t):
     both = t.lineitem.where("l_quantity > 45").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     assemblies = both.groupBy(F.col("l_suppkey").alias("assembly_id")).agg(F.collect_set("o_orderpriority").alias("members")).withColumn("pdb_id", F.col("assembly_id") % 40)
     return V.assembly_audit(cands, assemblies)
+
+
+@query("arr2_strategy_registry", None)
+def _(t):
+    from ..operators import strategies
+
+    chains = t.chains.select(F.col("ord"), F.array(F.struct(F.lit("proteinChain").alias("kind"), F.col("sequence"), F.lit(1).alias("count"), F.array().cast("array<string>").alias("ids"))).alias("sequences"))
+    out = None
+    for name in strategies.STRATEGIES:
+        one_ = strategies.apply(chains, name).select("ord", F.lit(name).alias("strategy"), "changed", F.length(F.col("sequences")[0]["sequence"]).alias("length"))
+        out = one_ if out is None else out.unionByName(one_)
+    return out
+
+
+@query("udf2_file_facts", "SELECT p_partkey, p_size % 2 = 0 AS path_exists, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS BIGINT) END AS path_bytes FROM part")
+def _(t):
+    from ..operators import external
+
+    path = F.concat(F.lit("f"), F.col("p_partkey").cast("string"))
+    files = t.part.where("p_size % 2 = 0").select(path.alias("path"), F.col("p_size").cast("bigint").alias("length"))
+    return external.with_files(t.part.select("p_partkey", path.alias("path")), files, "path").select("p_partkey", "path_exists", "path_bytes")
+
+
+@query("udf3_newest_source", "SELECT CAST(s_suppkey AS VARCHAR) AS run_id, concat('runs/', CAST(s_suppkey AS VARCHAR), CASE WHEN s_suppkey % 2 = 0 THEN '/reuse.json' ELSE '/input.json' END) AS source FROM supplier")
+def _(t):
+    from ..operators import external
+
+    run = F.col("s_suppkey").cast("string")
+    names = F.when(F.col("s_suppkey") % 2 == 0, F.array(*map(F.lit, ("input.json", "reuse.json", "x.txt")))).otherwise(F.array(*map(F.lit, ("input.json", "x.txt"))))
+    files = t.supplier.select(F.explode(F.transform(names, lambda n: F.concat(F.lit("runs/"), run, F.lit("/"), n))).alias("path"))
+    specs = t.supplier.select(run.alias("run_id"), F.concat(F.lit("runs/"), run).alias("run_dir"))
+    return external.newest_source(files, specs, ["reuse.json", "input.json"])

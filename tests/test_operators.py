@@ -82,3 +82,19 @@ def test_latest_status_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["run_id"], r["status"]) for r in spark.sql("select * from latest").collect()] == [("R1", "ok")]
+
+
+def test_commands(spark):
+    from podium.operators import external
+
+    rows = spark.createDataFrame([(1, ["echo", "TM-score = 0.5"]), (2, ["false"]), (3, ["no-such-program-here"])], "key long, command array<string>")
+    got = {r["key"]: (r["exit_code"], r["stdout"]) for r in external.run_commands(rows).collect()}
+    assert got == {1: (0, "TM-score = 0.5\n"), 2: (1, ""), 3: (None, "")}
+
+
+def test_strategies(spark):
+    from podium.operators import strategies
+
+    tagged = "MHHHHHH" + "ACDEFGHIKL" * 4
+    assert one(spark, strategies.without_tags(F.lit(tagged))) == "ACDEFGHIKL" * 4
+    assert one(spark, strategies.without_low_complexity(F.lit("GS" * 20 + "ACDEFGHIKLMNPQRSTVWY" * 5))) == "ACDEFGHIKLMNPQRSTVWY" * 5
