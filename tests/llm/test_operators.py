@@ -241,7 +241,7 @@ def test_substitutions_are_tolerated(spark):
 
 
 def test_line_dedup(spark):
-    line = "the quick brown fox jumps over the lazy dog and runs far away from the old stone house by the river bank near here today"
+    line = "the quick brown fox jumps over the lazy dog and runs far away from the old stone house by the river bank near here while all the other animals of the forest sleep well until the next morning comes today"
     near = line.replace("today", "tonight")
     docs = spark.createDataFrame([(1, f"{line}\nfirst"), (2, f"second\n{near}\n"), (3, f"{line}\n\n{line}"), (4, None)], "doc_id long, text string")
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup.dedup(docs).collect()}
