@@ -1,8 +1,8 @@
 """N-gram Jaccard join: documents whose sets of word n-grams overlap enough, as connected components.
 
 Size-aware heavy-light join. Two sets of n and m n-grams reach Jaccard J only with t(n, m) in common.
-A small set enumerates its subsets of the sizes t that matter; sets that share one are linked, with no
-further test. A large set scans inverted lists: in a global order with rare n-grams first, two similar
+A small set enumerates its subsets of the sizes t that matter, each under the pair of sizes (n, m) it is
+meant for; sets of just these two sizes that share one are linked, with no further test. A large set scans inverted lists: in a global order with rare n-grams first, two similar
 sets share one of the first n - ceil(J n) + 1, so lists of those are enough. The boundary between small
 and large is where enumeration would cost more rows than scanning, by the measured list lengths.
 
@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", k: int = 3, num:
 
     def keys(batches):
         for b in batches:
-            out = [(np.zeros(0, dtype=np.uint64), 0, 0, False)]
+            out = [(np.zeros(0, dtype=np.uint64), 0, 0, False)]  # keys, set, side of the key's two sizes, sure
             for sig, n, data in zip(b["sig"].to_pylist(), b["n"].to_pylist(), b["items"].to_pylist(), strict=True):
                 s = restored(data)
                 if n <= boundary:
@@ -148,25 +148,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", k: int = 3, num:
                     for m, leave in need.subsets(n, boundary):
                         name = np.uint64(min(n, m) * 100_003 + max(n, m))
                         rest = np.array([h.sum(dtype=np.uint64) - h[list(c)].sum(dtype=np.uint64) for c in combinations(range(n), leave)], dtype=np.uint64)
-                        out.append((common.mix(rest + common.mix(np.array([name]))), sig, n, True))
+                        out.append((common.mix(rest + common.mix(np.array([name]))), sig, (n > m) - (n < m), True))
                 if n > boundary or need.most(n) > boundary:
                     rank = own.value[(s >> np.uint64(16)).astype(np.int64) & mask]
-                    out.append((s[np.lexsort((s, rank))[: need.prefix(n)]], sig, n, False))
+                    out.append((s[np.lexsort((s, rank))[: need.prefix(n)]], sig, 0, False))
             size = [len(x[0]) for x in out]
             cols = [pa.array(common.signed(np.concatenate([x[0] for x in out])))]
-            cols += [pa.array(np.repeat(np.array([x[i] for x in out], dtype=t), size)) for i, t in ((1, np.int64), (2, np.int64), (3, bool))]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "sig", "n", "sure"])
+            cols += [pa.array(np.repeat(np.array([x[i] for x in out], dtype=t), size)) for i, t in ((1, np.int64), (2, np.int8), (3, bool))]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "sig", "side", "sure"])
 
     whole = seen.where("kind = 0 and items is not null").select("sig", "n", "items")
-    posted = scratch.put(whole.mapInArrow(keys, "key long, sig long, n long, sure boolean"), "lists")
-    shared_keys = scratch.put(posted.groupBy("key", "sure").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("key", "sure"), "keys")
+    posted = scratch.put(whole.mapInArrow(keys, "key long, sig long, side byte, sure boolean"), "lists")
+    # a key of two sizes links only across them: two sets of one size may share too little for each other
+    ends = [f("sig").alias(s) for f, s in ((F.min, "lo"), (F.max, "hi"))] + [f("side").alias(s) for f, s in ((F.min, "less"), (F.max, "more"))]
+    shared_keys = scratch.put(posted.groupBy("key", "sure").agg(*ends).where("lo <> hi and (less = 0 or less <> more)").select("key", "sure"), "keys")
     key_bits = spark.sparkContext.broadcast(common.bitmap(shared_keys, "key", BITMAP_BITS))
 
     def in_keys(batches):
         for b in batches:
             yield b.filter(pa.array(common.in_bitmap(key_bits.value, b["key"].to_numpy())))
 
-    perhaps = posted.mapInArrow(in_keys, "key long, sig long, n long, sure boolean")
+    perhaps = posted.mapInArrow(in_keys, "key long, sig long, side byte, sure boolean")
     lists = scratch.put(perhaps.join(shared_keys, ["key", "sure"], "left_semi").distinct(), "shared")
     scratch.drop(posted)
     meta = scratch.put(seen.where("kind = 0 and n > 0").groupBy("sig").agg(F.first("n").alias("n"), *(F.first(p).alias(p) for p in PARITY)).join(lists.select("sig").distinct(), "sig", "left_semi"), "meta")
@@ -202,8 +204,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", k: int = 3, num:
 
     sides = [meta.select(F.col("sig").alias(s), *(F.col(c).alias(f"{s}{c}") for c in ["n", *PARITY])) for s in "ab"]
     sure = lists.where("sure")
-    heads = sure.groupBy("key").agg(F.min("sig").alias("a"))
-    links = sure.join(heads, "key").where("sig <> a").select("a", F.col("sig").alias("b")).distinct()
+    heads = sure.groupBy("key", (-F.col("side")).alias("side")).agg(F.min("sig").alias("a"))
+    links = sure.join(heads, ["key", "side"]).where("sig <> a").select("a", F.col("sig").alias("b")).distinct()
     scan = lists.where("not sure").select("key", "sig")
     groups = None
     for turn in range(2):

@@ -85,6 +85,26 @@ def test_small_sets_link_by_subsets(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 5}
 
 
+@pytest.mark.parametrize("k, num, boundary, size", [(3, 90, 17, 12), (5, 80, 7, 9)])
+def test_subsets_link_only_the_sizes_they_are_for(spark, monkeypatch, k, num, boundary, size):
+    monkeypatch.setattr(ngram_join.Bounds, "boundary", lambda self, length: boundary)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(size)]
+    texts = [base, [*base[:-1], "other"]]
+    for g in range(12):
+        own = [f"g{g}x{i}" for i in range(boundary + k - 1)]
+        texts += [[*own[: rng.integers(k, len(own) + 1)], *([f"t{j}"] if j % 2 else [])] for j in range(5)]
+    sets = [{tuple(t[i : i + k]) for i in range(max(1, len(t) - k + 1))} for t in texts]
+    part = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                part = [min(part[i], part[j]) if x in (part[i], part[j]) else x for x in part]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs, k=k, num=num).collect()}
+    assert got == dict(enumerate(part)) and got[1] == 1
+
+
 def test_lm_base_score(spark, rows):
     tokens = {d: [*(x.lower() for x in words(t)), b"\n"] for d, t in rows}
     training = [d for d in tokens if zlib.crc32(str(d).encode()) % 7 != 2]
