@@ -1,6 +1,6 @@
 """Line dedup: of lines that are equal or nearly so, the first in the corpus stays.
 
-A line's shingles are the runs of up to ``q`` characters that begin where a word begins. MinHash
+A line's shingles are its runs of ``q`` characters at every position, or the whole of a shorter line. MinHash
 signatures of them (the shingle hashes' minima under fixed bit flips) go into bands; within a band's
 bucket every line is compared with two pivots, the least and the greatest, by exact Jaccard over the
 shingles; links make components by union-find, and each component keeps one line. Equal lines are one
@@ -36,7 +36,8 @@ def flips(n: int) -> list[int]:
 
 
 def shingles(line: Column, q: int) -> Column:
-    return F.regexp_extract_all(line, F.lit(rf"(?<!\S)(?=(\S.{{0,{q - 1}}}))"), F.lit(1))
+    runs = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{q}}}))."), F.lit(1))
+    return F.when(F.length(line) < q, F.array(line)).otherwise(runs)
 
 
 def located(docs: DataFrame, id_col: str) -> DataFrame:

@@ -268,6 +268,13 @@ def test_line_dedup(spark):
     assert got == {1: (f"{line}\nfirst", 2, 0), 2: ("second\n", 3, 1), 3: ("", 3, 2), 4: (None, 0, 0)}
 
 
+def test_lines_without_white_space(spark):
+    starts = ["https://www.example.com/", "identifier_of_many_", "今天的天气非常好我们一起去公园里散步然后"]
+    lines = [s + e for s in starts for e in ("index/of/all/things", "quite-another-place", "zzz")] + ["x", "xy", "😀😀"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    assert {r["n_removed"] for r in line_dedup.dedup(docs).collect()} == {0}
+
+
 def test_edges(spark, edge):
     """Nulls, empty and long texts, repeated rows, clashing columns: every row is answered."""
     n = len(EDGE)
