@@ -2,9 +2,10 @@
 
 A line's shingles are its runs of ``q`` characters at every position, or the whole of a shorter line. MinHash
 signatures of them (the shingle hashes' minima under fixed bit flips) go into bands; within a band's
-bucket every line is compared with two pivots, the least and the greatest, by exact Jaccard over the
-shingles; links make components by union-find, and each component keeps one line. Equal lines are one
-node from the start, named by the line's 64-bit hash. Everything is DataFrame functions.
+bucket every line is compared with two pivots, the least and the greatest, and then with all members
+that are in another component yet. Pairs whose minima's last bits differ by more than five standard
+deviations beyond what the threshold lets expect are left out; all others are tested by exact Jaccard
+over the shingles. Links make components by union-find, and each component keeps one line. Equal lines are one node from the start, named by the line's 64-bit hash. Everything is DataFrame functions.
 
 Defined results: null texts stay null and have no lines; blank lines are never removed and never
 counted as copies; lines are ordered by document id (null first), then by their place; rows that share
@@ -14,6 +15,8 @@ share an id but not the text are told apart by the text's hash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,22 +55,48 @@ def links(lines: DataFrame, scratch: common.Scratch, *, q: int, threshold: float
     hashed = lines.select("node", F.explode(shingles(F.col("line"), q)).alias("s")).select("node", F.xxhash64("s").alias("h"))
     # the upper halves are enough to compare
     minima = [F.shiftright(F.min(F.col("h").bitwiseXOR(F.lit(x))), 32).cast("int").alias(f"m{i}") for i, x in enumerate(flips(BANDS * ROWS))]
-    signed = hashed.groupBy("node").agg(*minima)
     bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
-    entries = scratch.put(signed.select("node", F.explode(bands).alias("band")), "bands")
-    pivots = entries.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    last = reduce(Column.bitwiseOR, (F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(1)).cast("long"), i) for i in range(BANDS * ROWS)))
+    signed = scratch.put(hashed.groupBy("node").agg(*minima).select("node", last.alias("last"), bands.alias("bands")), "bands")
+    entries = signed.select("node", "last", F.explode("bands").alias("band"))
+    bits, p = BANDS * ROWS, (1 - threshold) / 2
+    near = f"bit_count(alast ^ blast) <= {int(bits * p + 5 * (bits * p * (1 - p)) ** 0.5)}"
+    sides = [signed.select(F.col("node").alias(s), F.col("last").alias(f"{s}last")) for s in "ab"]
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that hold over all shingles of both lines."""
+        pairs = scratch.put(pairs.select("a", "b").distinct(), "pairs")
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        first = lines.groupBy("node").agg(F.min(F.struct("place", "tag", "pos")).alias("at")).join(nodes, "node", "left_semi")
+        first = scratch.put(first.select("node", "at.*"), "first")
+        wanted = F.broadcast(first) if first.count() <= FEW else first
+        texts = lines.select("place", "tag", "pos", "node", "line").join(wanted, ["place", "tag", "pos", "node"], "left_semi")
+        texts = scratch.put(texts.groupBy("node").agg(F.first("line").alias("line")), "texts")
+        full = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
+        sets = F.struct(*(F.array_distinct(shingles(F.col(c), q)).alias(c) for c in "xy"))
+        both = lambda s: once(F.size(F.array_intersect(s["x"], s["y"])), lambda k: k >= threshold * (F.size(s["x"]) + F.size(s["y"]) - k))
+        out = scratch.put(full.where(once(sets, both)).select("a", "b"), "links")
+        scratch.drop(pairs, first, texts)
+        return out
+
+    pivots = scratch.put(entries.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "pivots")
     met = entries.join(pivots, "band").select("node", F.explode(F.array("lo", "hi")).alias("pivot")).where("node <> pivot")
-    pairs = scratch.put(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
-    scratch.drop(entries)
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    first = lines.groupBy("node").agg(F.min(F.struct("place", "tag", "pos")).alias("at")).join(nodes, "node", "left_semi")
-    first = scratch.put(first.select("node", "at.*"), "first")
-    wanted = F.broadcast(first) if first.count() <= FEW else first
-    texts = lines.select("place", "tag", "pos", "node", "line").join(wanted, ["place", "tag", "pos", "node"], "left_semi")
-    sets = scratch.put(texts.groupBy("node").agg(F.first("line").alias("line")).select("node", F.array_distinct(shingles(F.col("line"), q)).alias("s")), "sets")
-    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    both = full.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("k"))
-    return scratch.put(both.where(F.col("k") >= threshold * (F.col("n") + F.col("m") - F.col("k"))).select("a", "b"), "links")
+    met = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    found = verified(met.join(sides[0], "a").join(sides[1], "b").where(near))
+    # members of a bucket that are in different components by now are compared with each other
+    at = components(found, scratch)
+    placed = entries.join(pivots.select("band"), "band", "left_semi").join(at, "node", "left").withColumn("grp", F.coalesce("component", "node"))
+    mixed = placed.groupBy("band").agg(F.min("grp").alias("least"), F.max("grp").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most and n > 2")
+    placed = scratch.put(placed.join(mixed.select("band"), "band", "left_semi").select("band", "node", "last", "grp"), "placed")
+    left, right = (placed.select("band", *(F.col(c).alias(f"{s}{c}") for c in ("node", "last", "grp"))) for s in "ab")
+    rest = left.join(right, "band").where("agrp < bgrp").where(near).select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"))
+    more = verified(rest)
+    scratch.drop(signed, pivots, placed)
+    return found.unionByName(more)
+
+
+def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
+    return common.components(scratch, edges).select(F.col("id").alias("node"), "component")
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", q: int = 16, threshold: float = 0.8) -> DataFrame:

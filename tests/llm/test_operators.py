@@ -275,6 +275,25 @@ def test_lines_without_white_space(spark):
     assert {r["n_removed"] for r in line_dedup.dedup(docs).collect()} == {0}
 
 
+def test_lines_beside_the_pivots(spark):
+    """Several clusters of near copies of one template, which share buckets."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    frame, lines = [word() for _ in range(40)], []
+    for _ in range(60):
+        own = [*frame, *(word() for _ in range(8))]
+        lines += [" ".join([*own, word()]) for _ in range(3)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    part = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                part = [min(part[i], part[j]) if x in (part[i], part[j]) else x for x in part]
+    got = {r["doc_id"] for r in line_dedup.dedup(docs, q=5).collect() if r["n_removed"]}
+    assert got == set(range(len(lines))) - set(part) and len(got) == 120
+
+
 def test_edges(spark, edge):
     """Nulls, empty and long texts, repeated rows, clashing columns: every row is answered."""
     n = len(EDGE)
