@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 11, 4
 #: Nodes in candidate pairs up to which they are broadcast in order to fetch their lines (some 20 bytes each); beyond, by a shuffle.
 FEW = 1_000_000
 
@@ -99,7 +99,7 @@ def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
     return common.components(scratch, edges).select(F.col("id").alias("node"), "component")
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", q: int = 16, threshold: float = 0.8) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", q: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs with text without its repeated lines, and n_lines and n_removed."""
     scratch = common.Scratch(docs.sparkSession)
     lines = located(docs, id_col)

@@ -294,6 +294,13 @@ def test_lines_beside_the_pivots(spark):
     assert got == set(range(len(lines))) - set(part) and len(got) == 120
 
 
+def test_one_changed_word_of_25(spark):
+    line = "the quick brown fox jumps over the lazy dog and runs far away from the old stone house by the river bank near here today"
+    assert len(line.split()) == 25
+    docs = spark.createDataFrame([(1, line), (2, line.replace("stone", "brick")), (3, line.replace("today", "tonight"))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup(docs).collect()} == {1: 0, 2: 1, 3: 1}
+
+
 def test_edges(spark, edge):
     """Nulls, empty and long texts, repeated rows, clashing columns: every row is answered."""
     n = len(EDGE)
