@@ -6,12 +6,15 @@ of ``WINDOW`` tokens are substituted, one of the masks fits somewhere between th
 and training texts are joined; a hit names an alignment (test item, offset between the two), which is
 verified token by token: it counts if some window of the item matches in all but ``errors`` tokens.
 
-Tokens are runs of letters and digits, lower-cased. The seeds of the test items are broadcast while
+An item shorter than the window is seeded by runs of its tokens: where its rule allows no substitution,
+by the whole item, where it allows one, by its two halves, one of which is intact. Texts are seeded by
+runs of just the lengths that the items at hand need.
+
+Tokens are runs of letters and digits, lower-cased; a letter of a script without spaces is a token. The seeds of the test items are broadcast while
 they are few, by count, and joined by a shuffle beyond that. Everything is DataFrame functions.
 
 Defined results: null and empty texts hit nothing; items of under 13 tokens must match as a whole, in
-all but a proportional number of tokens (2 of 13), and items too short for a mask (under 10 tokens)
-are never found; rows that share id and text give one result, and so do test rows that share an id.
+all but a proportional number of tokens (2 of 13); items without a token are never found; rows that share id and text give one result, and so do test rows that share an id.
 """
 
 from __future__ import annotations
@@ -28,8 +31,24 @@ MASKS = ((0, 3, 6, 7, 8, 9), (0, 1, 3, 4, 6, 10))
 FEW = 400_000
 
 
+#: All of these scripts begin at U+0E00; that is asked first, as it takes no look-up.
+UNSPACED = r"([\x{E00}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]])"
+
+
 def tokens(text: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
+    apart = F.regexp_replace(F.lower(text), UNSPACED, " $1 ")
+    return F.split(F.trim(F.regexp_replace(apart, r"[^\p{L}\p{N}]+", " ")), " ")
+
+
+def parts(n: int) -> list[tuple[int, int]]:
+    """(place, length) of the runs that seed an item of n tokens, fewer than WINDOW."""
+    errors = n * ERRORS // WINDOW
+    edges = [n * i // (errors + 1) for i in range(errors + 2)]
+    return [(a, z - a) for a, z in zip(edges, edges[1:], strict=False)]
+
+
+def run_seed(h: Column, at: Column, length: Column) -> Column:
+    return F.struct(at.alias("pos"), F.xxhash64(F.lit(-1), length, F.slice(h, at + 1, length)).alias("seed"))
 
 
 def masked(h: Column, k: int) -> Column:
@@ -40,17 +59,34 @@ def masked(h: Column, k: int) -> Column:
     return F.flatten(F.transform(fits, lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 1 - mask[-1]), lambda i: seed(x, i))))
 
 
-def seeds(text: Column) -> Column:
-    """array<struct<pos, seed>> of a text, under all masks."""
-    return once(F.transform(tokens(text), lambda w: F.xxhash64(w)), lambda h: F.concat(*(masked(h, k) for k in range(len(MASKS)))))
+def runs(h: Column, length: int) -> Column:
+    """array<struct<pos, seed>> of every run of so many hashed tokens."""
+    fits = F.filter(F.array(h), lambda x: F.size(x) >= length)
+    return F.flatten(F.transform(fits, lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - length), lambda i: run_seed(x, i, F.lit(length)))))
+
+
+def seeds(text: Column, lengths: list[int]) -> Column:
+    """array<struct<pos, seed>> of a text, under all masks and of runs of these lengths."""
+    return once(F.transform(tokens(text), lambda w: F.xxhash64(w)), lambda h: F.concat(*(masked(h, k) for k in range(len(MASKS))), *(runs(h, n) for n in lengths)))
+
+
+def short_seeds(text: Column, sizes: list[int]) -> Column:
+    """array<struct<pos, seed>> of an item whose size is one of these."""
+    made = lambda h, n: F.array(*(run_seed(h, F.lit(at), F.lit(length)) for at, length in parts(n)))
+    none = F.array().cast("array<struct<pos:int,seed:bigint>>")
+    return once(F.transform(tokens(text), lambda w: F.xxhash64(w)), lambda h: F.concat(none, *(F.when(F.size(h) == n, made(h, n)).otherwise(none) for n in sizes)))
 
 
 def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """id, item id, first_pos (token of the text where a match begins), n_matched (of a window, at best)."""
     tests = items.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).alias("item_text"))
-    item_seeds = tests.select("item", F.explode(seeds(F.col("item_text"))).alias("s")).select("item", F.col("s.pos").alias("item_pos"), F.col("s.seed").alias("seed")).distinct()
+    tests = tests.where(tokens(F.col("item_text"))[0] != "")
+    size = F.size(tokens(F.col("item_text")))
+    sizes = sorted(r["n"] for r in tests.select(size.alias("n")).where(F.col("n") < WINDOW).distinct().collect())  # under WINDOW rows
+    lengths = sorted({length for n in sizes for _, length in parts(n)})
+    item_seeds = tests.select("item", F.explode(F.when(size < WINDOW, short_seeds(F.col("item_text"), sizes)).otherwise(seeds(F.col("item_text"), []))).alias("s")).select("item", F.col("s.pos").alias("item_pos"), F.col("s.seed").alias("seed")).distinct()
     own = docs.where("text is not null").select(F.col(id_col).alias("id"), F.xxhash64("text").alias("tag"), "text")
-    own_seeds = own.select("id", "tag", F.explode(seeds(F.col("text"))).alias("s")).select("id", "tag", F.col("s.pos").alias("pos"), F.col("s.seed").alias("seed"))
+    own_seeds = own.select("id", "tag", F.explode(seeds(F.col("text"), lengths)).alias("s")).select("id", "tag", F.col("s.pos").alias("pos"), F.col("s.seed").alias("seed"))
     few = item_seeds.limit(FEW + 1).count() <= FEW
     hits = own_seeds.join(F.broadcast(item_seeds) if few else item_seeds, "seed")
     hits = hits.select("id", "tag", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()

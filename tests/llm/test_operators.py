@@ -260,6 +260,24 @@ def test_substitutions_are_tolerated(spark):
     assert [r["doc_id"] for r in decontaminate.clean(docs, spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).orderBy("doc_id").collect()] == [2, 3, 4]
 
 
+def test_short_items(spark):
+    items = {n: [f"i{n}t{j}" for j in range(n)] for n in range(1, 14)}
+    texts, want = [], set()
+    for n, item in items.items():
+        for spoilt in [(), *((j,) for j in range(n)), *((j, (j + 3) % n) for j in range(n))]:
+            if len(spoilt) * 13 <= n * 2 or not spoilt:
+                want.add((len(texts), n))
+            elif len(set(spoilt)) * 13 <= n * 2:
+                want.add((len(texts), n))
+            texts.append("before it " + " ".join("other" if j in spoilt else x for j, x in enumerate(item)) + " after it")
+    want |= {(len(texts), 50)}
+    texts += ["他说今天的天气非常好所以出去", "...", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = [(n, " ".join(x)) for n, x in items.items()] + [(50, "今天的天气非常好"), (51, "?!")]
+    found = decontaminate.find(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
+
+
 def test_line_dedup(spark):
     line = "the quick brown fox jumps over the lazy dog and runs far away from the old stone house by the river bank near here while all the other animals of the forest sleep well until the next morning comes today"
     near = line.replace("today", "tonight")
