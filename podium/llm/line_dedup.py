@@ -3,14 +3,15 @@
 A line's shingles are its runs of ``q`` characters at every position, or the whole of a shorter line. MinHash
 signatures of them (the shingle hashes' minima under fixed bit flips) go into bands; within a band's
 bucket every line is compared with two pivots, the least and the greatest, and then with all members
-that are in another component yet. Pairs whose minima's last bits differ by more than five standard
-deviations beyond what the threshold lets expect are left out; all others are tested by exact Jaccard
+that are in another component yet. Pairs of which more minima differ than five standard deviations
+beyond what the threshold lets expect are left out; all others are tested by exact Jaccard
 over the shingles. Links make components by union-find, and each component keeps one line. Equal lines are one node from the start, named by the line's 64-bit hash. Everything is DataFrame functions.
 
-Defined results: null texts stay null and have no lines; blank lines are never removed and never
+Defined results: ids are whole numbers; null texts stay null and have no lines; blank lines are never removed and never
 counted as copies; lines are ordered by document id (null first), then by their place; rows that share
 id and text count as one place, so that a repeated row loses the same lines as its twin; rows that
-share an id but not the text are told apart by the text's hash.
+share an id but not the text are told apart by the text's hash; columns n_lines and n_removed of the
+input give way to those of the result; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,8 +23,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BANDS, ROWS = 11, 4
-#: Nodes in candidate pairs up to which they are broadcast in order to fetch their lines (some 20 bytes each); beyond, by a shuffle.
+#: Two lines of Jaccard 0.8 meet in some band with probability 0.997.
+BANDS, ROWS = 8, 3
+#: Characters of a line that are cut out together, before the shingles in them are taken one by one.
+CHUNK = 64
+#: Minima are compared by their last bits, so many of them in a long.
+BITS, IN_LONG = 5, 12
+#: Nodes in candidate pairs up to which they are broadcast in order to fetch their lines (8 bytes each, and what the hash table adds); beyond, by a shuffle.
 FEW = 1_000_000
 
 
@@ -50,48 +56,63 @@ def located(docs: DataFrame, id_col: str) -> DataFrame:
     return lines.withColumn("node", F.xxhash64("line"))
 
 
+def shingle_hashes(lines: DataFrame, q: int) -> DataFrame:
+    """(node, h) for each shingle of each line: cut into overlapping chunks, then at every position of those."""
+    chunks = F.when(F.length("line") < q, F.array("line")).otherwise(F.regexp_extract_all("line", F.lit(rf"(?s)(?=(.{{{q},{CHUNK + q - 1}}})).{{1,{CHUNK}}}"), F.lit(1)))
+    places = F.sequence(F.lit(1), F.greatest(F.length("chunk") - (q - 1), F.lit(1)))
+    at = lines.select("node", F.explode(chunks).alias("chunk")).select("node", "chunk", F.explode(places).alias("at"))
+    return at.select("node", F.xxhash64(F.substring("chunk", F.col("at"), F.lit(q))).alias("h"))
+
+
+def differing(a: str, b: str) -> str:
+    """How many of the minima packed into two longs differ in their last bits."""
+    x = f"({a} ^ {b})"
+    any_bit = " | ".join([x, *(f"shiftrightunsigned({x}, {i})" for i in range(1, BITS))])
+    return f"bit_count(({any_bit}) & {sum(1 << BITS * i for i in range(IN_LONG))}L)"
+
+
 def links(lines: DataFrame, scratch: common.Scratch, *, q: int, threshold: float) -> DataFrame:
     """Pairs of nodes (a, b) with exact Jaccard from threshold on."""
-    hashed = lines.select("node", F.explode(shingles(F.col("line"), q)).alias("s")).select("node", F.xxhash64("s").alias("h"))
+    size = BANDS * ROWS
     # the upper halves are enough to compare
-    minima = [F.shiftright(F.min(F.col("h").bitwiseXOR(F.lit(x))), 32).cast("int").alias(f"m{i}") for i, x in enumerate(flips(BANDS * ROWS))]
+    minima = [F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(x)), 32).cast("int")).alias(f"m{i}") for i, x in enumerate(flips(size))]
     bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
-    last = reduce(Column.bitwiseOR, (F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(1)).cast("long"), i) for i in range(BANDS * ROWS)))
-    signed = scratch.put(hashed.groupBy("node").agg(*minima).select("node", last.alias("last"), bands.alias("bands")), "bands")
-    entries = signed.select("node", "last", F.explode("bands").alias("band"))
-    bits, p = BANDS * ROWS, (1 - threshold) / 2
-    near = f"bit_count(alast ^ blast) <= {int(bits * p + 5 * (bits * p * (1 - p)) ** 0.5)}"
-    sides = [signed.select(F.col("node").alias(s), F.col("last").alias(f"{s}last")) for s in "ab"]
+    low = lambda i: F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit((1 << BITS) - 1)).cast("long"), BITS * (i % IN_LONG))
+    packs = [f"l{j}" for j in range(size // IN_LONG)]
+    packed = [reduce(Column.bitwiseOR, (low(i) for i in range(j * IN_LONG, (j + 1) * IN_LONG))).alias(c) for j, c in enumerate(packs)]
+    signed = scratch.put(shingle_hashes(lines, q).groupBy("node").agg(*minima).select("node", *packed, bands.alias("bands")), "bands")
+    entries = signed.select("node", F.explode("bands").alias("band"))
+    p = (1 - threshold) * (1 - 0.5**BITS)
+    near = f"{' + '.join(differing('a' + c, 'b' + c) for c in packs)} <= {int(size * p + 5 * (size * p * (1 - p)) ** 0.5)}"
+    sides = [signed.select(F.col("node").alias(s), *(F.col(c).alias(s + c) for c in packs)) for s in "ab"]
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that hold over all shingles of both lines."""
-        pairs = scratch.put(pairs.select("a", "b").distinct(), "pairs")
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        first = lines.groupBy("node").agg(F.min(F.struct("place", "tag", "pos")).alias("at")).join(nodes, "node", "left_semi")
-        first = scratch.put(first.select("node", "at.*"), "first")
-        wanted = F.broadcast(first) if first.count() <= FEW else first
-        texts = lines.select("place", "tag", "pos", "node", "line").join(wanted, ["place", "tag", "pos", "node"], "left_semi")
-        texts = scratch.put(texts.groupBy("node").agg(F.first("line").alias("line")), "texts")
+        pairs = scratch.put(pairs.join(sides[0], "a").join(sides[1], "b").where(near).select("a", "b"), "pairs")
+        nodes = scratch.put(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
+        wanted = F.broadcast(nodes) if nodes.count() <= FEW else nodes
+        texts = lines.select("node", "line").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
         full = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
         sets = F.struct(*(F.array_distinct(shingles(F.col(c), q)).alias(c) for c in "xy"))
         both = lambda s: once(F.size(F.array_intersect(s["x"], s["y"])), lambda k: k >= threshold * (F.size(s["x"]) + F.size(s["y"]) - k))
         out = scratch.put(full.where(once(sets, both)).select("a", "b"), "links")
-        scratch.drop(pairs, first, texts)
+        scratch.drop(pairs, nodes)
         return out
 
     pivots = scratch.put(entries.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "pivots")
-    met = entries.join(pivots, "band").select("node", F.explode(F.array("lo", "hi")).alias("pivot")).where("node <> pivot")
-    met = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    found = verified(met.join(sides[0], "a").join(sides[1], "b").where(near))
+    met = scratch.put(entries.join(pivots, "band"), "met")
+    scratch.drop(pivots)
+    pairs = met.select("node", F.explode(F.array("lo", "hi")).alias("pivot")).where("node <> pivot")
+    found = verified(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
     # members of a bucket that are in different components by now are compared with each other
     at = components(found, scratch)
-    placed = entries.join(pivots.select("band"), "band", "left_semi").join(at, "node", "left").withColumn("grp", F.coalesce("component", "node"))
+    placed = met.join(at, "node", "left").select("band", "node", "lo", "hi", F.coalesce("component", "node").alias("grp"))
     mixed = placed.groupBy("band").agg(F.min("grp").alias("least"), F.max("grp").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most and n > 2")
-    placed = scratch.put(placed.join(mixed.select("band"), "band", "left_semi").select("band", "node", "last", "grp"), "placed")
-    left, right = (placed.select("band", *(F.col(c).alias(f"{s}{c}") for c in ("node", "last", "grp"))) for s in "ab")
-    rest = left.join(right, "band").where("agrp < bgrp").where(near).select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"))
-    more = verified(rest)
-    scratch.drop(signed, pivots, placed)
+    placed = scratch.put(placed.where("node <> lo and node <> hi").join(mixed.select("band"), "band", "left_semi").select("band", "node", "grp"), "placed")
+    left, right = (placed.select("band", *(F.col(c).alias(f"{s}{c}") for c in ("node", "grp"))) for s in "ab")
+    rest = left.join(right, "band").where("agrp < bgrp").select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"))
+    more = verified(rest.distinct())
+    scratch.drop(signed, met, placed)
     return found.unionByName(more)
 
 
