@@ -5,7 +5,7 @@ signatures of them (the shingle hashes' minima under fixed bit flips) go into ba
 bucket every line is compared with two pivots, the least and the greatest, and then with all members
 that are in another component yet. Pairs of which more minima differ than five standard deviations
 beyond what the threshold lets expect are left out; all others are tested by exact Jaccard
-over the shingles. Links make components by union-find, and each component keeps one line. Equal lines are one node from the start, named by the line's 64-bit hash. Everything is DataFrame functions.
+over the shingles, by their 64-bit hashes. A character is a unit of UTF-16. Links make components by union-find, and each component keeps one line. Equal lines are one node from the start, named by the line's 64-bit hash. Everything is DataFrame functions.
 
 Defined results: ids are whole numbers; null texts stay null and have no lines; blank lines are never removed and never
 counted as copies; lines are ordered by document id (null first), then by their place; rows that share
@@ -25,12 +25,15 @@ from . import common
 
 #: Two lines of Jaccard 0.8 meet in some band with probability 0.997.
 BANDS, ROWS = 8, 3
-#: Characters of a line that are cut out together, before the shingles in them are taken one by one.
-CHUNK = 64
+#: Shingles that one row of the signature's aggregate takes up.
+AT_ONCE = 4
 #: Minima are compared by their last bits, so many of them in a long.
 BITS, IN_LONG = 5, 12
+PACKS = [f"l{j}" for j in range(BANDS * ROWS // IN_LONG)]
 #: Nodes in candidate pairs up to which they are broadcast in order to fetch their lines (8 bytes each, and what the hash table adds); beyond, by a shuffle.
 FEW = 1_000_000
+#: Removed lines up to which their places are broadcast to the documents (under 100 bytes each); beyond, by a shuffle.
+FEW_CUTS = 1_000_000
 
 
 def once(value: Column, f) -> Column:
@@ -45,23 +48,29 @@ def flips(n: int) -> list[int]:
 
 
 def shingles(line: Column, q: int) -> Column:
-    runs = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{q}}}))."), F.lit(1))
-    return F.when(F.length(line) < q, F.array(line)).otherwise(runs)
+    """Distinct hashed runs of q characters, or of the whole of a shorter line."""
+    at = lambda b: F.sequence(F.lit(1), F.greatest(F.length(b) - (2 * q - 1), F.lit(1)), F.lit(2))
+    return F.array_distinct(once(F.encode(line, "UTF-16BE"), lambda b: F.transform(at(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(2 * q))))))
 
 
 def located(docs: DataFrame, id_col: str) -> DataFrame:
     """(place, tag, pos, line, node) for each line that isn't blank."""
     own = docs.where("text is not null").select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("place"), F.xxhash64("text").alias("tag"), "text")
-    lines = own.select("place", "tag", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
+    lines = own.select("place", "tag", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.ltrim("line", F.lit(" \t\n\x0b\f\r")) != "")
     return lines.withColumn("node", F.xxhash64("line"))
 
 
-def shingle_hashes(lines: DataFrame, q: int) -> DataFrame:
-    """(node, h) for each shingle of each line: cut into overlapping chunks, then at every position of those."""
-    chunks = F.when(F.length("line") < q, F.array("line")).otherwise(F.regexp_extract_all("line", F.lit(rf"(?s)(?=(.{{{q},{CHUNK + q - 1}}})).{{1,{CHUNK}}}"), F.lit(1)))
-    places = F.sequence(F.lit(1), F.greatest(F.length("chunk") - (q - 1), F.lit(1)))
-    at = lines.select("node", F.explode(chunks).alias("chunk")).select("node", "chunk", F.explode(places).alias("at"))
-    return at.select("node", F.xxhash64(F.substring("chunk", F.col("at"), F.lit(q))).alias("h"))
+def signatures(lines: DataFrame, q: int) -> DataFrame:
+    """(node, n, m0, m1, ...): how many lines a node has, and the minima of its shingle hashes."""
+    last = F.length("b") - (2 * q - 1)
+    at = lines.select("node", F.encode("line", "UTF-16BE").alias("b"))
+    at = at.select("node", "b", F.explode(F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(2 * AT_ONCE))).alias("at"))
+    run = lambda j: F.xxhash64(F.substring("b", F.col("at") + 2 * j, F.lit(2 * q)))
+    hashes = [run(0).alias("h0")] + [F.when(F.col("at") + 2 * j <= last, run(j)).otherwise(run(0)).alias(f"h{j}") for j in range(1, AT_ONCE)]
+    # the upper halves are enough to compare
+    least = lambda x: F.shiftright(F.least(*(F.col(f"h{j}").bitwiseXOR(F.lit(x)) for j in range(AT_ONCE))), 32).cast("int")
+    minima = [F.min(least(x)).alias(f"m{i}") for i, x in enumerate(flips(BANDS * ROWS))]
+    return at.select("node", F.when(F.col("at") == 1, 1).otherwise(0).alias("one"), *hashes).groupBy("node").agg(F.sum("one").alias("n"), *minima)
 
 
 def differing(a: str, b: str) -> str:
@@ -71,29 +80,33 @@ def differing(a: str, b: str) -> str:
     return f"bit_count(({any_bit}) & {sum(1 << BITS * i for i in range(IN_LONG))}L)"
 
 
-def links(lines: DataFrame, scratch: common.Scratch, *, q: int, threshold: float) -> DataFrame:
-    """Pairs of nodes (a, b) with exact Jaccard from threshold on."""
-    size = BANDS * ROWS
-    # the upper halves are enough to compare
-    minima = [F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(x)), 32).cast("int")).alias(f"m{i}") for i, x in enumerate(flips(size))]
+def signed(lines: DataFrame, q: int) -> DataFrame:
+    """(node, n, l0, l1, ..., bands): signatures cut into bands, and the last bits of their minima."""
     bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
     low = lambda i: F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit((1 << BITS) - 1)).cast("long"), BITS * (i % IN_LONG))
-    packs = [f"l{j}" for j in range(size // IN_LONG)]
-    packed = [reduce(Column.bitwiseOR, (low(i) for i in range(j * IN_LONG, (j + 1) * IN_LONG))).alias(c) for j, c in enumerate(packs)]
-    signed = scratch.put(shingle_hashes(lines, q).groupBy("node").agg(*minima).select("node", *packed, bands.alias("bands")), "bands")
-    entries = signed.select("node", F.explode("bands").alias("band"))
-    p = (1 - threshold) * (1 - 0.5**BITS)
-    near = f"{' + '.join(differing('a' + c, 'b' + c) for c in packs)} <= {int(size * p + 5 * (size * p * (1 - p)) ** 0.5)}"
-    sides = [signed.select(F.col("node").alias(s), *(F.col(c).alias(s + c) for c in packs)) for s in "ab"]
+    packed = [reduce(Column.bitwiseOR, (low(i) for i in range(j * IN_LONG, (j + 1) * IN_LONG))).alias(c) for j, c in enumerate(PACKS)]
+    return signatures(lines, q).select("node", "n", *packed, bands.alias("bands"))
+
+
+def near(threshold: float) -> str:
+    """Whether sides a and b, by the last bits of their minima, may reach the threshold."""
+    size, p = BANDS * ROWS, (1 - threshold) * (1 - 0.5**BITS)
+    return f"{' + '.join(differing('a' + c, 'b' + c) for c in PACKS)} <= {int(size * p + 5 * (size * p * (1 - p)) ** 0.5)}"
+
+
+def links(lines: DataFrame, known: DataFrame, scratch: common.Scratch, *, q: int, threshold: float) -> DataFrame:
+    """Pairs of nodes (a, b) with exact Jaccard from threshold on; known: signed(lines)."""
+    entries = known.select("node", F.explode("bands").alias("band"))
+    sides = [known.select(F.col("node").alias(s), *(F.col(c).alias(s + c) for c in PACKS)) for s in "ab"]
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that hold over all shingles of both lines."""
-        pairs = scratch.put(pairs.join(sides[0], "a").join(sides[1], "b").where(near).select("a", "b"), "pairs")
+        pairs = scratch.put(pairs, "pairs")
         nodes = scratch.put(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
         wanted = F.broadcast(nodes) if nodes.count() <= FEW else nodes
         texts = lines.select("node", "line").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
         full = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-        sets = F.struct(*(F.array_distinct(shingles(F.col(c), q)).alias(c) for c in "xy"))
+        sets = F.struct(*(shingles(F.col(c), q).alias(c) for c in "xy"))
         both = lambda s: once(F.size(F.array_intersect(s["x"], s["y"])), lambda k: k >= threshold * (F.size(s["x"]) + F.size(s["y"]) - k))
         out = scratch.put(full.where(once(sets, both)).select("a", "b"), "links")
         scratch.drop(pairs, nodes)
@@ -102,18 +115,25 @@ def links(lines: DataFrame, scratch: common.Scratch, *, q: int, threshold: float
     pivots = scratch.put(entries.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "pivots")
     met = scratch.put(entries.join(pivots, "band"), "met")
     scratch.drop(pivots)
-    pairs = met.select("node", F.explode(F.array("lo", "hi")).alias("pivot")).where("node <> pivot")
-    found = verified(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+    # each line with the pivot that it meets in most bands, of either kind
+    found = []
+    for pivot in ("lo", "hi"):
+        pairs = met.where(f"node <> {pivot}").groupBy(F.col("node").alias("b"), F.col(pivot).alias("a")).count()
+        if found:
+            at = [components(found[0], scratch).select(F.col("node").alias(s), F.col("component").alias(f"{s}_in")) for s in "ab"]
+            pairs = pairs.join(at[0], "a", "left").join(at[1], "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select("a", "b", "count")
+        pairs = pairs.join(sides[0], "a").join(sides[1], "b").where(near(threshold))
+        found.append(verified(pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))))
     # members of a bucket that are in different components by now are compared with each other
-    at = components(found, scratch)
-    placed = met.join(at, "node", "left").select("band", "node", "lo", "hi", F.coalesce("component", "node").alias("grp"))
-    mixed = placed.groupBy("band").agg(F.min("grp").alias("least"), F.max("grp").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most and n > 2")
-    placed = scratch.put(placed.where("node <> lo and node <> hi").join(mixed.select("band"), "band", "left_semi").select("band", "node", "grp"), "placed")
-    left, right = (placed.select("band", *(F.col(c).alias(f"{s}{c}") for c in ("node", "grp"))) for s in "ab")
-    rest = left.join(right, "band").where("agrp < bgrp").select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"))
-    more = verified(rest.distinct())
-    scratch.drop(signed, met, placed)
-    return found.unionByName(more)
+    at = components(found[0].unionByName(found[1]), scratch)
+    placed = met.join(at, "node", "left").select("band", "node", F.coalesce("component", "node").alias("grp"))
+    mixed = placed.groupBy("band").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least <> most").select("band")
+    placed = scratch.put(placed.join(mixed, "band", "left_semi").join(known.select("node", *PACKS), "node"), "placed")
+    left, right = (placed.select("band", *(F.col(c).alias(f"{s}{c}") for c in ("node", "grp", *PACKS))) for s in "ab")
+    rest = left.join(right, "band").where("agrp < bgrp").where(near(threshold))
+    more = verified(rest.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct())
+    scratch.drop(met, placed)
+    return found[0].unionByName(found[1]).unionByName(more)
 
 
 def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
@@ -124,19 +144,22 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", q: int = 5, threshold: flo
     """The rows of docs with text without its repeated lines, and n_lines and n_removed."""
     scratch = common.Scratch(docs.sparkSession)
     lines = located(docs, id_col)
-    groups = common.components(scratch, links(lines, scratch, q=q, threshold=threshold))
-    places = lines.groupBy("node").agg(F.min(F.struct("place", "pos", "tag")).alias("at"), F.count(F.lit(1)).alias("n"))
-    grouped = places.join(groups.select(F.col("id").alias("node"), "component"), "node", "left").where("n > 1 or component is not null")
-    grouped = scratch.put(grouped.select("node", F.coalesce("component", "node").alias("component"), "at"), "grouped")
-    keepers = grouped.groupBy("component").agg(F.min("at").alias("keep"))
-    acting = grouped.select("node", "component").join(keepers, "component").select("node", "keep.*")
-    acting = acting.select("node", F.col("place").alias("k_place"), F.col("pos").alias("k_pos"))
-    gone = lines.select("node", "place", "tag", "pos").join(acting, "node").where("place <> k_place or pos <> k_pos")
+    known = scratch.put(signed(lines, q), "signed")
+    groups = common.components(scratch, links(lines, known, scratch, q=q, threshold=threshold)).select(F.col("id").alias("node"), "component")
+    acting = known.select("node", "n").join(groups, "node", "left").where("n > 1 or component is not null")
+    acting = scratch.put(acting.select("node", F.coalesce("component", "node").alias("component")), "acting")
+    scratch.drop(known)
+    wanted = F.broadcast(acting) if acting.count() <= FEW else acting
+    there = scratch.put(lines.select("node", "place", "tag", "pos").join(wanted, "node").drop("node"), "there")
+    keepers = there.groupBy("component").agg(F.min(F.struct("place", "pos", "tag")).alias("keep"))
+    keepers = keepers.select("component", F.col("keep.place").alias("k_place"), F.col("keep.pos").alias("k_pos"))
+    gone = scratch.put(there.join(keepers, "component").where("place <> k_place or pos <> k_pos").select("place", "tag", "pos"), "gone")
+    scratch.drop(there)
     # a document has no more of these than lines
     cut = gone.groupBy("place", "tag").agg(F.collect_list("pos").alias("cut"))
     own = docs.withColumns({"__place": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "__tag": F.xxhash64("text")})
     cut = cut.select(F.col("place").alias("__place"), F.col("tag").alias("__tag"), F.array_distinct("cut").alias("__cut"))
-    out = own.join(cut, ["__place", "__tag"], "left")
+    out = own.join(F.broadcast(cut) if gone.count() <= FEW_CUTS else cut, ["__place", "__tag"], "left")
     kept = once(F.split("text", "\n", -1), lambda w: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), F.col("__cut")), lambda i: F.get(w, i)), "\n"))
     count = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1
     counts = [F.coalesce(count, F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.size("__cut"), F.lit(0)).cast("long").alias("n_removed")]
