@@ -3,7 +3,7 @@
 A line's shingles are its runs of ``q`` characters at every position, or the whole of a shorter line. MinHash
 signatures of them (the shingle hashes' minima under fixed bit flips) go into bands; within a band's
 bucket every line is compared with two pivots, the least and the greatest, and then with all members
-that are in another component yet. Pairs of which more minima differ than five standard deviations
+that are in another component yet. Pairs of which more minima differ than four standard deviations
 beyond what the threshold lets expect are left out; all others are tested by exact Jaccard
 over the shingles, by their 64-bit hashes. A character is a unit of UTF-16. Links make components by union-find, and each component keeps one line. Equal lines are one node from the start, named by the line's 64-bit hash. Everything is DataFrame functions.
 
@@ -91,7 +91,7 @@ def signed(lines: DataFrame, q: int) -> DataFrame:
 def near(threshold: float) -> str:
     """Whether sides a and b, by the last bits of their minima, may reach the threshold."""
     size, p = BANDS * ROWS, (1 - threshold) * (1 - 0.5**BITS)
-    return f"{' + '.join(differing('a' + c, 'b' + c) for c in PACKS)} <= {int(size * p + 5 * (size * p * (1 - p)) ** 0.5)}"
+    return f"{' + '.join(differing('a' + c, 'b' + c) for c in PACKS)} <= {int(size * p + 4 * (size * p * (1 - p)) ** 0.5)}"
 
 
 def links(lines: DataFrame, known: DataFrame, scratch: common.Scratch, *, q: int, threshold: float) -> DataFrame:
