@@ -1,10 +1,12 @@
 """Line dedup: of lines that are equal or nearly so, the first in the corpus stays.
 
-A line's shingles are its runs of ``q`` characters at every position, or the whole of a shorter line. MinHash
-signatures of them (the shingle hashes' minima under fixed bit flips) go into bands; within a band's
-bucket every line is compared with two pivots, the least and the greatest, and then with all members
-that are in another component yet. Pairs of which more minima differ than four standard deviations
-beyond what the threshold lets expect are left out; all others are tested by exact Jaccard
+A line's shingles are its runs of ``q`` characters at every position, or the whole of a shorter line. Nine MinHash
+values of them (the shingle hashes' minima under fixed bit flips) make twelve bands of three, the lines
+of a plane of nine points, of which every two share one point at most: two lines of text miss each other in
+all bands only if five or more of the nine minima differ. Within a band's bucket every line is
+compared with the bucket's pivot, if it shares more bands with it than with other pivots, and then with all members
+that are in another component yet. Pairs whose bitmaps of shingles differ in more bits, by four standard deviations,
+than the threshold lets expect are left out before they are made; all others are tested by exact Jaccard
 over the shingles, by their 64-bit hashes. A character is a unit of UTF-16. Links make components by union-find, and each component keeps one line. Equal lines are one node from the start, named by the line's 64-bit hash. Everything is DataFrame functions.
 
 Defined results: ids are whole numbers; null texts stay null and have no lines; blank lines are never removed and never
@@ -23,13 +25,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Two lines of Jaccard 0.8 meet in some band with probability 0.997.
-BANDS, ROWS = 8, 3
+#: Minima that make a band: the lines of the affine plane of order 3. Two lines of text of Jaccard 0.8 meet in some band with probability 0.99.
+BANDS = sorted({tuple(sorted(3 * ((x + t * dx) % 3) + (y + t * dy) % 3 for t in range(3))) for dx, dy in ((0, 1), (1, 0), (1, 1), (1, 2)) for x in range(3) for y in range(3)})
+MINIMA = 9
+#: Longs of a line's bitmap, which has a bit for each class of shingles.
+WORDS = 8
+SKETCH = ["zeros", *(f"p{j}" for j in range(WORDS))]
 #: Shingles that one row of the signature's aggregate takes up.
 AT_ONCE = 4
-#: Minima are compared by their last bits, so many of them in a long.
-BITS, IN_LONG = 5, 12
-PACKS = [f"l{j}" for j in range(BANDS * ROWS // IN_LONG)]
+#: Band keys of several lines up to which they are broadcast (8 bytes each, and what the hash table adds); beyond, by a shuffle.
+FEW_KEYS = 2_000_000
 #: Nodes in candidate pairs up to which they are broadcast in order to fetch their lines (8 bytes each, and what the hash table adds); beyond, by a shuffle.
 FEW = 1_000_000
 #: Removed lines up to which their places are broadcast to the documents (under 100 bytes each); beyond, by a shuffle.
@@ -60,44 +65,40 @@ def located(docs: DataFrame, id_col: str) -> DataFrame:
     return lines.withColumn("node", F.xxhash64("line"))
 
 
-def signatures(lines: DataFrame, q: int) -> DataFrame:
-    """(node, n, m0, m1, ...): how many lines a node has, and the minima of its shingle hashes."""
+def signed(lines: DataFrame, q: int) -> DataFrame:
+    """(node, n, zeros, p0, p1, ..., bands): how many lines a node has, bitmap with its share of zeros, bands."""
     last = F.length("b") - (2 * q - 1)
     at = lines.select("node", F.encode("line", "UTF-16BE").alias("b"))
     at = at.select("node", "b", F.explode(F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(2 * AT_ONCE))).alias("at"))
     run = lambda j: F.xxhash64(F.substring("b", F.col("at") + 2 * j, F.lit(2 * q)))
     hashes = [run(0).alias("h0")] + [F.when(F.col("at") + 2 * j <= last, run(j)).otherwise(run(0)).alias(f"h{j}") for j in range(1, AT_ONCE)]
+    rows = at.select("node", F.when(F.col("at") == 1, 1).otherwise(0).alias("one"), *hashes)
     # the upper halves are enough to compare
     least = lambda x: F.shiftright(F.least(*(F.col(f"h{j}").bitwiseXOR(F.lit(x)) for j in range(AT_ONCE))), 32).cast("int")
-    minima = [F.min(least(x)).alias(f"m{i}") for i, x in enumerate(flips(BANDS * ROWS))]
-    return at.select("node", F.when(F.col("at") == 1, 1).otherwise(0).alias("one"), *hashes).groupBy("node").agg(F.sum("one").alias("n"), *minima)
-
-
-def differing(a: str, b: str) -> str:
-    """How many of the minima packed into two longs differ in their last bits."""
-    x = f"({a} ^ {b})"
-    any_bit = " | ".join([x, *(f"shiftrightunsigned({x}, {i})" for i in range(1, BITS))])
-    return f"bit_count(({any_bit}) & {sum(1 << BITS * i for i in range(IN_LONG))}L)"
-
-
-def signed(lines: DataFrame, q: int) -> DataFrame:
-    """(node, n, l0, l1, ..., bands): signatures cut into bands, and the last bits of their minima."""
-    bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
-    low = lambda i: F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit((1 << BITS) - 1)).cast("long"), BITS * (i % IN_LONG))
-    packed = [reduce(Column.bitwiseOR, (low(i) for i in range(j * IN_LONG, (j + 1) * IN_LONG))).alias(c) for j, c in enumerate(PACKS)]
-    return signatures(lines, q).select("node", "n", *packed, bands.alias("bands"))
+    minima = [F.min(least(x)).alias(f"m{i}") for i, x in enumerate(flips(MINIMA))]
+    bit = lambda j, w: f"if((h{j} & {WORDS - 1}) = {w}, shiftleft(1L, cast(shiftright(h{j}, 3) & 63 as int)), 0L)"
+    bitmap = [F.expr(f"bit_or({' | '.join(bit(j, w) for j in range(AT_ONCE))})").alias(f"p{w}") for w in range(WORDS)]
+    out = rows.groupBy("node").agg(F.sum("one").alias("n"), *minima, *bitmap)
+    bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{i}") for i in points)) for b, points in enumerate(BANDS)))
+    zeros = F.expr(f"1 - ({' + '.join(f'bit_count(p{w})' for w in range(WORDS))}) / {64 * WORDS}D").alias("zeros")
+    return out.select("node", "n", zeros, *(f"p{w}" for w in range(WORDS)), bands.alias("bands"))
 
 
 def near(threshold: float) -> str:
-    """Whether sides a and b, by the last bits of their minima, may reach the threshold."""
-    size, p = BANDS * ROWS, (1 - threshold) * (1 - 0.5**BITS)
-    return f"{' + '.join(differing('a' + c, 'b' + c) for c in PACKS)} <= {int(size * p + 4 * (size * p * (1 - p)) ** 0.5)}"
+    """Whether sides a and b, by their bitmaps, may reach the threshold.
+
+    A set of x shingles leaves a share exp(-x / bits) of zeros; the union of two sets of n and m has
+    (n + m) / (1 + Jaccard) shingles, which gives the bits that only one of the two has.
+    """
+    size = 64 * WORDS
+    expected = f"{size} * (azeros + bzeros - 2 * pow(azeros * bzeros, {1 / (1 + threshold)!r}D))"
+    bits = " + ".join(f"bit_count(ap{w} ^ bp{w})" for w in range(WORDS))
+    return f"{bits} <= {expected} + 4 * sqrt(1 + greatest(0D, {expected}))"
 
 
 def links(lines: DataFrame, known: DataFrame, scratch: common.Scratch, *, q: int, threshold: float) -> DataFrame:
     """Pairs of nodes (a, b) with exact Jaccard from threshold on; known: signed(lines)."""
     entries = known.select("node", F.explode("bands").alias("band"))
-    sides = [known.select(F.col("node").alias(s), *(F.col(c).alias(s + c) for c in PACKS)) for s in "ab"]
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that hold over all shingles of both lines."""
@@ -112,28 +113,26 @@ def links(lines: DataFrame, known: DataFrame, scratch: common.Scratch, *, q: int
         scratch.drop(pairs, nodes)
         return out
 
-    pivots = scratch.put(entries.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "pivots")
-    met = scratch.put(entries.join(pivots, "band"), "met")
-    scratch.drop(pivots)
-    # each line with the pivot that it meets in most bands, of either kind
-    found = []
-    for pivot in ("lo", "hi"):
-        pairs = met.where(f"node <> {pivot}").groupBy(F.col("node").alias("b"), F.col(pivot).alias("a")).count()
-        if found:
-            at = [components(found[0], scratch).select(F.col("node").alias(s), F.col("component").alias(f"{s}_in")) for s in "ab"]
-            pairs = pairs.join(at[0], "a", "left").join(at[1], "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select("a", "b", "count")
-        pairs = pairs.join(sides[0], "a").join(sides[1], "b").where(near(threshold))
-        found.append(verified(pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))))
+    keys = scratch.put(entries.groupBy("band").count().where("count > 1").select("band"), "keys")
+    met = scratch.put(entries.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys, "band", "left_semi"), "met")
+    scratch.drop(keys)
+    # each line with the pivot that it meets in most bands
+    pivots = met.groupBy("band").agg(F.min("node").alias("a"))
+    pairs = met.join(pivots, "band").where("node <> a").groupBy(F.col("node").alias("b"), "a").count()
+    pairs = pairs.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select("b", "best.a")
+    sides = [known.select(F.col("node").alias(s), *(F.col(c).alias(s + c) for c in SKETCH)) for s in "ab"]
+    found = verified(pairs.join(sides[0], "a").join(sides[1], "b").where(near(threshold)).select("a", "b"))
     # members of a bucket that are in different components by now are compared with each other
-    at = components(found[0].unionByName(found[1]), scratch)
+    at = components(found, scratch)
     placed = met.join(at, "node", "left").select("band", "node", F.coalesce("component", "node").alias("grp"))
     mixed = placed.groupBy("band").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least <> most").select("band")
-    placed = scratch.put(placed.join(mixed, "band", "left_semi").join(known.select("node", *PACKS), "node"), "placed")
-    left, right = (placed.select("band", *(F.col(c).alias(f"{s}{c}") for c in ("node", "grp", *PACKS))) for s in "ab")
+    placed = scratch.put(placed.join(mixed, "band", "left_semi").join(known.select("node", *SKETCH), "node"), "placed")
+    scratch.drop(met)
+    left, right = (placed.select("band", *(F.col(c).alias(f"{s}{c}") for c in ("node", "grp", *SKETCH))) for s in "ab")
     rest = left.join(right, "band").where("agrp < bgrp").where(near(threshold))
     more = verified(rest.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct())
-    scratch.drop(met, placed)
-    return found[0].unionByName(found[1]).unionByName(more)
+    scratch.drop(placed)
+    return found.unionByName(more)
 
 
 def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
@@ -161,7 +160,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", q: int = 5, threshold: flo
     cut = cut.select(F.col("place").alias("__place"), F.col("tag").alias("__tag"), F.array_distinct("cut").alias("__cut"))
     out = own.join(F.broadcast(cut) if gone.count() <= FEW_CUTS else cut, ["__place", "__tag"], "left")
     kept = once(F.split("text", "\n", -1), lambda w: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), F.col("__cut")), lambda i: F.get(w, i)), "\n"))
-    count = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1
+    count = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"))) + 1
     counts = [F.coalesce(count, F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.size("__cut"), F.lit(0)).cast("long").alias("n_removed")]
     text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(kept).alias("text")
     return out.select(*(text if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")), *counts)
