@@ -3,18 +3,21 @@
 A seed is the hash of the tokens that a fixed mask looks at; it ignores the others, so that a
 substituted token spoils only seeds that look at it. The two masks are chosen together: wherever two
 of ``WINDOW`` tokens are substituted, one of the masks fits somewhere between them. Seeds of test items
-and training texts are joined; a hit names an alignment (test item, offset between the two), which is
-verified token by token: it counts if some window of the item matches in all but ``errors`` tokens.
+and training texts are joined; a hit names an alignment (test item, offset between the two), of which the
+windows around the hit are verified token by token: it counts if some window of the item matches in all but ``ERRORS`` tokens.
 
 An item shorter than the window is seeded by runs of its tokens: where its rule allows no substitution,
 by the whole item, where it allows one, by its two halves, one of which is intact. Texts are seeded by
 runs of just the lengths that the items at hand need.
 
-Tokens are runs of letters and digits, lower-cased; a letter of a script without spaces is a token. The seeds of the test items are broadcast while
-they are few, by count, and joined by a shuffle beyond that. Everything is DataFrame functions.
+Tokens are runs of letters and digits, lower-cased; a letter of a script without spaces is a token. While the seeds and
+tokens of the test items are few, by count, they are broadcast: each text then meets them where it lies, and nothing
+but results is shuffled. Beyond that they are joined by a shuffle of seeds, and then of the texts that have hits.
+Everything is DataFrame functions.
 
 Defined results: null and empty texts hit nothing; items of under 13 tokens must match as a whole, in
-all but a proportional number of tokens (2 of 13); items without a token are never found; rows that share id and text give one result, and so do test rows that share an id.
+all but a proportional number of tokens (2 of 13); items without a token are never found; rows that share id and text give one
+result, rows that share an id one for each item, with the earliest place and the best match of them; so do test rows that share an id.
 """
 
 from __future__ import annotations
@@ -22,12 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .line_dedup import once
 
 WINDOW, ERRORS = 13, 2
 #: Fixed masks: places within a window that a seed looks at. No two substitutions in 13 tokens escape both.
 MASKS = ((0, 3, 6, 7, 8, 9), (0, 1, 3, 4, 6, 10))
-#: Seeds of test items up to which they are broadcast (16 bytes each, and what the hash table adds).
+#: Seeds, and tokens, of test items up to which they are broadcast (some 20 bytes each, and what the hash table adds).
 FEW = 400_000
 
 
@@ -47,60 +51,69 @@ def parts(n: int) -> list[tuple[int, int]]:
     return [(a, z - a) for a, z in zip(edges, edges[1:], strict=False)]
 
 
-def run_seed(h: Column, at: Column, length: Column) -> Column:
-    return F.struct(at.alias("pos"), F.xxhash64(F.lit(-1), length, F.slice(h, at + 1, length)).alias("seed"))
+def kinds(lengths: list[int]) -> list[tuple[int, ...]]:
+    """Places that each kind of seed looks at: the masks, and runs of these lengths."""
+    return [*MASKS, *(tuple(range(n)) for n in lengths)]
 
 
-def masked(h: Column, k: int) -> Column:
-    """array<struct<pos, seed>> of hashed tokens under one mask; none where the mask doesn't fit."""
-    mask = MASKS[k]
-    fits = F.filter(F.array(h), lambda x: F.size(x) > mask[-1])
-    seed = lambda x, i: F.struct(i.alias("pos"), F.xxhash64(F.lit(k), *(F.get(x, i + m) for m in mask)).alias("seed"))
-    return F.flatten(F.transform(fits, lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 1 - mask[-1]), lambda i: seed(x, i))))
+def seed(tokens_: Column, at: Column, places: tuple[int, ...]) -> Column:
+    """The hash of tokens at these places from ``at`` on, told apart from other kinds by their number and span."""
+    return F.xxhash64(F.lit(len(places)), F.lit(places[-1]), *(F.get(tokens_, at + m) for m in places))
 
 
-def runs(h: Column, length: int) -> Column:
-    """array<struct<pos, seed>> of every run of so many hashed tokens."""
-    fits = F.filter(F.array(h), lambda x: F.size(x) >= length)
-    return F.flatten(F.transform(fits, lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - length), lambda i: run_seed(x, i, F.lit(length)))))
+def seeds_of_texts(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """texts with (pos, seed) for each seed of ``have``: one row at a time, none where a kind doesn't fit."""
+    spots = texts.select("*", F.explode(F.sequence(F.lit(0), F.size("have") - 1)).alias("pos"))
+    made = [F.when(F.col("pos") + p[-1] < F.size("have"), seed(F.col("have"), F.col("pos"), p)) for p in kinds(lengths)]
+    return spots.select("*", F.explode(F.array(*made)).alias("seed")).where("seed is not null")
 
 
-def seeds(text: Column, lengths: list[int]) -> Column:
-    """array<struct<pos, seed>> of a text, under all masks and of runs of these lengths."""
-    return once(F.transform(tokens(text), lambda w: F.xxhash64(w)), lambda h: F.concat(*(masked(h, k) for k in range(len(MASKS))), *(runs(h, n) for n in lengths)))
+def seeds_of_items(items: DataFrame, lengths: list[int]) -> DataFrame:
+    """(item, seed, item_pos): all masks of items of WINDOW tokens or more, the parts of shorter ones."""
+    spots = items.select("item", "want", F.explode(F.sequence(F.lit(0), F.size("want") - 1)).alias("item_pos"))
+    size = F.size("want")
+    made = [F.when((size >= WINDOW) & (F.col("item_pos") + p[-1] < size), seed(F.col("want"), F.col("item_pos"), p)) for p in MASKS]
+    for n in range(1, WINDOW):
+        for at, length in parts(n):
+            if length in lengths:
+                made.append(F.when((size == n) & (F.col("item_pos") == at), seed(F.col("want"), F.col("item_pos"), tuple(range(length)))))
+    return spots.select("item", "item_pos", F.explode(F.array(*made)).alias("seed")).where("seed is not null").distinct()
 
 
-def short_seeds(text: Column, sizes: list[int]) -> Column:
-    """array<struct<pos, seed>> of an item whose size is one of these."""
-    made = lambda h, n: F.array(*(run_seed(h, F.lit(at), F.lit(length)) for at, length in parts(n)))
-    none = F.array().cast("array<struct<pos:int,seed:bigint>>")
-    return once(F.transform(tokens(text), lambda w: F.xxhash64(w)), lambda h: F.concat(none, *(F.when(F.size(h) == n, made(h, n)).otherwise(none) for n in sizes)))
+def windows(have: Column, want: Column, shift: Column, first: Column, last: Column, width: Column) -> Column:
+    """The best of the windows of the item that begin at first to last: struct of matching tokens and minus its place."""
+    same = F.transform(F.sequence(first, last + width - 1), lambda j: F.when((j + shift >= 0) & (F.get(have, j + shift) == F.get(want, j)), 1).otherwise(0))
+    sums = once(same, lambda m: F.transform(F.sequence(F.lit(1), F.size(m) - width + 1), lambda s: F.struct(F.aggregate(F.slice(m, s, width), F.lit(0), lambda a, x: a + x).alias("n"), (-(first + s - 1)).alias("minus_at"))))
+    return F.array_max(sums)
 
 
 def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """id, item id, first_pos (token of the text where a match begins), n_matched (of a window, at best)."""
-    tests = items.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).alias("item_text"))
-    tests = tests.where(tokens(F.col("item_text"))[0] != "")
-    size = F.size(tokens(F.col("item_text")))
-    sizes = sorted(r["n"] for r in tests.select(size.alias("n")).where(F.col("n") < WINDOW).distinct().collect())  # under WINDOW rows
+    scratch = common.Scratch(docs.sparkSession)
+    tests = items.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), tokens(F.col(text_col)).alias("want"))
+    tests = scratch.put(tests.where(F.col("want")[0] != "").distinct(), "items")
+    sizes = [r["n"] for r in tests.select(F.size("want").alias("n")).where(F.col("n") < WINDOW).distinct().collect()]  # under WINDOW rows
     lengths = sorted({length for n in sizes for _, length in parts(n)})
-    item_seeds = tests.select("item", F.explode(F.when(size < WINDOW, short_seeds(F.col("item_text"), sizes)).otherwise(seeds(F.col("item_text"), []))).alias("s")).select("item", F.col("s.pos").alias("item_pos"), F.col("s.seed").alias("seed")).distinct()
-    own = docs.where("text is not null").select(F.col(id_col).alias("id"), F.xxhash64("text").alias("tag"), "text")
-    own_seeds = own.select("id", "tag", F.explode(seeds(F.col("text"), lengths)).alias("s")).select("id", "tag", F.col("s.pos").alias("pos"), F.col("s.seed").alias("seed"))
-    few = item_seeds.limit(FEW + 1).count() <= FEW
-    hits = own_seeds.join(F.broadcast(item_seeds) if few else item_seeds, "seed")
-    hits = hits.select("id", "tag", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
-    item_tokens = tests.select("item", tokens(F.col("item_text")).alias("want"))
-    texts = own.select("id", "tag", tokens(F.col("text")).alias("have"))
-    # every column that a lambda refers to comes out of an aggregate or a join, and is worked out once
-    near = hits.join(F.broadcast(item_tokens) if few else item_tokens, "item").join(texts, ["id", "tag"])
-    same = F.transform(F.sequence(F.lit(0), F.size("want") - 1), lambda j: F.when((j + F.col("shift") >= 0) & (F.get("have", j + F.col("shift")) == F.get("want", j)), 1).otherwise(0))
+    # rows of the test table that share an id are told apart by their tokens
+    tests = tests.withColumn("item_tag", F.xxhash64("want"))
+    item_seeds = seeds_of_items(tests.select(F.struct("item", "item_tag").alias("item"), "want"), lengths).select("item.*", "item_pos", "seed")
+    item_seeds = scratch.put(item_seeds, "seeds")
+    own = docs.where("text is not null").select(F.col(id_col).alias("id"), F.xxhash64("text").alias("tag"), tokens(F.col("text")).alias("have"))
+    few = item_seeds.limit(FEW + 1).count() <= FEW and (tests.agg(F.sum(F.size("want"))).first()[0] or 0) <= FEW
+    if few:
+        hits = seeds_of_texts(own, lengths).join(F.broadcast(item_seeds), "seed")
+        near = hits.join(F.broadcast(tests), ["item", "item_tag"])
+    else:
+        hits = seeds_of_texts(own, lengths).select("id", "tag", "pos", "seed").join(item_seeds, "seed")
+        hits = scratch.put(hits.select("id", "tag", "item", "item_tag", "pos", "item_pos").distinct(), "hits")
+        texts = own.join(hits.select("id", "tag").distinct(), ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"])
+        near = hits.join(tests, ["item", "item_tag"]).join(texts, ["id", "tag"])
+    # windows of the item that hold the hit's place; a mask spans less than the window
     width = F.least(F.size("want"), F.lit(WINDOW))
-    sums = once(same, lambda m: F.transform(F.sequence(F.lit(1), F.size(m) - width + 1), lambda s: F.struct(F.aggregate(F.slice(m, s, width), F.lit(0), lambda a, x: a + x).alias("n"), (-(s - 1)).alias("minus_at"))))
-    best = near.select("id", "item", "shift", width.alias("width"), F.array_max(sums).alias("b"))
+    near = near.withColumns({"width": width, "shift": F.col("pos") - F.col("item_pos"), "first": F.greatest(F.col("item_pos") - (WINDOW - 1), F.lit(0)), "last": F.least(F.col("item_pos"), F.size("want") - width)})
+    best = near.select("id", "item", "shift", "width", windows(F.col("have"), F.col("want"), F.col("shift"), F.col("first"), F.col("last"), F.col("width")).alias("b"))
     good = best.where((F.col("width") - F.col("b.n")) * WINDOW <= F.col("width") * ERRORS)
-    out = good.groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(F.min(F.greatest(F.col("shift") - F.col("b.minus_at"), F.lit(0))).alias("first_pos"), F.max("b.n").alias("n_matched"))
-    return out
+    return good.groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(F.min(F.greatest(F.col("shift") - F.col("b.minus_at"), F.lit(0))).alias("first_pos"), F.max("b.n").alias("n_matched"))
 
 
 def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
