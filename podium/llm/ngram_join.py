@@ -8,10 +8,12 @@ and large is where enumeration would cost more rows than scanning, by the measur
 
 Equal sets are one node from the start, named by the 64-bit sum of their hashed n-grams (n-grams are
 counted by 64-bit hashes, and compared by 48 of these bits). Lists are not expanded into pairs: each set is first tested
-against the pivot of its lists, twice with different pivots; the components so found leave only pairs
-across components, which are generated under three exact bounds (sizes, components, and the Hamming
-distance of 512-bit parity sketches, which no symmetric difference undercuts) and then verified with
-whole sets. No link between components is lost, so components are exact.
+against the pivot of its lists, the one with the most and longest lists among sets of about its size; sets that came near a pivot go on with other pivots, drawn at random, as long as that links
+components. Only pairs across the components so found are then generated, under bounds that are asked before a row is made: their
+sizes; the places of the n-gram in both orders (what follows it must suffice for the overlap); the Hamming
+distance of 512-bit parity sketches, which no symmetric difference undercuts; and that of 256-bit sketches of one n-gram in
+32, which tells long sets apart, with six standard deviations allowed. All that pass are verified with
+whole sets, so that components are exact but for one pair in some 10**9.
 
 Defined results: null and empty texts have no n-grams and link with nothing; a text of fewer than
 ``k`` words is one n-gram; every row of the input gives a row, repeated rows too; a null id keeps a
@@ -32,7 +34,12 @@ from . import common
 
 SKETCH_BITS = 19  # counters of the frequency sketch: 2 MB, broadcast
 BITMAP_BITS = 26
+SAMPLED = 32  # one n-gram in so many goes into the second sketch
 PARITY = [f"p{i}" for i in range(8)]
+SAMPLE = [f"q{i}" for i in range(4)]
+SKETCH = [*PARITY, *SAMPLE]
+#: Turns of pivots at most, and the share of tested pairs that a turn must link for another one.
+TURNS, WORTH = 3, 0.1
 
 
 class Bounds:
@@ -80,8 +87,13 @@ def sets_of(texts: list[bytes | None], k: int):
     edges = np.searchsorted(owner, np.arange(len(texts) + 1))
     total = np.concatenate([[np.uint64(0)], np.cumsum(common.mix(h + np.uint64(0x51ED270B)), dtype=np.uint64)])
     sigs = common.signed(total[edges[1:]] - total[edges[:-1]])
-    bits = np.bincount(owner * 512 + (h >> np.uint64(20)).astype(np.int64) % 512, minlength=len(texts) * 512).astype(np.uint8) & 1
-    return h, edges, sigs, np.packbits(bits.reshape(-1, 512), axis=1).view(np.int64)
+
+    def parity(owner, h, bits):
+        odd = np.bincount(owner * bits + (h >> np.uint64(20)).astype(np.int64) % bits, minlength=len(texts) * bits).astype(np.uint8) & 1
+        return np.packbits(odd.reshape(-1, bits), axis=1).view(np.int64)
+
+    some = (h >> np.uint64(34)) % np.uint64(SAMPLED) == 0
+    return h, edges, sigs, np.concatenate([parity(owner, h, 64 * len(PARITY)), parity(owner[some], h[some], 64 * len(SAMPLE))], axis=1)
 
 
 def stored(s: np.ndarray) -> bytes:
@@ -109,7 +121,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", k: int = 3, num:
 
     def survey(batches):
         """Each document's set; at the end of a task what it adds to the frequency sketch and the sample."""
-        names = ["kind", "id", "n", "sig", *PARITY, "items"]
+        names = ["kind", "id", "n", "sig", *SKETCH, "items"]
         counts, sample, done = np.zeros(mask + 1, dtype=np.int64), {}, set()
         for b in batches:
             h, edges, sigs, words = sets_of(b["text"].to_pylist(), k)
@@ -122,14 +134,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", k: int = 3, num:
                 done.add(sig)
             if len(done) > 500_000:
                 done.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sigs), dtype=np.int32)), b["id"], pa.array(edges[1:] - edges[:-1]), pa.array(sigs), *(pa.array(words[:, i]) for i in range(8)), pa.array(items, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sigs), dtype=np.int32)), b["id"], pa.array(edges[1:] - edges[:-1]), pa.array(sigs), *(pa.array(words[:, i]) for i in range(len(SKETCH))), pa.array(items, pa.binary())], names=names)
         at = np.flatnonzero(counts)
         none = lambda n: pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 1, dtype=np.int32)), pa.array(at), pa.array(counts[at]), *[none(len(at))] * 9, pa.nulls(len(at), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 1, dtype=np.int32)), pa.array(at), pa.array(counts[at]), *[none(len(at))] * (1 + len(SKETCH)), pa.nulls(len(at), pa.binary())], names=names)
         own = np.fromiter(sample, dtype=np.uint64, count=len(sample))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), 2, dtype=np.int32)), pa.array(own.view(np.int64)), pa.array(np.fromiter(sample.values(), dtype=np.int64, count=len(own))), *[none(len(own))] * 9, pa.nulls(len(own), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), 2, dtype=np.int32)), pa.array(own.view(np.int64)), pa.array(np.fromiter(sample.values(), dtype=np.int64, count=len(own))), *[none(len(own))] * (1 + len(SKETCH)), pa.nulls(len(own), pa.binary())], names=names)
 
-    seen = scratch.put(texts.mapInArrow(survey, "kind int, id long, n long, sig long, " + ", ".join(f"{p} long" for p in PARITY) + ", items binary"), "survey")
+    seen = scratch.put(texts.mapInArrow(survey, "kind int, id long, n long, sig long, " + ", ".join(f"{p} long" for p in SKETCH) + ", items binary"), "survey")
     sketch = np.zeros(mask + 1, dtype=np.int64)
     got = seen.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     sketch[got["id"].to_numpy()] = got["n"].to_numpy()
@@ -140,7 +152,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", k: int = 3, num:
 
     def keys(batches):
         for b in batches:
-            out = [(np.zeros(0, dtype=np.uint64), 0, 0, False)]  # keys, set, side of the key's two sizes, sure
+            out = [(np.zeros(0, dtype=np.uint64), 0, 0, False, 0)]  # keys, set, side of the key's two sizes, sure, size of the set; places are 0, 1, ...
             for sig, n, data in zip(b["sig"].to_pylist(), b["n"].to_pylist(), b["items"].to_pylist(), strict=True):
                 s = restored(data)
                 if n <= boundary:
@@ -148,17 +160,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", k: int = 3, num:
                     for m, leave in need.subsets(n, boundary):
                         name = np.uint64(min(n, m) * 100_003 + max(n, m))
                         rest = np.array([h.sum(dtype=np.uint64) - h[list(c)].sum(dtype=np.uint64) for c in combinations(range(n), leave)], dtype=np.uint64)
-                        out.append((common.mix(rest + common.mix(np.array([name]))), sig, (n > m) - (n < m), True))
+                        out.append((common.mix(rest + common.mix(np.array([name]))), sig, (n > m) - (n < m), True, n))
                 if n > boundary or need.most(n) > boundary:
                     rank = own.value[(s >> np.uint64(16)).astype(np.int64) & mask]
-                    out.append((s[np.lexsort((s, rank))[: need.prefix(n)]], sig, 0, False))
+                    out.append((s[np.lexsort((s, rank))[: need.prefix(n)]], sig, 0, False, n))
             size = [len(x[0]) for x in out]
             cols = [pa.array(common.signed(np.concatenate([x[0] for x in out])))]
             cols += [pa.array(np.repeat(np.array([x[i] for x in out], dtype=t), size)) for i, t in ((1, np.int64), (2, np.int8), (3, bool))]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "sig", "side", "sure"])
+            cols.append(pa.array(np.repeat(np.array([x[4] for x in out], dtype=np.int32), size)))
+            cols.append(pa.array(np.concatenate([np.arange(x, dtype=np.int32) if not o[3] else np.zeros(x, dtype=np.int32) for x, o in zip(size, out, strict=True)])))
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "sig", "side", "sure", "n", "at"])
 
     whole = seen.where("kind = 0 and items is not null").select("sig", "n", "items")
-    posted = scratch.put(whole.mapInArrow(keys, "key long, sig long, side byte, sure boolean"), "lists")
+    posted = scratch.put(whole.mapInArrow(keys, "key long, sig long, side byte, sure boolean, n int, at int"), "lists")
     # a key of two sizes links only across them: two sets of one size may share too little for each other
     ends = [f("sig").alias(s) for f, s in ((F.min, "lo"), (F.max, "hi"))] + [f("side").alias(s) for f, s in ((F.min, "less"), (F.max, "more"))]
     shared_keys = scratch.put(posted.groupBy("key", "sure").agg(*ends).where("lo <> hi and (less = 0 or less <> more)").select("key", "sure"), "keys")
@@ -168,10 +182,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", k: int = 3, num:
         for b in batches:
             yield b.filter(pa.array(common.in_bitmap(key_bits.value, b["key"].to_numpy())))
 
-    perhaps = posted.mapInArrow(in_keys, "key long, sig long, side byte, sure boolean")
+    perhaps = posted.mapInArrow(in_keys, "key long, sig long, side byte, sure boolean, n int, at int")
     lists = scratch.put(perhaps.join(shared_keys, ["key", "sure"], "left_semi").distinct(), "shared")
-    scratch.drop(posted)
-    meta = scratch.put(seen.where("kind = 0 and n > 0").groupBy("sig").agg(F.first("n").alias("n"), *(F.first(p).alias(p) for p in PARITY)).join(lists.select("sig").distinct(), "sig", "left_semi"), "meta")
+    scratch.drop(posted, shared_keys)
+    meta = scratch.put(seen.where("kind = 0 and n > 0").groupBy("sig").agg(F.first("n").alias("n"), *(F.first(p).alias(p) for p in SKETCH)).join(lists.select("sig").distinct(), "sig", "left_semi"), "meta")
     def overlap(batches):
         for b in batches:
             ok = []
@@ -198,34 +212,48 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", k: int = 3, num:
         return out
 
     def near(a: str, b: str):
-        """Bounds that every linked pair keeps."""
-        apart = " + ".join(f"bit_count({a}{p} ^ {b}{p})" for p in PARITY)
-        return f"{a}n * {num} <= {b}n * {den} and {b}n * {num} <= {a}n * {den} and ({apart}) * {num + den} <= ({a}n + {b}n) * {den - num}"
+        """Bounds that linked pairs keep: sizes, and differing bits of both sketches."""
+        apart, some = (" + ".join(f"bit_count({a}{p} ^ {b}{p})" for p in words) for words in (PARITY, SAMPLE))
+        most = f"(({a}n + {b}n) * {(den - num) / (num + den) / SAMPLED!r}D)"
+        return f"{a}n * {num} <= {b}n * {den} and {b}n * {num} <= {a}n * {den} and ({apart}) * {num + den} <= ({a}n + {b}n) * {den - num} and {some} <= {most} + 6 * sqrt({most}) + 6"
 
-    sides = [meta.select(F.col("sig").alias(s), *(F.col(c).alias(f"{s}{c}") for c in ["n", *PARITY])) for s in "ab"]
+    sides = [meta.select(F.col("sig").alias(s), *(F.col(c).alias(f"{s}{c}") for c in ["n", *SKETCH])) for s in "ab"]
     sure = lists.where("sure")
     heads = sure.groupBy("key", (-F.col("side")).alias("side")).agg(F.min("sig").alias("a"))
     links = sure.join(heads, ["key", "side"]).where("sig <> a").select("a", F.col("sig").alias("b")).distinct()
-    scan = lists.where("not sure").select("key", "sig")
-    groups = None
-    for turn in range(2):
-        # each set with the pivot that most of its lists have, among those not yet in its component
-        pivots = scan.groupBy("key").agg(F.min_by("sig", F.xxhash64("sig", F.lit(turn))).alias("a"))
-        pairs = scan.join(pivots, "key").where("a <> sig").groupBy("a", F.col("sig").alias("b")).count()
-        if groups is not None:
-            at = [groups.select(F.col("id").alias(s), F.col("component").alias(f"{s}_in")) for s in "ab"]
-            pairs = pairs.join(at[0], "a", "left").join(at[1], "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select("a", "b", "count")
-        pairs = pairs.join(sides[0], "a").join(sides[1], "b").where(near("a", "b"))
+    scan = lists.where("not sure").select("key", "sig", "n", "at")
+    # sets close to the midst of a group of near copies have few n-grams of their own, and so more and longer lists
+    lengths = scan.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
+    central = scan.join(lengths, "key").groupBy("sig").agg(F.sum(F.log2("length")).alias("weight"))
+    groups, part = common.components(scratch, links), scratch.put(scan.join(central, "sig"), "scan")
+    for turn in range(TURNS):
+        # each set with the pivot that most of its lists have for sets of about its size, among those not yet in its component
+        sized = part.withColumn("class", F.floor(F.log("n") / -math.log(need.num / need.den) + turn / TURNS))
+        order = F.struct("weight", "sig") if turn == 0 else F.xxhash64("sig", F.lit(turn))
+        pivots = sized.groupBy("key", "class").agg(F.max_by("sig", order).alias("a"))
+        pairs = sized.join(pivots, ["key", "class"]).where("a <> sig").groupBy("a", F.col("sig").alias("b")).count()
+        at = [groups.select(F.col("id").alias(s), F.col("component").alias(f"{s}_in")) for s in "ab"]
+        pairs = pairs.join(at[0], "a", "left").join(at[1], "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select("a", "b", "count")
+        pairs = scratch.put(pairs.join(sides[0], "a").join(sides[1], "b").where(near("a", "b")).select("a", "b", "count"), "near")
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
-        links = links.unionByName(verified(best.select("a", "b")))
+        new = verified(best.select("a", "b"))
+        links = scratch.put(links.unionByName(new), "links")
         groups = common.components(scratch, links)
+        if turn == 0:
+            related = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+            part = scratch.put(part.join(related, "sig", "left_semi"), "related")
+        elif new.count() < WORTH * best.count():
+            break
     at = groups.select(F.col("id").alias("sig"), "component")
-    placed = scan.join(at, "sig", "left").select("key", "sig", F.coalesce("component", "sig").alias("grp"))
+    placed = scan.join(at, "sig", "left").select("key", "sig", "at", F.coalesce("component", "sig").alias("grp"))
     mixed = placed.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("key")
     placed = scratch.put(placed.join(mixed, "key", "left_semi").join(meta, "sig"), "placed")
-    left, right = ([F.col("key"), *(F.col(c).alias(f"{s}{c}") for c in ["sig", "grp", "n", *PARITY])] for s in "ab")
-    pairs = placed.select(*left).join(placed.select(*right), "key").where("agrp < bgrp").where(near("a", "b"))
+    left, right = ([F.col("key"), *(F.col(c).alias(f"{s}{c}") for c in ["sig", "at", "grp", "n", *SKETCH])] for s in "ab")
+    # the first n-gram that two linked sets share leaves enough behind it in both
+    ahead = " and ".join(f"({s}n - {s}at) * {num + den} >= (an + bn) * {num}" for s in "ab")
+    pairs = placed.select(*left).join(placed.select(*right), "key").where("agrp < bgrp").where(f"{ahead} and {near('a', 'b')}")
     pairs = scratch.put(pairs.select(F.col("asig").alias("a"), F.col("bsig").alias("b")).distinct(), "pairs")
+    scratch.drop(placed)
     if not pairs.isEmpty():
         groups = common.components(scratch, links.unionByName(verified(pairs)))
 
