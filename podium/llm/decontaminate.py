@@ -87,8 +87,8 @@ def windows(have: Column, want: Column, shift: Column, first: Column, last: Colu
     return F.array_max(sums)
 
 
-def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """id, item id, first_pos (token of the text where a match begins), n_matched (of a window, at best)."""
+def matches(docs: DataFrame, items: DataFrame, *, id_col: str, item_col: str, text_col: str) -> DataFrame:
+    """(id, tag, item, shift, b) for each hit that holds: hash of the text, offset of the item in it, best window around the hit."""
     scratch = common.Scratch(docs.sparkSession)
     tests = items.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), tokens(F.col(text_col)).alias("want"))
     tests = scratch.put(tests.where(F.col("want")[0] != "").distinct(), "items")
@@ -111,11 +111,18 @@ def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col:
     # windows of the item that hold the hit's place; a mask spans less than the window
     width = F.least(F.size("want"), F.lit(WINDOW))
     near = near.withColumns({"width": width, "shift": F.col("pos") - F.col("item_pos"), "first": F.greatest(F.col("item_pos") - (WINDOW - 1), F.lit(0)), "last": F.least(F.col("item_pos"), F.size("want") - width)})
-    best = near.select("id", "item", "shift", "width", windows(F.col("have"), F.col("want"), F.col("shift"), F.col("first"), F.col("last"), F.col("width")).alias("b"))
-    good = best.where((F.col("width") - F.col("b.n")) * WINDOW <= F.col("width") * ERRORS)
+    best = near.select("id", "tag", "item", "shift", "width", windows(F.col("have"), F.col("want"), F.col("shift"), F.col("first"), F.col("last"), F.col("width")).alias("b"))
+    return best.where((F.col("width") - F.col("b.n")) * WINDOW <= F.col("width") * ERRORS)
+
+
+def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """id, item id, first_pos (token of the text where a match begins), n_matched (of a window, at best)."""
+    good = matches(docs, items, id_col=id_col, item_col=item_col, text_col=text_col)
     return good.groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(F.min(F.greatest(F.col("shift") - F.col("b.minus_at"), F.lit(0))).alias("first_pos"), F.max("b.n").alias("n_matched"))
 
 
 def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that no test item was found in."""
-    return docs.join(find(docs, items, id_col=id_col).select(id_col).distinct(), id_col, "left_anti")
+    """The rows of docs that no test item was found in; rows that share an id, null too, are judged each by its text."""
+    hit = matches(docs, items, id_col=id_col, item_col="item_id", text_col="text").select(F.col("id").alias("__id"), F.col("tag").alias("__tag")).distinct()
+    own = docs.withColumn("__tag", F.xxhash64("text"))
+    return own.join(hit, own[id_col].eqNullSafe(hit["__id"]) & (own["__tag"] == hit["__tag"]), "left_anti").drop("__tag")

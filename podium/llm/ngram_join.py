@@ -111,17 +111,17 @@ def batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """id, n_shingles, component_id for each row of docs; sets link from Jaccard num/den on."""
+def groups_of(docs: DataFrame, *, id_col: str, k: int, num: int, den: int) -> DataFrame:
+    """(id, tag, n, grp) for each row of docs: hash of the text, size of its set, a name of its component (null for empty sets)."""
     spark = docs.sparkSession
     common.ready(spark)
     scratch, need = common.Scratch(spark), Bounds(num, den)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text"))
     mask = (1 << SKETCH_BITS) - 1
 
     def survey(batches):
         """Each document's set; at the end of a task what it adds to the frequency sketch and the sample."""
-        names = ["kind", "id", "n", "sig", *SKETCH, "items"]
+        names = ["kind", "id", "tag", "n", "sig", *SKETCH, "items"]
         counts, sample, done = np.zeros(mask + 1, dtype=np.int64), {}, set()
         for b in batches:
             h, edges, sigs, words = sets_of(b["text"].to_pylist(), k)
@@ -134,14 +134,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", k: int = 3, num:
                 done.add(sig)
             if len(done) > 500_000:
                 done.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sigs), dtype=np.int32)), b["id"], pa.array(edges[1:] - edges[:-1]), pa.array(sigs), *(pa.array(words[:, i]) for i in range(len(SKETCH))), pa.array(items, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sigs), dtype=np.int32)), b["id"], b["tag"], pa.array(edges[1:] - edges[:-1]), pa.array(sigs), *(pa.array(words[:, i]) for i in range(len(SKETCH))), pa.array(items, pa.binary())], names=names)
         at = np.flatnonzero(counts)
         none = lambda n: pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 1, dtype=np.int32)), pa.array(at), pa.array(counts[at]), *[none(len(at))] * (1 + len(SKETCH)), pa.nulls(len(at), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 1, dtype=np.int32)), pa.array(at), none(len(at)), pa.array(counts[at]), *[none(len(at))] * (1 + len(SKETCH)), pa.nulls(len(at), pa.binary())], names=names)
         own = np.fromiter(sample, dtype=np.uint64, count=len(sample))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), 2, dtype=np.int32)), pa.array(own.view(np.int64)), pa.array(np.fromiter(sample.values(), dtype=np.int64, count=len(own))), *[none(len(own))] * (1 + len(SKETCH)), pa.nulls(len(own), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), 2, dtype=np.int32)), pa.array(own.view(np.int64)), none(len(own)), pa.array(np.fromiter(sample.values(), dtype=np.int64, count=len(own))), *[none(len(own))] * (1 + len(SKETCH)), pa.nulls(len(own), pa.binary())], names=names)
 
-    seen = scratch.put(texts.mapInArrow(survey, "kind int, id long, n long, sig long, " + ", ".join(f"{p} long" for p in SKETCH) + ", items binary"), "survey")
+    seen = scratch.put(texts.mapInArrow(survey, "kind int, id long, tag long, n long, sig long, " + ", ".join(f"{p} long" for p in SKETCH) + ", items binary"), "survey")
     sketch = np.zeros(mask + 1, dtype=np.int64)
     got = seen.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     sketch[got["id"].to_numpy()] = got["n"].to_numpy()
@@ -257,10 +257,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", k: int = 3, num:
     if not pairs.isEmpty():
         groups = common.components(scratch, links.unionByName(verified(pairs)))
 
-    rows = seen.where("kind = 0").select("id", "n", "sig")
-    nodes = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("first"))
-    nodes = nodes.join(groups.select(F.col("id").alias("sig"), "component"), "sig", "left")
-    grouped = nodes.where("component is not null").groupBy("component").agg(F.min("first").alias("lowest"))
-    label = nodes.join(grouped, "component", "left").select("sig", F.coalesce("lowest", "first").alias("lowest"))
-    out = rows.where("n > 0").join(label, "sig").unionByName(rows.where("n = 0").withColumn("lowest", F.col("id")))
+    named = groups.select(F.col("id").alias("sig"), "component")
+    rows = seen.where("kind = 0").select("id", "tag", "n", "sig").join(named, "sig", "left")
+    return rows.select("id", "tag", "n", F.when(F.col("n") > 0, F.coalesce("component", "sig")).alias("grp"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """id, n_shingles, component_id for each row of docs; sets link from Jaccard num/den on."""
+    rows = groups_of(docs, id_col=id_col, k=k, num=num, den=den)
+    lowest = rows.where("grp is not null").groupBy("grp").agg(F.min("id").alias("lowest"))
+    out = rows.where("grp is not null").join(lowest, "grp").select("id", "n", "lowest")
+    out = out.unionByName(rows.where("grp is null").select("id", "n", F.col("id").alias("lowest")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("lowest").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs but for those that have an earlier row in their component.
+
+    Earlier is the smaller id (null last), then the smaller hash of the text. Of rows with the same id and text
+    one stays; rows without an n-gram all stay.
+    """
+    scratch = common.Scratch(docs.sparkSession)
+    rows = scratch.put(groups_of(docs, id_col=id_col, k=k, num=num, den=den).where("grp is not null"), "groups")
+    at = F.struct(F.col("id").isNull().alias("last"), "id", "tag")
+    first = rows.groupBy("grp").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = rows.join(first, "grp").where(F.struct(F.col("id").isNull().alias("last"), "id", "tag") != F.col("first"))
+    later = later.select(F.col("id").alias("__id"), F.col("tag").alias("__tag")).distinct()
+    twins = rows.groupBy("id", "tag").count().where("count > 1").select(F.col("id").alias("__id"), F.col("tag").alias("__tag"))
+    own = docs.withColumns({"__id": F.col(id_col).cast("long"), "__tag": F.xxhash64("text")})
+    same = lambda x: (own["__id"].eqNullSafe(x["__id"])) & (own["__tag"] == x["__tag"])
+    kept = own.join(later, same(later), "left_anti")
+    single = kept.join(twins, kept["__id"].eqNullSafe(twins["__id"]) & (kept["__tag"] == twins["__tag"]), "left_anti")
+    double = kept.join(twins, kept["__id"].eqNullSafe(twins["__id"]) & (kept["__tag"] == twins["__tag"]), "left_semi").dropDuplicates(["__id", "__tag"])
+    return single.unionByName(double).drop("__id", "__tag")
