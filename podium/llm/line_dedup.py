@@ -3,7 +3,7 @@
 A line's shingles are its runs of ``q`` characters at every position, or the whole of a shorter line. Sixteen MinHash
 values of them (the shingle hashes' minima under fixed bit flips) make twelve bands of four, which are lines
 of a plane of sixteen points, so that two bands share one value at most. Within a band's bucket every line is
-compared with the bucket's pivot, if it shares more bands with it than with other pivots, and then with all members
+compared with the bucket's pivot, the line with most and fullest buckets, if it shares more bands with it than with other pivots, and then with all members
 that are in another component yet. Pairs whose bitmaps of shingles differ in more bits, by four standard deviations,
 than the threshold lets expect are left out before they are made; all others are tested by exact Jaccard
 over the shingles, by their 64-bit hashes. A character is a unit of UTF-16. Links make components by union-find, and each component keeps one line. Equal lines are one node from the start, named by the line's 64-bit hash. Everything is DataFrame functions.
@@ -88,12 +88,13 @@ def near(threshold: float) -> str:
     """Whether sides a and b, by their bitmaps, may reach the threshold.
 
     A set of x shingles leaves a share exp(-x / bits) of zeros; the union of two sets of n and m has
-    (n + m) / (1 + Jaccard) shingles, which gives the bits that only one of the two has.
+    (n + m) / (1 + Jaccard) shingles, which gives the bits that only one of the two has; about half of the
+    differing shingles show, so that their number varies by half of it.
     """
     size = 64 * WORDS
     expected = f"{size} * (azeros + bzeros - 2 * pow(azeros * bzeros, {1 / (1 + threshold)!r}D))"
     bits = " + ".join(f"bit_count(ap{w} ^ bp{w})" for w in range(WORDS))
-    return f"{bits} <= {expected} + 4 * sqrt(1 + greatest(0D, {expected}))"
+    return f"{bits} <= {expected} + 4 * sqrt(1 + greatest(0D, {expected}) / 2)"
 
 
 def links(lines: DataFrame, known: DataFrame, scratch: common.Scratch, *, q: int, threshold: float) -> DataFrame:
@@ -113,13 +114,15 @@ def links(lines: DataFrame, known: DataFrame, scratch: common.Scratch, *, q: int
         scratch.drop(pairs, nodes)
         return out
 
-    keys = scratch.put(entries.groupBy("band").count().where("count > 1").select("band"), "keys")
-    met = scratch.put(entries.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys, "band", "left_semi"), "met")
+    keys = scratch.put(entries.groupBy("band").count().where("count > 1"), "keys")
+    met = scratch.put(entries.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys, "band"), "met")
     scratch.drop(keys)
-    # each line with the pivot that it meets in most bands
-    pivots = met.groupBy("band").agg(F.min("node").alias("a"))
-    pairs = met.join(pivots, "band").where("node <> a").groupBy(F.col("node").alias("b"), "a").count()
-    pairs = pairs.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select("b", "best.a")
+    # lines in the midst of a group of near copies share more bands with more lines; each line with the pivot that it meets in most bands
+    central = met.groupBy("node").agg(F.sum(F.log2("count")).alias("weight"))
+    pivots = met.select("band", "node").join(central, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("top"))
+    pairs = met.select("band", "node").join(pivots.select("band", "top.*").toDF("band", "weight", "a"), "band").where("node <> a")
+    pairs = pairs.groupBy(F.col("node").alias("b"), "a").agg(F.count(F.lit(1)).alias("shared"), F.max("weight").alias("weight"))
+    pairs = pairs.groupBy("b").agg(F.max(F.struct("shared", "weight", "a")).alias("best")).select("b", "best.a")
     sides = [known.select(F.col("node").alias(s), *(F.col(c).alias(s + c) for c in SKETCH)) for s in "ab"]
     found = verified(pairs.join(sides[0], "a").join(sides[1], "b").where(near(threshold)).select("a", "b"))
     # members of a bucket that are in different components by now are compared with each other
