@@ -445,15 +445,24 @@ def _(t):
     return D.best_candidate(t.candidates, "ranking_v1")
 
 
-@query("src17_sidecar", "SELECT DISTINCT path, concat(regexp_replace(path, '\\.[a-z]*$', ''), '.json') AS confidence FROM candidates", "candidates")
+#: A file's confidence is named for its prefix and sample, its sample, its stem, or not at all.
+NAMED_SQL = """f AS (SELECT DISTINCT path, regexp_extract(path, '^(.*/)', 1) AS dir, regexp_extract(path, '([^/]*)\\.[^.]*$', 1) AS stem FROM candidates),
+      g AS (SELECT *, regexp_extract(stem, 'sample_([0-9]+)$', 1) AS n, regexp_extract(stem, '^(.*)_sample_[0-9]+$', 1) AS prefix FROM f),
+      h AS (SELECT path, dir, concat(dir, CASE CAST(n AS BIGINT) % 4 WHEN 0 THEN concat(prefix, '_summary_confidence_sample_', n, '.json') WHEN 1 THEN concat('summary_confidence_sample_', n, '.json') WHEN 2 THEN concat(stem, '_summary_confidence.json') END) AS own, CAST(n AS BIGINT) % 4 < 3 AS has FROM g)"""
+
+
+@query("src17_sidecar", f"WITH {NAMED_SQL}, least AS (SELECT dir, min(own) AS any_one FROM h WHERE has GROUP BY 1) SELECT path, CASE WHEN has THEN own ELSE any_one END AS confidence FROM h JOIN least USING (dir)", "candidates")
 def _(t):
     files = t.candidates.select("path").distinct()
-    return D.sidecar(files, files.select(F.regexp_replace("path", r"\.[a-z]*$", ".json").alias("path")).distinct())
+    sample, n = F.regexp_extract("path", r"sample_(\d+)\.[^.]*$", 1), F.regexp_extract("path", r"sample_(\d+)\.[^.]*$", 1).cast("long") % 4
+    folder, stem, prefix = F.regexp_extract("path", r"^(.*/)", 1), F.regexp_extract("path", r"([^/]*)\.[^.]*$", 1), F.regexp_extract("path", r"([^/]*)_sample_\d+\.[^.]*$", 1)
+    name = F.when(n == 0, F.concat(prefix, F.lit("_summary_confidence_sample_"), sample, F.lit(".json"))).when(n == 1, F.concat(F.lit("summary_confidence_sample_"), sample, F.lit(".json"))).when(n == 2, F.concat(stem, F.lit("_summary_confidence.json")))
+    return D.sidecar(files, files.select(F.concat(folder, name).alias("path")))
 
 
 @query(
     "prj14_score_ladder",
-    """WITH r AS (SELECT concat('R', CAST(n_nationkey AS VARCHAR)) AS run_id, CASE WHEN n_nationkey % 2 = 0 THEN 'attack' ELSE 'dev' END AS tier, 3 AS declared, n_nationkey FROM nation WHERE n_nationkey < 6),
+    """WITH r AS (SELECT concat('R', CAST(n_nationkey AS VARCHAR)) AS run_id, CASE WHEN n_nationkey % 2 = 0 THEN 'attack' ELSE 'dev' END AS tier, 3 AS declared, n_nationkey FROM nation),
       f AS (SELECT concat('R', CAST(l_suppkey % 8 AS VARCHAR)) AS run_id, concat('T', CAST(l_orderkey AS VARCHAR)) AS target_id, count(*) AS observed FROM lineitem GROUP BY 1, 2),
       m AS (SELECT run_id, target_id, observed, observed % 2 = 1 AS has_raw, CAST(substr(target_id, 2) AS BIGINT) AS k FROM f)
       SELECT r.run_id, t.target_id, track, CASE WHEN rank_eligible <> 'true' THEN 'unranked_target' WHEN tier = 'attack' AND coalesce(m.observed, 0) BETWEEN 1 AND 2 THEN 'partial_candidates' WHEN m.observed IS NULL THEN 'missing_prediction' WHEN reference_status <> 'available' THEN 'missing_reference'
@@ -464,7 +473,7 @@ def _(t):
 )
 def _(t):
     name = lambda c: F.concat(F.lit("R"), F.col(c).cast("string"))
-    runs = t.nation.where("n_nationkey < 6").select(name("n_nationkey").alias("run_id"), F.when(F.col("n_nationkey") % 2 == 0, "attack").otherwise("dev").alias("budget_tier"), F.lit(3).alias("candidate_count"), F.lit("true").alias("rank_eligible"))
+    runs = t.nation.select(name("n_nationkey").alias("run_id"), F.when(F.col("n_nationkey") % 2 == 0, "attack").otherwise("dev").alias("budget_tier"), F.lit(3).alias("candidate_count"), F.lit("true").alias("rank_eligible"))
     files = t.lineitem.select(F.concat(F.lit("R"), (F.col("l_suppkey") % 8).cast("string")).alias("run_id"), F.concat(F.lit("T"), F.col("l_orderkey").cast("string")).alias("target_id"), F.col("l_orderkey").alias("k"), F.lit("f").alias("path"))
     metrics = files.groupBy("run_id", "target_id", "k").agg(F.count(F.lit(1)).alias("n")).select("run_id", "target_id", F.when(F.col("n") % 2 == 1, "out").alias("raw"), F.when(F.col("k") % 5 == 0, 1).otherwise(0).alias("exit_code"), F.when(F.col("k") % 7 != 0, (F.col("k") % 100) / 100.0).alias("value"))
     return D.score_rows(runs, t.run_targets, files, metrics)
@@ -478,7 +487,7 @@ def _(t):
 PAIRS = "items AS (SELECT s_nationkey AS target_id, s_suppkey AS item, s_acctbal FROM supplier), pairs AS (SELECT a.target_id, a.item AS a, b.item AS b, CASE WHEN (a.item + b.item) % 11 = 0 THEN NULL ELSE 1 / (1 + abs(a.s_acctbal - b.s_acctbal) / 1000) END AS score FROM items a JOIN items b ON a.target_id = b.target_id AND a.item < b.item)"
 
 
-@query("agg14_consensus", f"WITH {PAIRS}, both AS (SELECT target_id, a AS item, score FROM pairs UNION ALL SELECT target_id, b, score FROM pairs), per AS (SELECT target_id, item, avg(score) AS mean, count(*) FILTER (WHERE score >= 0.5) AS close FROM both GROUP BY 1, 2), n AS (SELECT target_id, count(*) AS n FROM items GROUP BY 1) SELECT i.target_id, i.item, n, CASE WHEN n = 1 THEN 1 ELSE round(coalesce(mean, 0), 6) END AS consensus, CASE WHEN n = 1 THEN 1 ELSE round((1 + coalesce(close, 0)) / n, 6) END AS support FROM items i JOIN n USING (target_id) LEFT JOIN per ON per.target_id = i.target_id AND per.item = i.item", "")
+@query("agg14_consensus", f"WITH {PAIRS}, each AS (SELECT target_id, a AS item, score FROM pairs UNION ALL SELECT target_id, b, score FROM pairs), per AS (SELECT target_id, item, avg(score) AS mean, count(*) FILTER (WHERE score >= 0.5) AS close FROM each GROUP BY 1, 2), n AS (SELECT target_id, count(*) AS n FROM items GROUP BY 1) SELECT i.target_id, i.item, n, CASE WHEN n = 1 THEN 1 ELSE round(coalesce(mean, 0), 6) END AS consensus, CASE WHEN n = 1 THEN 1 ELSE round((1 + coalesce(close, 0)) / n, 6) END AS support FROM items i JOIN n USING (target_id) LEFT JOIN per ON per.target_id = i.target_id AND per.item = i.item", "")
 def _(t):
     items = t.supplier.select(F.col("s_nationkey").alias("target_id"), F.col("s_suppkey").alias("item"), "s_acctbal")
     a, b = items.toDF("target_id", "a", "x"), items.toDF("target_id", "b", "y")
