@@ -4,8 +4,9 @@ A line's shingles are its runs of ``q`` characters at every position, or the who
 values of them (the shingle hashes' minima under fixed bit flips) make twelve bands of four, which are lines
 of a plane of sixteen points, so that two bands share one value at most. Within a band's bucket every line is
 compared with the bucket's pivot, the line with most and fullest buckets, if it shares more bands with it than with other pivots, and then with all members
-that are in another component yet. Pairs whose bitmaps of shingles differ in more bits, by four standard deviations,
-than the threshold lets expect are left out before they are made; all others are tested by exact Jaccard
+that are in another component yet. Bitmaps of the shingles tell which lines have company there: somebody whose bitmap differs in
+no more bits, by four standard deviations, than the threshold lets expect. Those get parity sketches, and a pair is only
+made if its sketches differ in no more bits than its shingles may, which loses none. All pairs made are tested by exact Jaccard
 over the shingles, by their 64-bit hashes. A character is a unit of UTF-16. Links make components by union-find, and each component keeps one line. Equal lines are one node from the start, named by the line's 64-bit hash. Everything is DataFrame functions.
 
 Defined results: ids are whole numbers; null texts stay null and have no lines; blank lines are never removed and never
@@ -31,6 +32,8 @@ MINIMA = 16
 #: Longs of a line's bitmap, which has a bit for each class of shingles.
 WORDS = 8
 SKETCH = ["zeros", *(f"p{j}" for j in range(WORDS))]
+#: Longs of a parity sketch, in which a bit is set if its class has an odd number of shingles.
+PARITY = 32
 #: Shingles that one row of the signature's aggregate takes up.
 AT_ONCE = 4
 #: Band keys of several lines up to which they are broadcast (8 bytes each, and what the hash table adds); beyond, by a shuffle.
@@ -101,12 +104,15 @@ def links(lines: DataFrame, known: DataFrame, scratch: common.Scratch, *, q: int
     """Pairs of nodes (a, b) with exact Jaccard from threshold on; known: signed(lines)."""
     entries = known.select("node", F.explode("bands").alias("band"))
 
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        wanted = F.broadcast(nodes) if nodes.count() <= FEW else nodes
+        return lines.select("node", "line").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that hold over all shingles of both lines."""
         pairs = scratch.put(pairs, "pairs")
         nodes = scratch.put(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
-        wanted = F.broadcast(nodes) if nodes.count() <= FEW else nodes
-        texts = lines.select("node", "line").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
+        texts = texts_of(nodes)
         full = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
         sets = F.struct(*(shingles(F.col(c), q).alias(c) for c in "xy"))
         both = lambda s: once(F.size(F.array_intersect(s["x"], s["y"])), lambda k: k >= threshold * (F.size(s["x"]) + F.size(s["y"]) - k))
@@ -131,10 +137,20 @@ def links(lines: DataFrame, known: DataFrame, scratch: common.Scratch, *, q: int
     mixed = placed.groupBy("band").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least <> most").select("band")
     placed = scratch.put(placed.join(mixed, "band", "left_semi").join(known.select("node", *SKETCH), "node"), "placed")
     scratch.drop(met)
-    left, right = (placed.select("band", *(F.col(c).alias(f"{s}{c}") for c in ("node", "grp", *SKETCH))) for s in "ab")
-    rest = left.join(right, "band").where("agrp < bgrp").where(near(threshold))
-    more = verified(rest.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct())
+    left, right = (placed.select(F.col("band").alias(f"{s}band"), *(F.col(c).alias(f"{s}{c}") for c in ("node", "grp", *SKETCH))) for s in "ab")
+    company = left.join(right, (F.col("aband") == F.col("bband")) & (F.col("agrp") != F.col("bgrp")) & F.expr(near(threshold)), "left_semi")
+    active = scratch.put(company.select(F.col("aband").alias("band"), F.col("anode").alias("node"), F.col("agrp").alias("grp")), "active")
     scratch.drop(placed)
+    nodes = scratch.put(active.select("node").distinct(), "nodes")
+    hashed = texts_of(nodes).select("node", F.explode(shingles(F.col("line"), q)).alias("h"))
+    parity = [F.expr(f"bit_xor(if((h & {PARITY - 1}) = {w}, shiftleft(1L, cast(shiftright(h, 5) & 63 as int)), 0L))").alias(f"w{w}") for w in range(PARITY)]
+    wide = scratch.put(hashed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *parity), "parity")
+    full = active.join(wide, "node")
+    left, right = (full.select("band", *(F.col(c).alias(f"{s}{c}") for c in ("node", "grp", "n", *(f"w{w}" for w in range(PARITY))))) for s in "ab")
+    apart = " + ".join(f"bit_count(aw{w} ^ bw{w})" for w in range(PARITY))
+    rest = left.join(right, "band").where("agrp < bgrp").where(f"({apart}) * {1 + threshold!r}D <= (an + bn) * {1 - threshold!r}D + 1e-6D")
+    more = verified(rest.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct())
+    scratch.drop(active, nodes, wide)
     return found.unionByName(more)
 
 
