@@ -6,7 +6,8 @@ of a plane of sixteen points, so that two bands share one value at most. Within
 compared with the bucket's pivot, the line with most and fullest buckets, if it shares more bands with it than with other pivots, and then with all members
 that are in another component yet. Bitmaps of the shingles tell which lines have company there: somebody whose bitmap differs in
 no more bits, by four standard deviations, than the threshold lets expect. Those get parity sketches, and a pair is only
-made if its sketches differ in no more bits than its shingles may, which loses none. All pairs made are tested by exact Jaccard
+made if its sketches differ in no more bits than its shingles may, which loses none. They are compared with pivots drawn at random
+first, so that few pairs within one group are made. All pairs made are tested by exact Jaccard
 over the shingles, by their 64-bit hashes. A character is a unit of UTF-16. Links make components by union-find, and each component keeps one line. Equal lines are one node from the start, named by the line's 64-bit hash. Everything is DataFrame functions.
 
 Defined results: ids are whole numbers; null texts stay null and have no lines; blank lines are never removed and never
@@ -34,6 +35,8 @@ WORDS = 8
 SKETCH = ["zeros", *(f"p{j}" for j in range(WORDS))]
 #: Longs of a parity sketch, in which a bit is set if its class has an odd number of shingles.
 PARITY = 32
+#: Turns of pivots drawn at random among lines with company.
+TURNS = 2
 #: Shingles that one row of the signature's aggregate takes up.
 AT_ONCE = 4
 #: Band keys of several lines up to which they are broadcast (8 bytes each, and what the hash table adds); beyond, by a shuffle.
@@ -108,16 +111,17 @@ def links(lines: DataFrame, known: DataFrame, scratch: common.Scratch, *, q: int
         wanted = F.broadcast(nodes) if nodes.count() <= FEW else nodes
         return lines.select("node", "line").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
         """Pairs (a, b) that hold over all shingles of both lines."""
         pairs = scratch.put(pairs, "pairs")
-        nodes = scratch.put(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
-        texts = texts_of(nodes)
+        nodes = [pairs.select(F.col(c).alias("node")) for c in "ab"]
+        if texts is None:
+            texts = texts_of(scratch.put(nodes[0].unionByName(nodes[1]).distinct(), "nodes"))
         full = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
         sets = F.struct(*(shingles(F.col(c), q).alias(c) for c in "xy"))
         both = lambda s: once(F.size(F.array_intersect(s["x"], s["y"])), lambda k: k >= threshold * (F.size(s["x"]) + F.size(s["y"]) - k))
         out = scratch.put(full.where(once(sets, both)).select("a", "b"), "links")
-        scratch.drop(pairs, nodes)
+        scratch.drop(pairs)
         return out
 
     keys = scratch.put(entries.groupBy("band").count().where("count > 1"), "keys")
@@ -142,15 +146,25 @@ def links(lines: DataFrame, known: DataFrame, scratch: common.Scratch, *, q: int
     active = scratch.put(company.select(F.col("aband").alias("band"), F.col("anode").alias("node"), F.col("agrp").alias("grp")), "active")
     scratch.drop(placed)
     nodes = scratch.put(active.select("node").distinct(), "nodes")
-    hashed = texts_of(nodes).select("node", F.explode(shingles(F.col("line"), q)).alias("h"))
-    parity = [F.expr(f"bit_xor(if((h & {PARITY - 1}) = {w}, shiftleft(1L, cast(shiftright(h, 5) & 63 as int)), 0L))").alias(f"w{w}") for w in range(PARITY)]
+    texts = scratch.put(texts_of(nodes), "texts")
+    hashed = texts.select("node", F.explode(shingles(F.col("line"), q)).alias("h"))
+    words = [f"w{w}" for w in range(PARITY)]
+    parity = [F.expr(f"bit_xor(if((h & {PARITY - 1}) = {w}, shiftleft(1L, cast(shiftright(h, 5) & 63 as int)), 0L))").alias(c) for w, c in enumerate(words)]
     wide = scratch.put(hashed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *parity), "parity")
+    apart = " + ".join(f"bit_count(a{w} ^ b{w})" for w in words)
+    bound = f"({apart}) * {1 + threshold!r}D <= (an + bn) * {1 - threshold!r}D + 1e-6D"
+    sides = [wide.select(F.col("node").alias(s), *(F.col(c).alias(s + c) for c in ["n", *words])) for s in "ab"]
+    for turn in range(TURNS):
+        pivots = active.groupBy("band").agg(F.max_by(F.struct("node", "grp"), F.xxhash64("node", F.lit(turn))).alias("top")).select("band", "top.*")
+        pairs = active.join(pivots.toDF("band", "a", "agrp"), "band").where("grp <> agrp").select("a", F.col("node").alias("b")).distinct()
+        found = scratch.put(found.unionByName(verified(pairs.join(sides[0], "a").join(sides[1], "b").where(bound).select("a", "b"), texts)), "found")
+        at = components(found, scratch)
+        active = scratch.put(active.join(at, "node", "left").select("band", "node", F.coalesce("component", "node").alias("grp")), "active")
     full = active.join(wide, "node")
-    left, right = (full.select("band", *(F.col(c).alias(f"{s}{c}") for c in ("node", "grp", "n", *(f"w{w}" for w in range(PARITY))))) for s in "ab")
-    apart = " + ".join(f"bit_count(aw{w} ^ bw{w})" for w in range(PARITY))
-    rest = left.join(right, "band").where("agrp < bgrp").where(f"({apart}) * {1 + threshold!r}D <= (an + bn) * {1 - threshold!r}D + 1e-6D")
-    more = verified(rest.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct())
-    scratch.drop(active, nodes, wide)
+    left, right = (full.select("band", *(F.col(c).alias(f"{s}{c}") for c in ("node", "grp", "n", *words))) for s in "ab")
+    rest = left.join(right, "band").where("agrp < bgrp").where(bound)
+    more = verified(rest.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct(), texts)
+    scratch.drop(active, nodes, wide, texts)
     return found.unionByName(more)
 
 
