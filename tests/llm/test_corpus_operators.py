@@ -350,7 +350,7 @@ def test_pipeline_keeps_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:2]:
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert docs.count() > 800
+    assert docs.count() > 800  # lines of junk and repeated lines make some texts empty
 
 
 def test_registered():
