@@ -32,12 +32,15 @@ def ready(spark: SparkSession) -> None:
 class Scratch:
     """Parquet tables in the shared checkpoint folder, which cut lineage and survive lost executors.
 
-    ``drop()`` deletes what later steps no longer read.
+    ``drop()`` deletes what later steps no longer read. Without a shared folder a cluster is refused; a
+    local session gets a temporary one.
     """
 
     def __init__(self, spark: SparkSession):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = os.path.join(os.environ.get("TMPDIR", "/tmp"), "podium-checkpoints")
         self.spark, self.base = spark, f"{base.rstrip('/')}/podium-{uuid.uuid4().hex}"
 
