@@ -11,7 +11,11 @@ from .registry import query
 
 
 def place(t, name: str) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/podium-checkpoints"
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not t.spark.sparkContext.master.startswith("local") or t.spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/podium-checkpoints"
     return f"{base.rstrip('/')}/podium-{name}-{uuid.uuid4().hex}"
 
 
