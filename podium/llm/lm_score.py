@@ -2,14 +2,15 @@
 
 Counts of words and word pairs are quantised to 1 + floor(log2(count)); the filter holds, for each of
 them, one key per level up to its own. A count is read back by probing levels until one is missing. The
-filter has a fixed size, and so can be broadcast; it is split into blocks of 8 KB by the n-gram's hash,
-each of which one task fills from its own n-grams. Scores are Dirichlet-smoothed word-pair
+filter is sized from the counted keys and broadcast; it is split into blocks of 8 KB by the n-gram's
+hash, each of which one task fills from its own n-grams. Scores are Dirichlet-smoothed word-pair
 probabilities over add-one word probabilities, all from the filter.
 
-Where the keys would crowd the filter, the least frequent pairs, then words, are left out, so that its
-errors keep their rate; pairs that occur once are never held. The base score needs exact counts: words
-among the most frequent are looked up in a bounded table, all others are counted by document and meet
-their counts in a join.
+Beyond the bound on what is broadcast (``most``) the filter holds the frequent levels, which answer
+nearly every probe, and the rest stays a table: tokens whose word or pair the filter doesn't hold meet
+their levels there in joins. So nothing counted is ever left out, whatever the size. The base score needs
+exact counts: words among the most frequent are looked up by 64-bit hash in a bounded table, all others
+are counted by document and meet their counts in a join.
 
 Defined results: null texts are empty, which is the end token alone; words are compared as bytes with
 A-Z lower-cased; a null id is trained on by no fold and not held out; repeated rows count repeatedly;
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 from .language_id import bucket_of
@@ -114,17 +116,23 @@ def count_pairs(texts: DataFrame) -> DataFrame:
         h, c = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *held]), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(common.signed(h)), pa.array(c.astype(np.int32))], names=["h", "c"])
 
-    return texts.mapInArrow(of, "h long, c int").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
+    return texts.mapInArrow(of, "h long, c int").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def build_filter(words: DataFrame, pairs: DataFrame, *, bits: int, bits_per_key: int) -> np.ndarray:
-    """words, pairs: (h, c) -> the filter's bytes."""
+def build_filter(words: DataFrame, pairs: DataFrame, *, most: int, bits_per_key: int) -> tuple[np.ndarray, DataFrame | None, dict[int, int]]:
+    """words, pairs: (h, c) -> the filter's bytes; the n-grams beyond 2**most bits as (n, h, level), or None;
+    and the least level that is held of words (1) and of pairs (2)."""
     level = (F.floor(F.log2("c")) + 1).cast("int").alias("level")
     grams = words.select("h", level, F.lit(1).alias("n")).unionByName(pairs.select("h", level, F.lit(2).alias("n")))
     sizes = {(r["n"], r["level"]): r["count"] for r in grams.groupBy("n", "level").count().collect()}
     least = {1: 1, 2: 1}
-    while sum(c * level for (n, level), c in sizes.items() if level >= least[n]) * bits_per_key > 1 << bits:
+
+    def need() -> int:
+        return bits_per_key * sum(c * level for (n, level), c in sizes.items() if level >= least[n])
+
+    while need() > 1 << most:
         least[2 if least[2] <= least[1] + 4 else 1] += 1
+    bits = max(BLOCK + 4, need().bit_length())
     blocks = bits - BLOCK
 
     def fill(batch: pa.Table) -> pa.Table:
@@ -135,20 +143,20 @@ def build_filter(words: DataFrame, pairs: DataFrame, *, bits: int, bits_per_key:
                 own[s.astype(np.int64)] = 1
         return pa.table({"block": batch["block"][:1], "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
 
-    kept = grams.where((F.col("n") == 1) & (F.col("level") >= least[1]) | (F.col("n") == 2) & (F.col("level") >= least[2]))
-    got = kept.select("h", "level", F.shiftrightunsigned("h", 64 - blocks).cast("int").alias("block")).groupBy("block").applyInArrow(fill, "block int, bits binary").toArrow()
-    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    held = (F.col("n") == 1) & (F.col("level") >= least[1]) | (F.col("n") == 2) & (F.col("level") >= least[2])
+    got = grams.where(held).select("h", "level", F.shiftrightunsigned("h", 64 - blocks).cast("int").alias("block")).groupBy("block").applyInArrow(fill, "block int, bits binary").toArrow()
     size = 1 << (BLOCK - 3)
-    for block, data in zip(got["block"].to_pylist(), got["bits"].to_pylist(), strict=True):
-        out[block * size : (block + 1) * size] = np.frombuffer(data, dtype=np.uint8)
-    return out
+    out = np.zeros((1 << blocks, size), dtype=np.uint8)
+    for batch in got.to_batches():
+        out[batch["block"].to_numpy()] = np.frombuffer(b"".join(batch["bits"].to_pylist()), dtype=np.uint8).reshape(-1, size)
+    return out.ravel(), grams.where(~held) if max(least.values()) > 1 else None, least
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", folds: int = 7, held: int = 2, bits: int = 28, bits_per_key: int = 10, weight: float = 1000.0) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", folds: int = 7, held: int = 2, most: int = 30, bits_per_key: int = 10, weight: float = 1000.0) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
-    Learns from rows whose crc32(id as text) mod folds is not ``held``. bits: log2 of the filter's size
-    in bits; weight: tokens that the word distribution counts for in a pair's probability.
+    Learns from rows whose crc32(id as text) mod folds is not ``held``. most: log2 of the greatest
+    filter to broadcast, in bits; weight: tokens that the word distribution counts for in a pair's probability.
     """
     spark = docs.sparkSession
     common.ready(spark)
@@ -165,76 +173,99 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", folds: int = 7, held: int
 
     pairs = scratch.put(count_pairs(training), "pairs")
     starts = spark.createDataFrame([(int(common.signed(common.word_hashes([START]))[0]), docs_seen)], "h long, c long").where("c > 0")
-    known = build_filter(vocab.mapInArrow(hashed, "h long, c long").unionByName(starts), pairs, bits=bits, bits_per_key=bits_per_key)
-    scratch.drop(pairs)
+    singles = vocab.mapInArrow(hashed, "h long, c long").unionByName(starts)
+    known, rest, least = build_filter(singles, pairs, most=most, bits_per_key=bits_per_key)
+    if rest is None:
+        scratch.drop(pairs)
     filled = spark.sparkContext.broadcast(known)
     top = vocab.orderBy(F.desc("c"), "word").limit(HEAVY).toArrow()
-    heavy = spark.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True)))
+    keys = common.word_hashes(top["word"].to_pylist())
+    order = np.argsort(keys)
+    heavy = spark.sparkContext.broadcast((keys[order], top["c"].to_numpy()[order]))
     all_heavy, log_all = size <= HEAVY, float(np.log10(total + size + 1))
+    floor = total + size + 1
+
+    def exact(words: np.ndarray) -> np.ndarray:
+        keys, counts = heavy.value
+        if not len(keys):
+            return np.zeros(len(words), dtype=np.int64)
+        at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+        return np.where(keys[at] == words, counts[at], 0)
 
     def look(batches):
-        counts, probe, logs = heavy.value, Filter(filled.value), {}
-        part, row = TaskContext.get().partitionId() << 33, 0
+        probe = Filter(filled.value)
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
-            texts, ids = b["text"].to_pylist(), b["id"]
-            tokens = [[*words_of(t), END] for t in texts]
+            tokens = [[*words_of(t), END] for t in b["text"].to_pylist()]
             n = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-            scores = []
             at = 0
             while at < len(tokens):  # some 300,000 words at a time
                 stop = max(at + 1, int(np.searchsorted(np.cumsum(n[at:]), 300_000, "right")) + at)
-                scores.append(smoothed(probe, [common.word_hashes([START, *t]) for t in tokens[at:stop]]))
+                yield from measured(probe, tokens[at:stop], n[at:stop], row + np.arange(at, stop), b["id"][at:stop], b["held_out"][at:stop])
                 at = stop
-            base, hits, rare = np.zeros(len(tokens)), np.zeros(len(tokens), dtype=np.int64), []
-            for i, t in enumerate(tokens):
-                for w, k in Counter(t).items():
-                    c = counts.get(w)
-                    if c:
-                        got = logs.get(c)
-                        if got is None:
-                            got = logs[c] = float(np.log10(c + 1))
-                        base[i] += k * got
-                        hits[i] += k
-                    elif not all_heavy:
-                        rare.append((part + row + i, w, k))
-            rows = part + row + np.arange(len(tokens))
             row += len(tokens)
-            yield table_of(rows, ids, b["held_out"], n, hits, base, np.concatenate(scores) if scores else np.zeros(0))
-            if rare:
-                yield rare_of(rare, ids.type)
 
-    def smoothed(probe: Filter, hashes: list[np.ndarray]) -> np.ndarray:
-        every = np.concatenate(hashes)
+    def measured(probe: Filter, tokens, n, rows, ids, held_out):
+        every = common.word_hashes([w for t in tokens for w in (START, *t)])
         words, back = np.unique(every, return_inverse=True)
+        owner = np.repeat(np.arange(len(n)), n)
+        first = np.zeros(len(every), dtype=bool)
+        first[np.cumsum(n + 1) - n - 1] = True
+        at = np.flatnonzero(~first)
+        here, before = back[at], back[at - 1]
+        counted = exact(words)
+        base = np.bincount(owner, np.log10(counted + 1)[here], len(n))
+        hits = np.bincount(owner, (counted > 0)[here], len(n)).astype(np.int64)
         c1 = typical(probe.levels(words))
-        owner = np.repeat(np.arange(len(hashes)), [len(h) - 1 for h in hashes])
-        first = np.ones(len(every), dtype=bool)
-        first[np.concatenate([[0], np.cumsum([len(h) for h in hashes])[:-1]])] = False
-        here, before = back[first], back[np.flatnonzero(first) - 1]
-        both = np.concatenate([pairs_of(h) for h in hashes])
-        # a pair can't be known if one of its words isn't
-        maybe = (c1[here] > 0) & (c1[before] > 0)
+        both = common.mix(every[at - 1] * PAIR + every[at])
+        # a pair can't be known if one of its words isn't, unless words are left to the table
+        maybe = (c1[here] > 0) & (c1[before] > 0) | (least[1] > 1)
         c2 = np.zeros(len(both))
-        pairs, back = np.unique(both[maybe], return_inverse=True)
-        c2[maybe] = typical(probe.levels(pairs))[back]
-        ahead = c1[before]
-        p = (np.minimum(c2, ahead) + weight * (c1[here] + 1) / (total + size + 1)) / (ahead + weight)
-        return np.bincount(owner, np.log10(p), len(hashes))
-
-    names = ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "word"]
-
-    def table_of(rows, ids, held_out, n, hits, base, scores):
-        return pa.RecordBatch.from_arrays([pa.array(rows), ids, held_out, pa.array(n), pa.array(hits), pa.array(base), pa.array(scores), pa.nulls(len(rows), pa.binary())], names=names)
-
-    def rare_of(rare, kind):
-        rows, words, k = zip(*rare, strict=True)
-        none = lambda t: pa.nulls(len(rows), t)
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), none(kind), none(pa.bool_()), pa.array(k, pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64()), pa.array(words, pa.binary())], names=names)
+        pairs, of = np.unique(both[maybe], return_inverse=True)
+        c2[maybe] = typical(probe.levels(pairs))[of]
+        p = (np.minimum(c2, c1[before]) + weight * (c1[here] + 1) / floor) / (c1[before] + weight)
+        open_ = np.zeros(len(both), dtype=bool)
+        if least[2] > 1:
+            open_ |= (c2 == 0) & maybe
+        if least[1] > 1:
+            open_ |= (c1[here] == 0) | (c1[before] == 0)
+        yield batch(row=rows, id=ids, held_out=held_out, n_tokens=n, n_known=hits, base=base, score=np.bincount(owner, np.where(open_, 0.0, np.log10(p)), len(n)))
+        if open_.any():
+            o = np.flatnonzero(open_)
+            own = common.mix(rows[owner[o]].astype(np.uint64) << np.uint64(20) ^ o.astype(np.uint64)).view(np.int64)
+            # what the filter knows carries a number of its own, so that no frequent word's rows meet
+            key = lambda h, c: np.where(c > 0, own, common.signed(h))
+            yield batch(row=rows[owner[o]], here=key(every[at[o]], c1[here[o]]), before=key(every[at[o] - 1], c1[before[o]]), pair=key(both[o], c2[o]), c_here=c1[here[o]], c_before=c1[before[o]], c_pair=c2[o])
+        if not all_heavy and (lost := np.flatnonzero(counted[here] == 0)).size:
+            _, where, k = np.unique(owner[lost] * len(words) + here[lost], return_index=True, return_counts=True)
+            flat = [w for t in tokens for w in t]
+            yield batch(row=rows[owner[lost[where]]], n_tokens=k.astype(np.int64), word=[flat[i] for i in lost[where].tolist()])
+
+    kinds = {"row": pa.int64(), "id": None, "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "word": pa.binary()}
+    kinds |= {c: pa.int64() for c in ("here", "before", "pair")} | {c: pa.float64() for c in ("c_here", "c_before", "c_pair")}
+    kinds["id"] = to_arrow_type(texts.schema["id"].dataType)
+
+    def batch(**columns):
+        rows = len(columns["row"])
+        made = [pa.array(columns[c], t) if c in columns and not isinstance(columns[c], pa.Array) else columns.get(c, pa.nulls(rows, t)) for c, t in kinds.items()]
+        return pa.RecordBatch.from_arrays(made, names=list(kinds))
 
     kind = texts.schema["id"].dataType.simpleString()
-    looked = scratch.put(texts.mapInArrow(look, f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, word binary"), "looked")
+    schema = f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, here long, before long, pair long, c_here double, c_before double, c_pair double"
+    looked = scratch.put(texts.mapInArrow(look, schema), "looked")
     rare = looked.where("word is not null").select("row", "word", F.col("n_tokens").alias("k")).join(vocab, "word")
     rare = rare.groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("sum"))
-    out = looked.where("word is null").join(rare, "row", "left")
+    out = looked.where("word is null and here is null").join(rare, "row", "left")
+    score = F.col("score")
+    if rest is not None:
+        low = F.pow(F.lit(2.0), F.col("level") - 1)
+        rest = rest.select("n", F.col("h"), F.sqrt(low * (2 * low - 1)).alias("got"))
+        probes = looked.where("here is not null").select("row", "here", "before", "pair", "c_here", "c_before", "c_pair")
+        for name, order_ in (("here", 1), ("before", 1), ("pair", 2)):
+            met = rest.where(F.col("n") == order_).select(F.col("h").alias(name), F.col("got").alias(f"t_{name}"))
+            probes = probes.join(met, name, "left").withColumn(f"c_{name}", F.coalesce(f"t_{name}", f"c_{name}")).drop(f"t_{name}")
+        p = (F.least("c_pair", "c_before") + weight * (F.col("c_here") + 1) / F.lit(float(floor))) / (F.col("c_before") + weight)
+        out = out.join(probes.groupBy("row").agg(F.sum(F.log10(p)).alias("late")), "row", "left")
+        score = score + F.coalesce("late", F.lit(0.0))
     base = F.col("base") + F.coalesce("sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(log_all)
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))

@@ -123,11 +123,42 @@ def test_filter_reads_levels_back(spark):
     rng = np.random.default_rng(3)
     h, c = rng.integers(0, 1 << 63, 20_000), rng.integers(2, 5000, 20_000)
     df = spark.createDataFrame(pd.DataFrame({"h": h, "c": c}))
-    blocks = lm_score.build_filter(df.limit(0), df, bits=22, bits_per_key=10)
-    got = lm_score.Filter(blocks).levels(h.astype(np.uint64))
     want = np.floor(np.log2(c)) + 1
+    blocks, rest, _ = lm_score.build_filter(df.limit(0), df, most=30, bits_per_key=10)
+    got = lm_score.Filter(blocks).levels(h.astype(np.uint64))
+    assert rest is None and len(blocks) * 8 >= 10 * want.sum()
     assert (got >= want).all()
     assert (got == want).mean() > 0.95
+    blocks, rest, least = lm_score.build_filter(df.limit(0), df, most=20, bits_per_key=10)
+    assert len(blocks) * 8 <= 1 << 21 and rest.count() == (want < least[2]).sum() > 0
+
+
+def lm_by_hand(texts, held, weight=1000.0):
+    """Scores from exact counts, quantised as the filter does."""
+    tokens = {d: [x.lower() for x in words(t)] + [b"\n"] for d, t in texts}
+    training = [t for d, t in tokens.items() if not held(d)]
+    one, two = collections.Counter(w for t in training for w in t), collections.Counter(p for t in training for p in zip([None, *t], t, strict=False))
+    n, v = sum(one.values()), len(one)
+    one[None] = len(training)
+
+    def level(c):
+        low = 2.0 ** (c.bit_length() - 1)
+        return math.sqrt(low * (2 * low - 1)) if c else 0.0
+
+    def p(a, b):
+        return (min(level(two[a, b]), level(one[a])) + weight * (level(one[b]) + 1) / (n + v + 1)) / (level(one[a]) + weight)
+
+    return {d: sum(math.log10(p(a, b)) for a, b in zip([None, *t], t, strict=False)) for d, t in tokens.items()}
+
+
+@pytest.mark.parametrize("most", [30, 21, 20])
+def test_lm_score_by_exact_counts(spark, rows, most):
+    texts = rows[:400]
+    want = lm_by_hand(texts, lambda d: zlib.crc32(str(d).encode()) % 7 == 2)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, most=most, bits_per_key=16).collect()}
+    off = np.array([abs(got[d] / want[d] - 1) for d in want])
+    assert got.keys() == want.keys() and off.mean() < 0.005 and off.max() < 0.05
 
 
 def test_embedding_dedup(spark):
