@@ -29,6 +29,11 @@ def ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles nobody needs any more, so that their files go."""
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Parquet tables in the shared checkpoint folder, which cut lineage and survive lost executors.
 
@@ -50,7 +55,7 @@ class Scratch:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         to = self.path(name)
         df.write.option("compression", "zstd").parquet(to)
-        self.spark._jvm.System.gc()  # shuffles that led here go when the driver notices that nobody needs them
+        release(self.spark)
         out = self.spark.read.schema(df.schema).parquet(to)
         out._podium_path = to
         return out

@@ -35,6 +35,7 @@ END, START = b"\n", b"\n\n"  # no word has such bytes
 HEAVY = 150_000  # words in the broadcast table of exact counts
 BLOCK = 16  # log2 of a block's bits
 STEP = 0x9E3779B97F4A7C15
+LEVEL = np.uint64(63)  # the bits of a hash in whose place its level travels
 PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -46,7 +47,7 @@ class Filter:
 
     @staticmethod
     def slots(h: np.ndarray, level: int) -> list[np.ndarray]:
-        key = common.mix(h + np.uint64(STEP * level & common.M64))
+        key = common.mix((h | LEVEL) + np.uint64(STEP * level & common.M64))
         return [(key >> np.uint64(16 * i)) & np.uint64(0xFFFF) for i in range(4)]
 
     def levels(self, h: np.ndarray) -> np.ndarray:
@@ -136,17 +137,20 @@ def build_filter(words: DataFrame, pairs: DataFrame, *, most: int, bits_per_key:
     blocks = bits - BLOCK
 
     def fill(batch: pa.Table) -> pa.Table:
-        h, levels = batch["h"].to_numpy().view(np.uint64), batch["level"].to_numpy()
+        h = batch["h"].to_numpy().view(np.uint64)
+        levels = h & LEVEL
         own = np.zeros(1 << BLOCK, dtype=np.uint8)
-        for level in range(1, levels.max() + 1):
+        for level in range(1, int(levels.max()) + 1):
             for s in Filter.slots(h[levels >= level], level):
                 own[s.astype(np.int64)] = 1
         return pa.table({"block": batch["block"][:1], "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
 
     held = (F.col("n") == 1) & (F.col("level") >= least[1]) | (F.col("n") == 2) & (F.col("level") >= least[2])
-    got = grams.where(held).select("h", "level", F.shiftrightunsigned("h", 64 - blocks).cast("int").alias("block")).groupBy("block").applyInArrow(fill, "block int, bits binary").toArrow()
+    own = F.col("h").bitwiseAND(F.lit(~63)).bitwiseOR(F.col("level").cast("long")).alias("h")
+    got = grams.where(held).select(own, F.shiftrightunsigned("h", 64 - blocks).cast("int").alias("block")).groupBy("block").applyInArrow(fill, "block int, bits binary").toArrow()
     size = 1 << (BLOCK - 3)
     out = np.zeros((1 << blocks, size), dtype=np.uint8)
+    common.release(words.sparkSession)
     for batch in got.to_batches():
         out[batch["block"].to_numpy()] = np.frombuffer(b"".join(batch["bits"].to_pylist()), dtype=np.uint8).reshape(-1, size)
     return out.ravel(), grams.where(~held) if max(least.values()) > 1 else None, least
@@ -172,6 +176,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", folds: int = 7, held: int
             yield pa.RecordBatch.from_arrays([pa.array(common.signed(common.word_hashes(b["word"].to_pylist()))), b["c"]], names=["h", "c"])
 
     pairs = scratch.put(count_pairs(training), "pairs")
+    common.release(spark)
     starts = spark.createDataFrame([(int(common.signed(common.word_hashes([START]))[0]), docs_seen)], "h long, c long").where("c > 0")
     singles = vocab.mapInArrow(hashed, "h long, c long").unionByName(starts)
     known, rest, least = build_filter(singles, pairs, most=most, bits_per_key=bits_per_key)
