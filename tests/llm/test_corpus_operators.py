@@ -202,6 +202,24 @@ def test_license_scan(spark):
     pd.testing.assert_frame_equal(by(want), by(got), check_dtype=False)
 
 
+def test_license_runs(spark):
+    import textwrap
+
+    notices = dict(license_scan.TEMPLATES)
+    mit = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and t.startswith("Permission"))
+    wrapped = "Copyright (c) A. Author\n\n" + textwrap.fill(mit, 72) + "\n\nThe above copyright notice shall be included.\nTHE SOFTWARE IS PROVIDED AS IS.\n"
+    changed = mit.replace("free of charge", "at no cost").replace("merge, ", "")
+    rows = [
+        (1, wrapped), (2, "Some prose before it. " + textwrap.fill(notices["ISC"], 60) + " And prose after."), (3, "word " * 5000 + changed + " end" * 3000),
+        (4, "This file, by the way, is licensed under CC BY-SA today; all rights were reserved."), (5, "permission is hereby"), (6, None), (7, ""), (8, "Foo. All rights reserved."), (8, "x"),
+        (9, "rights"),
+    ]
+    got = {(r["doc_id"], r["license"], r["line_no"]): r["dice"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.keys() >= {(1, "MIT", -2), (2, "ISC", -2), (3, "MIT", -2), (8, "Proprietary", -2)}
+    assert got[1, "MIT", -2] == got[2, "ISC", -2] == 1.0 and 0.8 <= got[3, "MIT", -2] < 1
+    assert not any(d in (4, 5, 6, 7, 9) for d, _, _ in got)
+
+
 def check_packing(pieces, ids, length=2048):
     for d, g in pieces.groupby("doc_id", dropna=False):
         at = 0
