@@ -10,9 +10,12 @@ them, worked out from the two codes. Buckets hold codes only; vectors are sent t
 in which their codes have company. Buckets over ``BUCKET`` members are cut into blocks, and pairs of
 blocks are compared by different tasks. Tasks return link counts and spanning edges, never pairs.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or differ in length
-from the most frequent one (the smallest of these on a tie), link with nothing; every row gives a row,
-equal vectors included, repeated ids too; a null id keeps a null component unless linked to an id.
+Vectors are compared with those of their own length, one length after the other, each with a rotation of
+its own. A length of at most ``BUCKET`` different vectors is one bucket, compared in full.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing,
+nor do vectors of different lengths; every row gives a row, equal vectors included, repeated ids too; a
+null id keeps a null component unless linked to an id.
 """
 
 from __future__ import annotations
@@ -92,10 +95,16 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", column: str =
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.coalesce(~bad & F.exists("v", lambda x: x != 0), F.lit(False))
-    lengths = own.where(good).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dims = lengths["n"] if lengths else 0
-    named = scratch.put(own.withColumn("v", F.when(good & (F.size("v") == dims), F.col("v"))).select("id", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("node"), "v"), "vectors")
-    valid = named.where("node is not null")
+    named = scratch.put(own.withColumn("v", F.when(good, F.col("v"))).select("id", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("node"), "v"), "vectors")
+    lengths = [r["n"] for r in named.where("node is not null").select(F.size("v").alias("n")).distinct().orderBy("n").collect()]
+    out = named.where("node is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    for dims in lengths:
+        out = out.unionByName(of_length(scratch, named.where(F.size("v") == dims), dims, threshold, sample, radius))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def of_length(scratch: common.Scratch, valid: DataFrame, dims: int, threshold: float, sample: int, radius: int) -> DataFrame:
+    """id, n_links, component_id for rows (id, node, v) whose vectors have ``dims`` components."""
 
     def packed(batches):
         for b in batches:
@@ -106,11 +115,12 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", column: str =
     single = valid.groupBy("node").agg(F.count("id").alias("w"), F.min("id").alias("lowest"), F.count(F.lit(1)).alias("rows"))
     single = scratch.put(single.withColumn("w", F.col("rows")), "nodes")
     units = scratch.put(valid.groupBy("node").agg(F.first("v").alias("v")).mapInArrow(packed, "node long, unit binary"), "units")
-    picked = units.orderBy(F.xxhash64("node"), "node").limit(sample).toArrow()["unit"].combine_chunks() if dims else []
-    if len(picked) == 0:
-        return named.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
+    picked = units.orderBy(F.xxhash64("node"), "node").limit(max(sample, BUCKET + 1)).toArrow()["unit"].combine_chunks()
     bits = min(64, dims)
-    mean, projection = learn_rotation(matrix(picked, dims), bits)
+    if len(picked) > BUCKET:
+        mean, projection = learn_rotation(matrix(picked, dims), bits)
+    else:
+        mean, projection, bits = np.zeros(dims), np.zeros((dims, 1)), 1  # one code for all
     tables = -(-bits // SUB)
 
     def keyed(batches):
@@ -191,6 +201,4 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", column: str =
     placed = single.join(groups.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = placed.groupBy("component").agg(F.min("lowest").alias("component_id"))
     nodes = placed.join(lowest, "component").join(links, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), "component_id")
-    out = named.select("id", "node").where("node is not null").join(nodes, "node").select("id", "n_links", "component_id")
-    alone = named.where("node is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return out.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return valid.select("id", "node").join(nodes, "node").select("id", "n_links", "component_id")

@@ -175,6 +175,24 @@ def test_embedding_dedup(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in range(900, 905))
 
 
+def test_embeddings_of_every_length(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(1500, 32))
+    many = np.concatenate([base, base[:200] + 0.2 * rng.normal(size=(200, 32)), base[:3]])
+    few = rng.normal(size=(4, 64))
+    few = np.concatenate([few, few + 0.1 * rng.normal(size=(4, 64)), 2 * few[:1]])
+    groups = [(0, many), (10_000, few), (20_000, np.array([[1.0, 2.0], [2.0, 4.0], [-1.0, -2.0]])), (30_000, np.array([[3.0]]))]
+    rows = [(first + i, v.tolist()) for first, x in groups for i, v in enumerate(x)]
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got.keys() == {r[0] for r in rows}
+    for first, x in groups:
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        links = (u @ u.T >= 0.9).sum(axis=1) - 1
+        found = np.array([got[first + i]["n_links"] for i in range(len(x))])
+        assert (found <= links).all() and found.sum() >= (0.9 if first == 0 else 1.0) * links.sum()
+    assert links.sum() == 0 and got[20_001]["component_id"] == 20_000 and got[10_008]["component_id"] == 10_000
+
+
 def test_embeddings_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
