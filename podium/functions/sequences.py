@@ -41,6 +41,21 @@ def aliases(target: Column) -> Column:
     return F.when(up.rlike(r"^[THRDML][012]\d{3}(S\d+|V\d+)?$"), F.array_distinct(F.concat(F.array(up), phased))).otherwise(F.array(up))
 
 
+def recovery_aliases(target: Column) -> Column:
+    """Aliases in the order in which they are tried: the id, its phases, its first variant, and earlier phases of the second one."""
+    up = F.upper(target)
+    variant = lambda sep: F.regexp_extract(up, rf"^(.*){sep}V\d+$", 1)
+    later = lambda sep: up.rlike(rf"^.*{sep}V\d+$") & ~up.rlike(rf"^.*{sep}V1$")
+    tail = F.array(
+        F.when(later(""), F.concat(variant(""), F.lit("V1"))),
+        F.when(later("_"), F.concat(variant("_"), F.lit("_V1"))),
+        F.when(up.rlike(r"^.*_V\d+$"), variant("_")),
+        *(F.when(up.rlike(r"^[TH]2\d{3}"), F.concat(F.substring(up, 1, 1), F.lit(p), F.substr(up, F.lit(3)))) for p in "10"),
+    )
+    phases = F.array_sort(F.array_except(aliases(target), F.array(up)))
+    return F.array_distinct(F.filter(F.concat(F.array(up), phases, tail), lambda a: a.isNotNull()))
+
+
 def content_kind(sequence: Column) -> Column:
     """Kind by letters alone; blank where they don't tell."""
     s = F.regexp_replace(F.upper(sequence), r"\s+", "")

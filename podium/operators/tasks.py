@@ -48,12 +48,13 @@ def with_sequences(entities: Column, change, *, kind: str = "proteinChain") -> C
 
 
 def prefix_within(entities: Column, budget: int) -> Column:
-    """Entities walked in order, each with as many copies as still fit; what doesn't fit is passed over."""
+    """Entities walked in order, each with as many copies (and ids) as still fit; empty ones and what doesn't fit is passed over."""
     zero = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast(f"array<{ENTITY}>").alias("kept"))
 
     def step(a: Column, e: Column) -> Column:
-        n = F.least(copies(e).cast("long"), F.floor(a["left"] / F.length(e["sequence"]))).cast("int")
-        kept = F.when(n > 0, F.concat(a["kept"], F.array(F.struct(e["kind"].alias("kind"), e["sequence"].alias("sequence"), n.alias("count"), e["ids"].alias("ids"))))).otherwise(a["kept"])
+        fits = F.when(F.length(e["sequence"]) > 0, F.floor(F.try_divide(a["left"], F.length(e["sequence"])))).otherwise(0)
+        n = F.least(copies(e).cast("long"), fits).cast("int")
+        kept = F.when(n > 0, F.concat(a["kept"], F.array(F.struct(e["kind"].alias("kind"), e["sequence"].alias("sequence"), n.alias("count"), F.slice(e["ids"], 1, n).alias("ids"))))).otherwise(a["kept"])
         return F.struct((a["left"] - n * F.length(e["sequence"])).alias("left"), kept.alias("kept"))
 
     return F.aggregate(entities, zero, step, lambda a: a["kept"])
@@ -78,7 +79,7 @@ def jobs(targets: DataFrame, *, limit: int | None = None) -> DataFrame:
 
 def fragment(sequence: Column, ranges: Column) -> Column:
     """struct(status, fragment): the part of a chain that a domain's ranges name."""
-    lo, hi = ranges[0]["lo"], ranges[0]["hi"]
+    lo, hi = F.get(ranges, F.lit(0))["lo"], F.get(ranges, F.lit(0))["hi"]
     status = F.when(F.size(ranges) != 1, "non_contiguous").when((lo < 1) | (hi < lo), "invalid_range").when(hi > F.length(sequence), "out_of_bounds").otherwise("ok")
     return F.struct(status.alias("status"), F.when(status == "ok", F.substr(sequence, lo, hi - lo + 1)).otherwise("").alias("fragment"))
 

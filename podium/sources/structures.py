@@ -23,10 +23,10 @@ def category(texts: DataFrame, prefix: str) -> DataFrame:
     loop = F.startswith("body", F.lit("loop_"))
     rows = F.filter(F.split("body", r"\r?\n"), lambda x: (F.trim(x) != "") & ~x.rlike(r"^(loop_|_|#)"))
     looped = blocks.where(loop).select("file", "block", keyed.alias("keys"), F.posexplode(rows).alias("i", "row"))
-    looped = looped.select("file", (F.col("block") * 1_000_000 + F.col("i")).alias("n"), F.map_from_arrays("keys", F.slice(F.concat(cells(F.col("row")), F.array_repeat(F.lit(""), F.size("keys"))), F.lit(1), F.size("keys"))).alias("values"))
+    looped = looped.select("file", (F.col("block").cast("long") * (1 << 32) + F.col("i")).alias("n"), F.map_from_arrays("keys", F.slice(F.concat(cells(F.col("row")), F.array_repeat(F.lit(""), F.size("keys"))), F.lit(1), F.size("keys"))).alias("values"))
     flat = F.regexp_replace("body", r"\r?\n", " ")
     values = F.transform(F.regexp_extract_all(flat, F.lit(rf"{prefix}\.\S+\s+('[^']*'|\"[^\"]*\"|\S+)"), 1), lambda x: F.get(cells(x), 0))
-    single = blocks.where(~loop).select("file", (F.col("block") * 1_000_000).alias("n"), F.map_from_arrays(keyed, F.slice(F.concat(values, F.array_repeat(F.lit(""), F.size(keyed))), F.lit(1), F.size(keyed))).alias("values"))
+    single = blocks.where(~loop).select("file", (F.col("block").cast("long") * (1 << 32)).alias("n"), F.map_from_arrays(keyed, F.slice(F.concat(values, F.array_repeat(F.lit(""), F.size(keyed))), F.lit(1), F.size(keyed))).alias("values"))
     return looped.unionByName(single)
 
 
@@ -47,3 +47,46 @@ def cropped(atoms_: DataFrame, ranges: Column, chain_ids: list[str]) -> DataFram
     inside = F.exists(ranges, lambda r: F.col("residue").between(r["lo"], r["hi"]))
     named = F.col("asym").isin(*chain_ids) | F.col("auth").isin(*chain_ids) if chain_ids else F.lit(True)
     return atoms_.where(inside & named)
+
+
+def cropped_text(text: Column, ranges: Column, chain_ids: Column) -> Column:
+    """struct(text, kept): a file with those atom rows alone that lie in the ranges, in named chains (all if none is named).
+
+    All other lines stay as they are. Atom rows that are short, have an odd quote or no whole residue number go.
+    """
+    word = r"""(?:[^\s'"\\]|\\.|'[^']*'|"(?:[^"\\]|\\.)*")+"""
+    head = lambda x: F.startswith(F.trim(x), F.lit("_atom_site."))
+    bare = lambda x: F.when(x.isin(".", "?"), "").otherwise(F.regexp_replace(x, r"""^['"]+|['"]+$""", ""))
+    once = lambda value, f: F.transform(F.array(value), f)[0]
+
+    def of_block(block: Column) -> Column:
+        def of_lines(lines: Column) -> Column:
+            keys = F.transform(F.filter(lines, head), lambda x: F.regexp_extract(x, r"^\s*_atom_site\.(\S*)", 1))
+            first = F.array_position(F.transform(lines, head), True)
+
+            def of_keys(k: Column) -> Column:
+                place = lambda name: (F.array_position(k, name) - 1).cast("int")
+
+                def wanted(line: Column) -> Column:
+                    cells = F.regexp_extract_all(line, F.lit(f"({word})"), 1)
+                    cell = lambda c, name: F.coalesce(bare(F.get(c, place(name))), F.lit(""))
+
+                    def test(c: Column) -> Column:
+                        residue = F.when(cell(c, "label_seq_id").rlike(r"^[+-]?\d+$"), cell(c, "label_seq_id").try_cast("int"))
+                        inside = F.exists(ranges, lambda r: residue.between(r["lo"], r["hi"]))
+                        named = (F.size(chain_ids) == 0) | F.array_contains(chain_ids, cell(c, "label_asym_id")) | F.array_contains(chain_ids, cell(c, "auth_asym_id"))
+                        return (F.size(c) >= F.size(k)) & F.coalesce(inside, F.lit(False)) & named
+
+                    return line.rlike(rf"^\s*(?:{word}\s*)*$") & once(cells, test)
+
+                kind = lambda x, i: F.when(head(x) | (i + 1 < first), 0).when(wanted(x), 1).otherwise(2)
+                return F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), kind(x, i).alias("kind"))), lambda s: s["kind"] < 2)
+
+            kept = once(keys, of_keys)
+            return once(kept, lambda s: F.struct(F.array_join(F.transform(s, lambda x: x["line"]), "").alias("text"), F.size(F.filter(s, lambda x: x["kind"] == 1)).alias("kept")))
+
+        plain = F.struct(block.alias("text"), F.lit(0).alias("kept"))
+        return F.when(block.rlike(r"(?m)^\s*_atom_site\."), once(F.split(block, r"(?<=\n)"), of_lines)).otherwise(plain)
+
+    blocks = F.split(text, r"(?m)^(?=[ \t]*(?:loop_[ \t]*\r?$|#|_(?!atom_site\.)))")
+    return once(F.transform(blocks, of_block), lambda b: F.struct(F.array_join(F.transform(b, lambda x: x["text"]), "").alias("text"), F.aggregate(b, F.lit(0), lambda a, x: a + x["kept"]).alias("kept")))

@@ -98,3 +98,70 @@ def test_strategies(spark):
     tagged = "MHHHHHH" + "ACDEFGHIKL" * 4
     assert one(spark, strategies.without_tags(F.lit(tagged))) == "ACDEFGHIKL" * 4
     assert one(spark, strategies.without_low_complexity(F.lit("GS" * 20 + "ACDEFGHIKLMNPQRSTVWY" * 5))) == "ACDEFGHIKLMNPQRSTVWY" * 5
+
+
+def entities(*rows):
+    return F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(s).alias("sequence"), F.lit(n).alias("count"), F.array(*map(F.lit, ids)).cast("array<string>").alias("ids")) for k, s, n, ids in rows))
+
+
+def task_rows(spark, **tasks):
+    from functools import reduce
+
+    rows = [spark.range(1).select(F.lit(n).alias("name"), F.lit(i).cast("long").alias("ord"), entities(*e).alias("sequences")) for i, (n, e) in enumerate(tasks.items())]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+def test_copies_kept_while_they_fit(spark):
+    from podium.operators import derivations as V
+
+    made = task_rows(spark, T1=[("proteinChain", "A" * 60, 2, ["A", "B"]), ("proteinChain", "", 1, ["C"]), ("proteinChain", "C" * 30, 3, ["D", "E", "F"])], T2=[("proteinChain", "A" * 200, 1, ["A"])], T3=[("proteinChain", "MHHHHHH" + "A" * 95, 1, ["A"])])
+    rows = spark.createDataFrame([(i, t, "protein_oligo") for i, t in enumerate(("T1", "T2", "T3"))], "ord long, target_id string, track string")
+    got = {r["name"]: r for r in V.within_limit(made, rows, limit=100).collect()}
+    assert [(e["count"], e["ids"]) for e in got["T1"]["sequences"]] == [(1, ["A"]), (1, ["D"])]
+    assert (got["T2"]["skip_reason"], got["T2"]["tokens"]) == ("no_entity_fits_token_limit", 200)
+    assert got["T3"]["sequences"][0]["sequence"] == "A" * 95
+
+
+def test_recovery_takes_records_by_alias_order(spark):
+    from podium.operators import derivations as V
+
+    protein, other = "MKV" * 12, "ACDEFGHIKL" * 4
+    made = task_rows(spark, T1001=[("rnaSequence", "ACGU", 1, ["A"])], T1002=[("proteinChain", protein, 1, ["A"])])
+    rows = spark.createDataFrame([(1, "T2001", "protein_domain", "A2B1"), (2, "T1001", "protein_domain", "A3"), (3, "T1002", "protein_domain", ""), (4, "T1009", "protein_domain", ""), (5, "T1008", "protein_oligo", "")], "ord long, target_id string, track string, oligo_state string")
+    records = spark.createDataFrame([(1, "T1001", "r1", "", protein, "proteinChain"), (2, "T2001", "r2", "", other, "proteinChain"), (3, "T2001", "r3", "", other.lower(), "proteinChain"), (4, "T2001", "r4", "", "ACGU" * 10, "rnaSequence"), (5, "T1009", "r5", "", "MKV", "proteinChain")], "ord long, target_ids string, record_id string, header string, sequence string, sequence_kind string")
+    out = V.recovered(made, rows, records)
+    got = {r["name"]: r for r in out.collect()}
+    assert sorted(got) == ["T1001", "T1009", "T2001"]
+    assert got["T1009"]["skip_reason"] == "no_recoverable_protein_sequence"
+    assert got["T2001"]["record_ids"] == "r2,r1" and [(e["count"], e["ids"]) for e in got["T2001"]["sequences"]] == [(2, ["A", "B"]), (1, ["C"])]
+    assert got["T1001"]["record_ids"] == "r1,r2" and [e["count"] for e in got["T1001"]["sequences"]] == [1, 1]
+    names = [(r["name"], r["added"]) for r in V.with_recovered(made, out).orderBy("added", "ord").collect()]
+    assert names == [("T1001", False), ("T1002", False), ("T2001", True)]
+
+
+def test_domains_that_targets_list_come_first(spark):
+    from podium.operators import derivations as V
+
+    made = task_rows(spark, T1=[("proteinChain", "ACDEFGHIKL", 1, ["A"])], T2=[("proteinChain", "ACDEFGHIKL", 2, ["A", "B"])])
+    domains = spark.createDataFrame([(1, "D1", "T1", "1-3"), (2, "D2", "T1", "4-6"), (3, "D3", "T2", "1-2")], "ord long, domain_id string, target_id string, residue_ranges string")
+    rows = spark.createDataFrame([(1, "T1", "protein_domain", "D2,gone")], "ord long, target_id string, track string, domain_ids string")
+    got = [(r["fragment_id"], r["skip_reason"], r["fragment"]) for r in V.domain_fragments(made, domains, rows).orderBy("fragment_id").collect()]
+    assert got == [("T1__D2", "none", "EFG"), ("T2__D3", "requires_single_copy_entity", "")]
+
+
+def test_recovery_aliases(spark):
+    got = lambda x: one(spark, Q.recovery_aliases(F.lit(x)))
+    assert got("T2001") == ["T2001", "T0001", "T1001"]
+    assert got("T1200V2") == ["T1200V2", "T0200V2", "T2200V2", "T1200V1"]
+    assert got("X1_V2") == ["X1_V2", "X1_V1", "X1"]
+
+
+def test_cropped_text_drops_odd_rows_and_copies_the_rest(spark):
+    from podium.sources import structures
+
+    body = "data_a\nloop_\n_atom_site.id\n_atom_site.atom\n_atom_site.label_seq_id\n_atom_site.auth_asym_id\n1 \"O5'\" 3 A\n2 O5' 3 A\n3 C 3\n4 C ? A\n5 C 3 B\n6 C 9 A\n\n_cell.x 1\nloop_\n_a.b\n7 8\n"
+    ranges = F.array(F.struct(F.lit(2).alias("lo"), F.lit(4).alias("hi")))
+    got = one(spark, structures.cropped_text(F.lit(body), ranges, F.array(F.lit("A"))))
+    assert got["kept"] == 1
+    assert got["text"] == "data_a\nloop_\n_atom_site.id\n_atom_site.atom\n_atom_site.label_seq_id\n_atom_site.auth_asym_id\n1 \"O5'\" 3 A\n_cell.x 1\nloop_\n_a.b\n7 8\n"
+    assert one(spark, structures.cropped_text(F.lit(body), ranges, F.array().cast("array<string>")))["kept"] == 2
