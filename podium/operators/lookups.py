@@ -101,16 +101,39 @@ def united(*sets: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*(F.coalesce(s, F.array().cast("array<string>")) for s in sets))))
 
 
-def overlay(rows: DataFrame) -> DataFrame:
-    """Accepted overlay rows as a set of ids for each target; a bad row stops the query.
+def overlay_ids(text: Column) -> Column:
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[,;\s]+")
+    return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
 
-    A status outside accepted, deferred, rejected is an error, and so is an accepted row without an id or
-    any of its provenance.
+
+#: What an overlay row's status may be, and what an accepted row must tell.
+OVERLAY_STATUS = ("accepted", "candidate", "rejected", "deferred")
+PROVENANCE = ("source", "native_provenance", "construct_coverage", "chain_mapping", "scoring_mapping")
+
+
+def overlay_rows(rows: DataFrame, *, id_pattern: str | None = None) -> DataFrame:
+    """All overlay rows, trimmed, ids split; a row without a target, with an odd status, or accepted but incomplete stops the query.
+
+    Columns: target_id, ids, status and those of ``PROVENANCE``. An accepted row needs an id and all of these.
+    With a pattern, an id that doesn't match it as a whole is an error in any row.
     """
-    known = F.col("status").isin("accepted", "deferred", "rejected")
-    whole = (F.col("status") != "accepted") | ((F.size(csv_items(F.col("ids"))) > 0) & (F.coalesce("provenance", F.lit("")) != ""))
-    checked = rows.withColumn("status", F.when(~known, F.raise_error(F.concat(F.lit("unknown status: "), "status"))).when(~whole, F.raise_error(F.concat(F.lit("incomplete row: "), "target_id"))).otherwise(F.col("status")))
-    ids = checked.where("status = 'accepted'").select("target_id", F.explode(csv_items(F.lower("ids"))).alias("id"))
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    trimmed = rows.withColumns({c: text(c) for c in PROVENANCE} | {"target_id": F.upper(text("target_id")), "status": F.lower(text("status")), "ids": overlay_ids(F.col("ids"))})
+    accepted = F.col("status") == "accepted"
+    lacking = F.array_join(F.filter(F.array(*(F.when(F.col(c) == "", c) for c in PROVENANCE)), lambda c: c.isNotNull()), ", ")
+    error = (
+        F.when(F.col("target_id") == "", F.lit("overlay row without a target"))
+        .when(~F.col("status").isin(*OVERLAY_STATUS), F.concat(F.lit("unknown status: "), "status"))
+        .when(F.exists("ids", lambda x: ~x.rlike(f"^(?:{id_pattern})$")) if id_pattern else F.lit(False), F.concat(F.lit("invalid id: "), "target_id"))
+        .when(accepted & (F.size("ids") == 0), F.concat(F.lit("accepted row without ids: "), "target_id"))
+        .when(accepted & (lacking != ""), F.concat(F.lit("incomplete row: "), "target_id", F.lit(" lacks "), lacking))
+    )
+    return trimmed.withColumn("status", F.when(error.isNotNull(), F.raise_error(error)).otherwise(F.col("status")))
+
+
+def overlay(rows: DataFrame, *, id_pattern: str | None = None) -> DataFrame:
+    """Accepted overlay rows as a set of ids for each target; a bad row stops the query."""
+    ids = overlay_rows(rows, id_pattern=id_pattern).where("status = 'accepted'").select("target_id", F.explode("ids").alias("id"))
     return ids.groupBy("target_id").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 

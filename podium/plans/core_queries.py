@@ -126,9 +126,9 @@ def _(t):
     return t.orders.select("o_orderkey", F.array_join(K.united(F.array("o_orderpriority"), F.array("o_orderstatus", F.lit("P"))), ",").alias("ids"))
 
 
-@query("prj8_overlay", "SELECT p_brand AS target_id, string_agg(DISTINCT lower(x), ',' ORDER BY lower(x)) AS ids FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS x FROM part WHERE p_size % 3 = 0) GROUP BY 1")
+@query("prj8_overlay", "SELECT upper(p_brand) AS target_id, string_agg(DISTINCT lower(x), ',' ORDER BY lower(x)) AS ids FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS x FROM part WHERE p_size % 3 = 0) GROUP BY 1")
 def _(t):
-    rows = t.part.select(F.col("p_brand").alias("target_id"), F.replace(F.col("p_name"), F.lit(" "), F.lit(", ")).alias("ids"), F.when(F.col("p_size") % 3 == 0, "accepted").otherwise("deferred").alias("status"), F.col("p_type").alias("provenance"))
+    rows = t.part.select(F.col("p_brand").alias("target_id"), F.replace(F.col("p_name"), F.lit(" "), F.lit(", ")).alias("ids"), F.element_at(F.array(F.lit(" Accepted"), F.lit("deferred"), F.lit("candidate")), (F.col("p_size") % 3 + 1).cast("int")).alias("status"), *(F.when(F.col("p_size") % 3 == 0, F.col("p_type")).alias(c) for c in K.PROVENANCE))
     return K.overlay(rows).select("target_id", F.array_join("ids", ",").alias("ids"))
 
 

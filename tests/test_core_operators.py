@@ -59,9 +59,34 @@ def test_score_table(spark):
 def test_overlay_stops_on_bad_rows(spark):
     import pytest
 
-    rows = spark.createDataFrame([("T1", "1abc", "accepted", "")], "target_id string, ids string, status string, provenance string")
-    with pytest.raises(Exception, match="incomplete row"):
-        lookups.overlay(rows).collect()
+    names = ["target_id", "ids", "status", *lookups.PROVENANCE]
+    row = lambda *first, **more: spark.createDataFrame([[*first, *(more.get(c, "x") for c in lookups.PROVENANCE)]], names)
+    for bad, message in ((row("T1", "1abc", "accepted", chain_mapping=" "), "lacks chain_mapping"), (row("T1", " ,", "accepted"), "without ids"), (row("T1", "1abc", "maybe"), "unknown status"), (row("", "1abc", "deferred"), "without a target")):
+        with pytest.raises(Exception, match=message):
+            lookups.overlay(bad).collect()
+    with pytest.raises(Exception, match="invalid id"):
+        lookups.overlay(row("T1", "1abc;nope", "deferred"), id_pattern="[0-9][a-z0-9]{3}").collect()
+    assert lookups.overlay(row("t1", "1ABC; 2xyz", "accepted").unionByName(row("T2", "", "candidate", source=""))).collect() == [("T1", ["1abc", "2xyz"])]
+
+
+def test_hash_manifest_reads_what_is_there(spark, tmp_path):
+    import hashlib
+
+    from podium.sources import sinks
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.cif").write_bytes(b"abc")
+    (tmp_path / "y.cif").write_bytes(b"")
+    files = spark.createDataFrame([(f"{tmp_path}/a/x.cif", 3), (f"{tmp_path}/y.cif", 0), (f"{tmp_path}/gone.cif", 9)], "path string, length long")
+    got = {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in sinks.hash_manifest(files, str(tmp_path)).collect()}
+    assert got == {"x.cif": hashlib.sha256(b"abc").hexdigest(), "y.cif": "", "gone.cif": ""}
+
+
+def test_markdown_says_when_it_stops(spark):
+    from podium.sources import sinks
+
+    assert sinks.markdown(spark.range(3), ["id"], most=2).endswith("_Only the first 2 rows are shown._")
+    assert sinks.markdown(spark.range(2), ["id"], most=2).endswith("| 1 |")
 
 
 def test_listing_counts_empty_files(spark, tmp_path):
@@ -84,6 +109,18 @@ def test_latest_status_stream(spark, tmp_path):
     assert [(r["run_id"], r["status"]) for r in spark.sql("select * from latest").collect()] == [("R1", "ok")]
 
 
+def test_complete_tasks_counts_each_path_once(spark, tmp_path):
+    from podium.streaming import status
+
+    schema = "task string, path string"
+    for part in ([("a", "1"), ("a", "1"), ("b", "1")], [("a", "1"), ("b", "2")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "files"))
+    q = status.complete_tasks(status.log_stream(spark, str(tmp_path / "files"), schema), 2).writeStream.format("memory").queryName("whole").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r["task"], r["files"]) for r in spark.sql("select * from whole").collect()] == [("b", 2)]
+
+
 def test_commands(spark):
     from podium.operators import external
 
