@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, license_scan, line_dedup, lm_score, ngram_join, packing, quality, substring_dedup
+from . import centroids, decontaminate, embedding_dedup, fill_middle, language_id, license_scan, line_dedup, lm_score, ngram_join, packing, quality, substring_dedup, url_filter
 from .common import table
 
 
@@ -56,9 +56,21 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokens_path=vocabulary()).drop("ids")
 
 
+def op11_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op12_fill_middle(spark, sf_dir):
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql():
-    return {"op8_license_scan": license_scan.oracle()}
+    return {"op8_license_scan": license_scan.oracle(), "op12_fill_middle": fill_middle.oracle(), "op13_centroids": centroids.oracle()}
