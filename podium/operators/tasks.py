@@ -1,12 +1,12 @@
-"""Nested task documents: sizes, chain names, copy counts, budgets, and packing of tasks into shards."""
+"""Nested task documents: sizes, chain names, copy counts, budgets and orders."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequences import chain_name
+from .ranks import placed
 
 ENTITY = "struct<kind:string,sequence:string,count:int,ids:array<string>>"
 TASK = f"struct<name:string,sequences:array<{ENTITY}>>"
@@ -87,57 +87,10 @@ def fragment(sequence: Column, ranges: Column) -> Column:
 def ordered(tasks: DataFrame, order: str) -> DataFrame:
     """place: by input, size-asc or size-desc, ties by input order then name."""
     key = {"input": [], "size-asc": [F.asc("tokens")], "size-desc": [F.desc("tokens")]}[order]
-    return tasks.withColumn("place", F.row_number().over(W.partitionBy("pool").orderBy(*key, "ord", "name")))
-
-
-def shard(tasks: DataFrame, *, shards: int, max_tasks: int | None = None) -> DataFrame:
-    """Greedy packing within a pool: by size, each task to the shard with fewest (tokens, tasks, number).
-
-    The rule is sequential within a pool; pools are dealt to tasks of their own.
-    """
-    # SQL can fold this over an array too, but then the state is copied for each task
-    import heapq
-
-    import pandas as pd
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tokens", "ord", "name"], ascending=[False, True, True])
-        heap = [(0, 0, i) for i in range(1, shards + 1)]
-        out = []
-        for tokens in pdf["tokens"].tolist():
-            if not heap:
-                raise ValueError("max_tasks is too small for the number of shards")
-            total, n, i = heapq.heappop(heap)
-            out.append(i)
-            if max_tasks is None or n + 1 < max_tasks:
-                heapq.heappush(heap, (total + tokens, n + 1, i))
-        return pdf.assign(shard=out)[["pool", "name", "ord", "tokens", "shard"]]
-
-    return tasks.select("pool", "name", "ord", F.col("tokens").cast("long").alias("tokens")).groupBy("pool").applyInPandas(pack, "pool string, name string, ord long, tokens long, shard int")
-
-
-def shard_under_cap(tasks: DataFrame, *, max_tokens: int) -> DataFrame:
-    """Greedy packing into shards of at most max_tokens, opened as needed; a task over the cap gets its own."""
-    import pandas as pd
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tokens", "ord", "name"], ascending=[False, True, True])
-        open_shards: list[list[int]] = []
-        out = []
-        for tokens in pdf["tokens"].tolist():
-            fits = [s for s in open_shards if s[0] + tokens <= max_tokens]
-            s = min(fits) if fits else [0, 0, len(open_shards) + 1]
-            if not fits:
-                open_shards.append(s)
-            s[0] += tokens
-            s[1] += 1
-            out.append(s[2])
-        return pdf.assign(shard=out)[["pool", "name", "ord", "tokens", "shard"]]
-
-    return tasks.select("pool", "name", "ord", F.col("tokens").cast("long").alias("tokens")).groupBy("pool").applyInPandas(pack, "pool string, name string, ord long, tokens long, shard int")
+    return placed(tasks, ["pool"], [*key, "ord", "name"])
 
 
 def by_priority(jobs_: DataFrame, *, size_first: bool = True) -> DataFrame:
     """Wanted kind first, then by size among those if asked, then input order."""
     size = F.when(F.col("priority") == 0, F.col("tokens")).otherwise(0) if size_first else F.lit(0)
-    return jobs_.withColumn("place", F.row_number().over(W.partitionBy("pool").orderBy("priority", size, "ord")))
+    return placed(jobs_.withColumn("_size", size), ["pool"], ["priority", "_size", "ord"]).drop("_size")

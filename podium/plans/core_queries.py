@@ -10,7 +10,9 @@ from ..functions import sequences as Q
 from ..operators import cache as C
 from ..operators import candidates as D
 from ..operators import lookups as K
+from ..operators import ranges as G
 from ..operators import review as V
+from ..operators import shards as H
 from ..operators import tasks as T
 from .registry import query
 
@@ -270,7 +272,7 @@ def _(t):
 @query("win5_islands", "WITH p AS (SELECT DISTINCT user_id, CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) AS INTEGER) AS p FROM events), g AS (SELECT *, p - row_number() OVER (PARTITION BY user_id ORDER BY p) AS i FROM p) SELECT user_id, min(p) AS lo, max(p) AS hi FROM g GROUP BY user_id, i")
 def _(t):
     days = t.events.select("user_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("p"))
-    return I.collapse(days, "user_id", "p")
+    return G.combined(days.select("user_id", F.col("p").alias("lo"), F.col("p").alias("hi")), None, ["user_id"])
 
 
 POS = "pos AS (SELECT target, unnest(generate_series(lo, hi)) AS p FROM ranges)"
@@ -278,14 +280,31 @@ POS = "pos AS (SELECT target, unnest(generate_series(lo, hi)) AS p FROM ranges)"
 
 @query("agg10_range_coverage", f"WITH {POS}, d AS (SELECT DISTINCT target, p FROM pos) SELECT target, CAST(count(*) AS INTEGER) AS size, round(count(*) FILTER (WHERE p BETWEEN 100 AND 199) / 100.0, 6) AS coverage FROM d GROUP BY 1", "ranges")
 def _(t):
-    got = K.gathered_ranges(t.ranges, "target")
-    want = F.array(F.struct(F.lit(100).alias("lo"), F.lit(199).alias("hi")))
-    return got.select("target", I.size(F.col("ranges")).alias("size"), F.round(I.coverage(want, F.col("ranges")), 6).alias("coverage"))
+    got = G.coverage(hundred(t), t.ranges, ["target"])
+    return got.select("target", F.col("size").cast("int").alias("size"), F.round("coverage", 6).alias("coverage"))
+
+
+def hundred(t):
+    """Places 100 to 199 of each target."""
+    return t.ranges.select("target").distinct().withColumns({"lo": F.lit(100), "hi": F.lit(199)})
 
 
 @query("agg10_merged_ranges", f"WITH {POS}, d AS (SELECT DISTINCT target, p FROM pos), g AS (SELECT *, p - row_number() OVER (PARTITION BY target ORDER BY p) AS i FROM d) SELECT target, CAST(min(p) AS INTEGER) AS lo, CAST(max(p) AS INTEGER) AS hi FROM g GROUP BY target, i", "ranges")
 def _(t):
-    return I.merge(t.ranges.select("target", "lo", "hi"), "target")
+    return G.combined(t.ranges, None, ["target"])
+
+
+ISLANDS = "g AS (SELECT target, p, p - row_number() OVER (PARTITION BY target ORDER BY p) AS i FROM d) SELECT target, CAST(min(p) AS INTEGER) AS lo, CAST(max(p) AS INTEGER) AS hi FROM g GROUP BY target, i"
+
+
+@query("agg10_missing_ranges", f"WITH {POS}, t AS (SELECT DISTINCT target FROM ranges), d AS (SELECT target, p FROM (SELECT target, unnest(generate_series(100, 199)) AS p FROM t) EXCEPT SELECT target, p FROM pos), {ISLANDS}", "ranges")
+def _(t):
+    return G.combined(hundred(t), t.ranges, ["target"], G.DIFFERENCE)
+
+
+@query("agg10_shared_ranges", f"WITH {POS}, d AS (SELECT DISTINCT target, p FROM pos WHERE p BETWEEN 100 AND 199), {ISLANDS}", "ranges")
+def _(t):
+    return G.combined(hundred(t), t.ranges, ["target"], G.INTERSECTION)
 
 
 @query("win4_carry_forward", "SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS last_error FROM events")
@@ -369,12 +388,12 @@ def _(t):
 
 @query("srt2_shards", None)
 def _(t):
-    return T.shard(pool(t), shards=6)
+    return H.shard(pool(t), shards=6)
 
 
 @query("srt2_shards_under_cap", None)
 def _(t):
-    return T.shard_under_cap(t.customer.select(F.col("c_nationkey").cast("string").alias("pool"), F.col("c_name").alias("name"), F.col("c_custkey").alias("ord"), F.floor(F.abs("c_acctbal")).alias("tokens")), max_tokens=20_000)
+    return H.shard_under_cap(t.customer.select(F.col("c_nationkey").cast("string").alias("pool"), F.col("c_name").alias("name"), F.col("c_custkey").alias("ord"), F.floor(F.abs("c_acctbal")).alias("tokens")), max_tokens=20_000)
 
 
 @query("srt6_job_priority", f"WITH {POOL} SELECT pool, name, CAST(row_number() OVER (PARTITION BY pool ORDER BY priority, CASE WHEN priority = 0 THEN tokens ELSE 0 END, ord) AS INTEGER) AS place FROM pool", "")
@@ -615,10 +634,7 @@ def _(t):
 
 @query("srt5_gap_priority", f"WITH {BEST} SELECT track, target_id, CAST(row_number() OVER (PARTITION BY track ORDER BY best_score DESC, total_len, target_id) AS INTEGER) AS place FROM tgt WHERE reference_status <> 'available'")
 def _(t):
-    from pyspark.sql import Window as W
-
-    got = V.gaps(gap_targets(t), gap_candidates(t))
-    return got.select("track", "target_id", F.row_number().over(W.partitionBy("track").orderBy(F.desc("best_score"), "total_len", "target_id")).alias("place"))
+    return V.prioritised(V.gaps(gap_targets(t), gap_candidates(t))).select("track", "target_id", "place")
 
 
 @query("prj2_worklist", "SELECT o_orderkey AS ord, o_orderstatus AS blocker FROM orders WHERE o_orderstatus IN ('P', 'O') ORDER BY ord LIMIT 50")
@@ -632,7 +648,7 @@ def _(t):
     pdb = F.concat(F.lit("p"), F.col("s_nationkey").cast("string"))
     reviews = t.supplier.select(F.col("s_suppkey").alias("target_id"), F.array(F.struct(lo.alias("lo"), (lo + 99).alias("hi"))).alias("wanted"), pdb.alias("pdb_ids"))
     structures = t.supplier.select(F.col("s_suppkey").alias("target_id"), pdb.alias("pdb_id"))
-    chains = K.gathered_ranges(t.ranges.where("target % 25 < 20"), "target").select(F.concat(F.lit("p"), (F.col("target") % 25).cast("string")).alias("pdb_id"), F.col("target").cast("string").alias("chain"), F.col("ranges").alias("observed"))
+    chains = K.gathered_ranges(G.combined(t.ranges.where("target % 25 < 20"), None, ["target"]), "target").select(F.concat(F.lit("p"), (F.col("target") % 25).cast("string")).alias("pdb_id"), F.col("target").cast("string").alias("chain"), F.col("ranges").alias("observed"))
     return V.chain_audit(reviews, structures, chains)
 
 

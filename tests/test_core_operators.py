@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from podium.functions import scores as S
 from podium.functions import sequences as Q
-from podium.operators import lookups, tasks
+from podium.operators import lookups, shards, tasks
 from podium.sources import texts
 
 
@@ -25,7 +25,7 @@ def test_normalized(spark):
 
 def test_greedy_shards(spark):
     rows = [("p", f"t{i}", i, n) for i, n in enumerate((100, 90, 50, 20, 10))]
-    out = tasks.shard(spark.createDataFrame(rows, "pool string, name string, ord long, tokens long"), shards=2)
+    out = shards.shard(spark.createDataFrame(rows, "pool string, name string, ord long, tokens long"), shards=2)
     sums = {r["shard"]: (r["s"], r["n"]) for r in out.groupBy("shard").agg(F.sum("tokens").alias("s"), F.count(F.lit(1)).alias("n")).collect()}
     assert sums == {1: (130, 3), 2: (140, 2)}
 
