@@ -101,6 +101,6 @@ def budget_tier(candidates: Column, policy: Column, rank_eligible: Column, fixed
     return F.when(~rank_eligible, diagnostic).when((candidates > 1) | chosen, attack).when(fixed_budget, dev).otherwise(diagnostic)
 
 
-def ladder(*steps: tuple[Column, str], otherwise: str) -> Column:
+def ladder(*steps: tuple[Column, str | Column], otherwise: str | Column) -> Column:
     """The label of the first condition that holds."""
     return reduce(lambda w, s: w.when(*s), steps[1:], F.when(*steps[0])).otherwise(otherwise) if steps else F.lit(otherwise)
