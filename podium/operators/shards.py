@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import placed
+from .ranks import importable, placed
 
 #: ranks of a class that share one key of the join
 BLOCK = 64
@@ -119,6 +119,7 @@ class Deal:
 def dealt(tasks: DataFrame, **how) -> DataFrame:
     import pandas as pd
 
+    importable(tasks.sparkSession)
     own = tasks.select("pool", "name", "ord", F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"))
     ranked = placed(own, ["pool", "tokens"], ["ord", "name"], "rank").withColumn("rank", F.col("rank") - 1)
     classes = own.groupBy("pool", "tokens").agg(F.count(F.lit(1)).alias("n"))

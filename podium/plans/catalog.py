@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import board_queries, core_queries, document_queries, source_queries, strategy_queries  # noqa: F401
+from . import board_queries, core_queries, document_queries, source_queries, strategy_queries, stream_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -109,18 +109,6 @@ def test_latest_status_stream(spark, tmp_path):
     assert [(r["run_id"], r["status"]) for r in spark.sql("select * from latest").collect()] == [("R1", "ok")]
 
 
-def test_complete_tasks_counts_each_path_once(spark, tmp_path):
-    from podium.streaming import status
-
-    schema = "task string, path string"
-    for part in ([("a", "1"), ("a", "1"), ("b", "1")], [("a", "1"), ("b", "2")]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "files"))
-    q = status.complete_tasks(status.log_stream(spark, str(tmp_path / "files"), schema), 2).writeStream.format("memory").queryName("whole").outputMode("complete").start()
-    q.processAllAvailable()
-    q.stop()
-    assert [(r["task"], r["files"]) for r in spark.sql("select * from whole").collect()] == [("b", 2)]
-
-
 def test_commands(spark):
     from podium.operators import external
 
