@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..sources import sinks, structures, texts
+from ..sources import sections, sinks, structures, texts
 from .registry import query
 
 
@@ -50,14 +50,24 @@ def _(t):
 
 @query(
     "src6_score_table",
-    "SELECT concat('T', CAST(1000 + l_orderkey % 9000 AS VARCHAR)) AS target_id, concat('T', CAST(1000 + l_orderkey % 9000 AS VARCHAR), 'TS', lpad(CAST(l_suppkey AS VARCHAR), 3, '0'), '_', CAST(l_linenumber AS VARCHAR)) AS model, CAST(l_suppkey AS VARCHAR) AS \"group\", 'GDT_TS' AS primary_metric, l_quantity AS primary_score FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem)",
+    SCORES := "SELECT concat('T', CAST(1000 + l_orderkey % 9000 AS VARCHAR)) AS target_id, concat('T', CAST(1000 + l_orderkey % 9000 AS VARCHAR), 'TS', lpad(CAST(l_suppkey AS VARCHAR), 3, '0'), '_', CAST(l_linenumber AS VARCHAR)) AS model, CAST(l_suppkey AS VARCHAR) AS \"group\", 'GDT_TS' AS primary_metric, l_quantity AS primary_score FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem)",
 )
 def _(t):
+    return texts.score_table(score_texts(t), "prot_domains").select("target_id", "model", "group", "primary_metric", "primary_score")
+
+
+def score_texts(t):
     name = F.concat(F.lit("T"), (1000 + F.col("l_orderkey") % 9000).cast("string"))
     row = F.concat_ws("   ", "l_linenumber", F.concat(name, F.lit("TS"), F.lpad(F.col("l_suppkey").cast("string"), 3, "0"), F.lit("_"), F.col("l_linenumber").cast("string")), "l_suppkey", "l_quantity", F.lit("a b"))
     per = t.lineitem.groupBy("l_orderkey", name.alias("target")).agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
     body = F.concat(F.lit("Target: "), "target", F.lit(" x\n# note\n#  Model  GR#  GDT_TS  Comment\n"), "rows", F.lit("\nskipped line"))
-    return texts.score_table(per.select(F.col("l_orderkey").cast("string").alias("file"), body.alias("text")), "prot_domains").select("target_id", "model", "group", "primary_metric", "primary_score")
+    return per.select(F.col("l_orderkey").cast("string").alias("file"), body.alias("text"))
+
+
+@query("src6_split_table", SCORES)
+def _(t):
+    pieces = score_texts(t).select("file", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,23}"), 0)).alias("pos", "text"))
+    return sections.score_table_pieces(pieces, "prot_domains").select("target_id", "model", "group", "primary_metric", "primary_score")
 
 
 @query("src3_html_tables", None)

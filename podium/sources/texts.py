@@ -77,13 +77,17 @@ def aligned(header: Column, values: Column) -> Column:
 def score_table(texts: DataFrame, category: str) -> DataFrame:
     """Sectioned score tables: the target and the header given last hold for the rows that follow."""
     body = lines(texts)
-    first = F.get(F.split("line", r"\s+"), 0)
     told = F.when(F.startswith("line", F.lit("Target:")), F.regexp_extract("line", r"^Target:\s*(\S+)", 1))
     cells = F.split(F.trim(F.regexp_replace("line", r"^#+", "")), r"\s+")
     header = F.when(F.startswith("line", F.lit("#")) & F.array_contains(cells, "Model"), cells)
     so_far = W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    full = body.withColumns({"target": F.last(told, ignorenulls=True).over(so_far), "header": F.last(header, ignorenulls=True).over(so_far), "first": first})
-    rows = full.where("not startswith(line, 'Target:') and not startswith(line, '#') and header is not null").where(F.col("first").rlike(r"^\d+$") | F.contains("first", F.lit("TS")))
+    full = body.withColumns({"target": F.last(told, ignorenulls=True).over(so_far), "header": F.last(header, ignorenulls=True).over(so_far)})
+    return scores(full.where("not startswith(line, 'Target:') and not startswith(line, '#') and header is not null"), category)
+
+
+def scores(told: DataFrame, category: str) -> DataFrame:
+    """Scores in the lines (file, n, target, header, line) of sectioned tables; lines that are no rows are passed over."""
+    rows = told.withColumn("first", F.get(F.split("line", r"\s+"), 0)).where(F.col("first").rlike(r"^\d+$") | F.contains("first", F.lit("TS")))
     ranked, parts = F.col("first").rlike(r"^\d+$"), F.split("line", r"\s+")
     rows = rows.withColumn("metrics", aligned(F.col("header"), F.when(ranked, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))).otherwise(parts)))
     cell = lambda k: F.coalesce(F.element_at("metrics", F.lit(k)), F.lit(""))
@@ -177,22 +181,6 @@ def run_specs(spark: SparkSession, pattern: str, schema: str, *, registered: Dat
     return specs if registered is None else specs.join(registered.select("run_id").distinct(), "run_id", "left_semi")
 
 
-def listing(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".cif", ".pdb")) -> DataFrame:
-    """(path, length, place) of files below a folder by Hadoop's listing, empty files too; the first suffix's files come first."""
-    jvm = spark._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    files = base.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(base, True)
-    found = []
-    while files.hasNext():
-        f = files.next()
-        path = f.getPath().toUri().getPath()
-        kind = next((i for i, s in enumerate(suffixes) if path.endswith(s)), None)
-        if kind is not None:
-            found.append((path, f.getLen(), kind))
-    df = spark.createDataFrame(found, "path string, length long, kind int")
-    return df.withColumn("place", F.row_number().over(W.orderBy("kind", "path"))).drop("kind") if found else df.withColumn("place", F.lit(0)).drop("kind")
-
-
 def metric_values(text: Column) -> dict[str, Column]:
     """Numbers in the output of metric programs; null where they aren't told."""
     number = lambda p: F.regexp_extract(text, p, 1).try_cast("double")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from podium.functions import scores as S
 from podium.functions import sequences as Q
 from podium.operators import lookups, shards, tasks
-from podium.sources import texts
+from podium.sources import folders, texts
 
 
 def one(spark, column):
@@ -93,7 +93,7 @@ def test_listing_counts_empty_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     for name in ("a/x.pdb", "a/y.cif", "z.cif"):
         (tmp_path / name).write_text("")
-    got = [r["path"].rsplit("/", 1)[1] for r in texts.listing(spark, str(tmp_path)).orderBy("place").collect()]
+    got = [r["path"].rsplit("/", 1)[1] for r in folders.listing(spark, str(tmp_path)).orderBy("place").collect()]
     assert got == ["y.cif", "z.cif", "x.pdb"]
 
 
