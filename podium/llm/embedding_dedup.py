@@ -1,7 +1,7 @@
 """Embedding near-dedup: iterative quantisation, multi-index Hamming tables, reranking.
 
-A rotation learned on a bounded sample makes binary codes whose bits are balanced and keep angles.
-The code is cut into substrings of 16 bits, one table each; a vector enters a table under its
+A rotation learned on a bounded sample makes binary codes whose bits are balanced and keep angles; vectors
+of fewer than 64 dimensions are turned further, until there are 64 bits. The code is cut into four substrings of 16 bits, one table each; a vector enters a table under its
 substring and those one bit away, so that two vectors whose substrings differ in at most two bits meet.
 Pairs within the Hamming radius are compared by cosine in double precision on the original vectors.
 
@@ -29,6 +29,7 @@ from . import common
 
 BUCKET = 1024
 SUB = 16
+CODE = 64
 
 
 def learn_rotation(sample: np.ndarray, bits: int, *, rounds: int = 40, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -45,8 +46,23 @@ def learn_rotation(sample: np.ndarray, bits: int, *, rounds: int = 40, seed: int
     return mean, p @ r
 
 
+def turns(sample: np.ndarray, *, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, projection) to CODE bits: the learned rotation, and for fewer dimensions further turns of it until the bits are full.
+
+    Learning would bring every further turn to the same place, so those are random; each is balanced by the mean as the first is.
+    """
+    mean, first = learn_rotation(sample, min(CODE, sample.shape[1]), seed=seed)
+    rng, parts = np.random.default_rng(seed + 1), [first]
+    while sum(p.shape[1] for p in parts) < CODE:
+        parts.append(first @ np.linalg.qr(rng.normal(size=(first.shape[1],) * 2))[0])
+    out = np.concatenate(parts, axis=1)[:, :CODE]
+    if sample.shape[1] < 3:  # in a plane bits fall together; half of each substring stays empty, so that more pairs meet
+        out[:, np.arange(CODE) % SUB >= SUB // 2] = 0
+    return mean, out
+
+
 def encode(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    bits = np.zeros((len(x), 64), dtype=np.uint8)
+    bits = np.zeros((len(x), CODE), dtype=np.uint8)
     bits[:, : projection.shape[1]] = (x - mean) @ projection > 0
     return np.packbits(bits, axis=1).view(np.uint64).ravel()
 
@@ -116,12 +132,11 @@ def of_length(scratch: common.Scratch, valid: DataFrame, dims: int, threshold: f
     single = scratch.put(single.withColumn("w", F.col("rows")), "nodes")
     units = scratch.put(valid.groupBy("node").agg(F.first("v").alias("v")).mapInArrow(packed, "node long, unit binary"), "units")
     picked = units.orderBy(F.xxhash64("node"), "node").limit(max(sample, BUCKET + 1)).toArrow()["unit"].combine_chunks()
-    bits = min(64, dims)
     if len(picked) > BUCKET:
-        mean, projection = learn_rotation(matrix(picked, dims), bits)
+        mean, projection = turns(matrix(picked, dims))
     else:
-        mean, projection, bits = np.zeros(dims), np.zeros((dims, 1)), 1  # one code for all
-    tables = -(-bits // SUB)
+        mean, projection = np.zeros(dims), np.zeros((dims, 1))  # one code for all
+    tables = -(-projection.shape[1] // SUB)
 
     def keyed(batches):
         for b in batches:
