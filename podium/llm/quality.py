@@ -68,12 +68,13 @@ def holds(rule, x: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def grow(x: dict[str, np.ndarray], cuts: dict[str, np.ndarray], grad: np.ndarray, hess: np.ndarray, depth: int, rows: np.ndarray, path=()):
-    """A regression tree on second-order gradients; yields (path, value, rows) of each node under the root."""
-    if path:
-        yield path, -grad[rows].sum() / (hess[rows].sum() + 1.0), rows
+    """A regression tree on second-order gradients; yields (path, value, rows, whether it is a leaf) of each node under the root."""
+    g, h = grad[rows].sum(), hess[rows].sum()
+    value = -g / (h + 1.0)
     if len(path) == depth or len(rows) < 40:
+        if path:
+            yield path, value, rows, True
         return
-    g, h = grad[rows].sum(), hess[rows].sum()
     best = (1e-3, None, None)
     for name, at in cuts.items():
         slot = np.searchsorted(at, x[name][rows])
@@ -82,6 +83,8 @@ def grow(x: dict[str, np.ndarray], cuts: dict[str, np.ndarray], grad: np.ndarray
         gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
         if len(gain) and gain.max() > best[0]:
             best = (gain.max(), name, float(at[gain.argmax()]))
+    if path:
+        yield path, value, rows, not best[1]
     if best[1]:
         below = x[best[1]][rows] <= best[2]
         for at_most, part in ((True, rows[below]), (False, rows[~below])):
@@ -96,10 +99,9 @@ def fit(x: dict[str, np.ndarray], y: np.ndarray, *, trees: int = 20, depth: int
     logit, found = np.full(n, np.log(y.mean() / (1 - y.mean()))), {}
     for _ in range(trees):
         p = 1 / (1 + np.exp(-logit))
-        for path, value, rows in grow(x, cuts, p - y, p * (1 - p), depth, np.arange(n)):
+        for path, value, rows, leaf in grow(x, cuts, p - y, p * (1 - p), depth, np.arange(n)):
             found[path] = True
-            deeper = len(path) == depth or len(rows) < 40
-            if deeper:
+            if leaf:
                 logit[rows] += rate * value
     rules = sorted(found)
     m = np.stack([holds(r, x) for r in rules], axis=1).astype(np.float64)
@@ -125,14 +127,18 @@ def fit(x: dict[str, np.ndarray], y: np.ndarray, *, trees: int = 20, depth: int
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str, label_col: str, folds: int, sample: int) -> Rules:
-    """Rules from at most sample labelled rows whose crc32(id as text) mod folds is not 0."""
+    """Rules from at most sample labelled ids whose crc32(id as text) mod folds is not 0.
+
+    Of repeated labels of an id the smallest counts, of repeated documents one text: at most sample rows come to the driver.
+    """
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y is not null").where(bucket_of("id", folds) != 0)
     chosen = own.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    # at most sample rows of two numbers, whatever the input
-    ids = docs.sparkSession.createDataFrame(chosen.toPandas(), "id long, y int")
-    stats = statistics(F.col("text"))
+    # at most sample rows of an id and a number, whatever the input
+    ids = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
     texts = docs.select(F.col(id_col).alias("id"), "text").join(F.broadcast(ids), "id")
-    got = texts.select("id", "y", *(c.alias(k) for k, c in stats.items())).toPandas().sort_values(["id", *stats], kind="stable")
+    one = texts.groupBy("id").agg(F.min("y").alias("y"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    stats = statistics(F.col("text"))
+    got = one.select("id", "y", *(c.alias(k) for k, c in stats.items())).toPandas().sort_values(["id", *stats], kind="stable")
     return fit({k: got[k].to_numpy(float) for k in stats}, got["y"].to_numpy(float))
 
 
