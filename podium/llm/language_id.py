@@ -61,7 +61,7 @@ class Encoder:
         kind[alphabet] = np.arange(len(alphabet))
         k = kind[codes]
         keep = np.ones(len(k), dtype=bool)
-        keep[1:] = (k[1:] != 0) | (k[:-1] != 0)  # one gap between words, whatever stands there
+        keep[1:] = (k[1:] != 0) | (k[:-1] != 0) | (owner[1:] != owner[:-1])  # one gap between words, and before each text, whatever stands there
         k, owner = k[keep].astype(np.int64), owner[keep]
         out = np.zeros((len(texts), self.dims), dtype=np.float32)
         m = len(k) - n + 1
