@@ -6,12 +6,15 @@ Tasks are rows (name, ord, sequences); names are unique. A derivation returns th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import intervals as I
 from ..functions import sequences as Q
 from . import lookups as K
+from . import strategies as S
 from . import tasks as T
 
 #: Fixed value: tokens that a task may have.
@@ -226,3 +229,105 @@ def recovered_with_official_counts(tasks: DataFrame, targets: DataFrame, records
     """Recovery of complexes, then official copies where they stay under the limit."""
     made = with_recovered(tasks, recovered(tasks, targets, records, tracks=("protein_oligo",)))
     return with_official_counts(made, targets, states, limit=limit, token_safe=True)
+
+
+def blank(column: str) -> Column:
+    return F.trim(F.coalesce(F.col(column), F.lit("")))
+
+
+def repair_aliases(seed: Column) -> Column:
+    """Ids in the order in which records are sought for one: itself, without its last O, first and bare variants of both, and for each of these its recovery aliases."""
+    up = F.upper(seed)
+    bare = lambda x: F.when(F.endswith(x, F.lit("O")), F.regexp_replace(x, "O$", ""))
+
+    def variants(x: Column) -> list[Column]:
+        out = []
+        for pattern, sep, other in ((r"^(.*)_V(\d+)(O?)$", "_V1", None), (r"^(.*)V(\d+)(O?)$", "V1", r"^(.*)_V(\d+)(O?)$")):
+            fits = x.rlike(pattern) if other is None else x.rlike(pattern) & ~x.rlike(other)
+            base, version, tail = (F.regexp_extract(x, pattern, i) for i in (1, 2, 3))
+            out += [F.when(fits & (version != "1"), F.concat(base, F.lit(sep), tail)), F.when(fits, F.concat(base, tail)), F.when(fits & (version != "1") & (tail != ""), F.concat(base, F.lit(sep))), F.when(fits & (tail != ""), base)]
+        return out
+
+    pending = F.array_compact(F.array(up, bare(up), *variants(up), *variants(bare(up))))
+    full = F.flatten(F.transform(pending, lambda x: F.concat(F.array(x), F.array_compact(F.array(bare(x))), Q.recovery_aliases(x))))
+    return F.filter(F.array_distinct(full), lambda a: a != "")
+
+
+def repaired(tasks: DataFrame, targets: DataFrame, records: DataFrame, *, limit: int = TOKEN_LIMIT) -> DataFrame:
+    """Every target that could be scored here (a reference, and not barred from ranking), and what is done for it: already_covered, added or skipped.
+
+    A target without a task gets one from the records of the first of its aliases that has protein records, told ones before others; over the limit it is skipped. Targets:
+    (ord, target_id, track, oligo_state, reference_status, rank_eligible, sequence_lookup_id, official_target_id), of repeated ids the first row. Records: as for recovered().
+    Returns name, ord, track, status, skip_reason, source, record_ids, target_ids, rules, sequences.
+    """
+    barred = F.lower(blank("rank_eligible")).isin("false", "0", "no")
+    scoreable = targets.where((F.col("reference_status") == "available") & ~barred & (blank("target_id") != ""))
+    fields = ["ord", "track", "oligo_state", "lookup", "official"]
+    rows = scoreable.select(F.upper(blank("target_id")).alias("name"), "ord", "track", "oligo_state", F.upper(blank("sequence_lookup_id")).alias("lookup"), F.upper(blank("official_target_id")).alias("official"))
+    own = rows.groupBy("name").agg(F.min_by(F.struct(*fields), F.struct("ord", *fields)).alias("r")).select("name", "r.*")
+    index = rows.select("name", F.explode(F.filter(F.array_distinct(F.concat(task_aliases(F.col("name")), F.array("lookup", "official"))), lambda a: a != "")).alias("alias"))
+    covered = tasks.select(F.explode(task_aliases(F.col("name"))).alias("alias")).distinct().join(index, "alias").select("name").unionByName(tasks.select(F.upper(F.trim("name")).alias("name"))).distinct()
+    needy = own.join(covered, "name", "left_anti")
+    seeds = F.array_distinct(F.flatten(F.array(*(repair_aliases(F.col(c)) for c in ("name", "lookup", "official")))))
+    ids = F.concat(F.array(F.upper("record_id")), F.transform(F.split(F.coalesce("target_ids", F.lit("")), ","), lambda x: F.upper(F.trim(x))))
+    known = records.where(is_protein_record()).select("ord", "record_id", "target_ids", "sequence_kind", F.regexp_replace(F.upper("sequence"), r"\s+", "").alias("sequence"), F.explode(F.filter(F.array_distinct(ids), lambda x: x != "")).alias("alias"))
+    met = needy.select("name", F.posexplode(seeds).alias("place", "alias")).join(known.withColumnRenamed("ord", "at"), "alias")
+    # of the records of the first alias that has any, those told to be proteins if there are some
+    told = F.when(F.col("sequence_kind") == PROTEIN, 0).otherwise(1)
+    least = met.groupBy("name").agg(F.min(F.struct("place", told.alias("told"))).alias("least"))
+    chosen = met.join(least, "name").where((F.col("place") == F.col("least.place")) & (told == F.col("least.told")))
+    one = chosen.groupBy("name", "alias", "sequence").agg(F.min(F.struct("at", "record_id", "target_ids", "sequence_kind")).alias("r"))
+    made = one.groupBy("name").agg(F.min("alias").alias("source"), F.array_sort(F.collect_list(F.struct("r", "sequence"))).alias("m"))
+    got = own.join(covered.withColumn("has", F.lit(True)), "name", "left").join(made, "name", "left")
+    state, n_made = F.coalesce("oligo_state", F.lit("")), F.size("m")
+    said = F.transform(F.regexp_extract_all(F.upper(state), F.lit(r"[A-Z]+(\d+)"), 1), lambda x: x.cast("int"))
+    n = F.when(F.size(said) == n_made, said).when((n_made == 1) & (F.size(said) > 0), F.slice(said, 1, 1)).otherwise(F.array_repeat(F.lit(1), n_made))
+    entity = lambda x, i: F.struct(F.lit(PROTEIN).alias("kind"), x["sequence"].alias("sequence"), F.get(n, i).alias("count"), F.array().cast("array<string>").alias("ids"))
+    got = got.withColumn("new", F.when(F.col("m").isNotNull(), T.named_chains(F.transform("m", entity))))
+    status = F.when(F.col("has"), "already_covered").when(F.col("m").isNull(), "skipped").when(tokens(F.col("new")) > limit, "skipped").otherwise("added")
+    reason = F.when(F.col("has") | (status == "added"), "none").when(F.col("m").isNull(), "no_recoverable_protein_sequence").otherwise(f"oversize_after_repair:{limit}")
+    recast = F.array_distinct(F.transform(F.filter("m", lambda x: ~x["r"]["sequence_kind"].eqNullSafe(F.lit(PROTEIN))), lambda x: F.concat(F.lit("recast_sequence_kind:"), F.coalesce(x["r"]["sequence_kind"], F.lit("unknown")))))
+    odd = K.informative(F.col("oligo_state")) & Q.stoichiometry(state, n_made).isNull()
+    notes = F.array(F.when(~F.col("source").isin(F.col("name"), F.col("lookup")), F.concat(F.lit("alias_fallback:"), "source")), F.when(odd, F.concat(F.lit("unparsed_oligo_state:"), state)))
+    rules = F.when(F.col("has"), "existing_input_covers_scoreable_target").when(F.col("m").isNull(), "scoreable_input_repair").otherwise(F.array_join(F.array_compact(F.concat(F.array(F.lit("scoreable_input_repair")), recast, notes)), ","))
+    joined = lambda f: F.coalesce(F.array_join(F.transform("m", lambda x: x["r"][f]), ","), F.lit(""))
+    of = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform("m", lambda x: x["r"]["target_ids"]), lambda x: F.coalesce(x, F.lit("")) != ""))), ",")
+    return got.select("name", "ord", "track", status.alias("status"), reason.alias("skip_reason"), F.coalesce("source", F.lit("")).alias("source"), joined("record_id").alias("record_ids"), F.coalesce(of, F.lit("")).alias("target_ids"), rules.alias("rules"), F.when(status == "added", F.col("new")).alias("sequences"))
+
+
+def with_repairs(tasks: DataFrame, made: DataFrame) -> DataFrame:
+    """Tasks, and after them those that were added, in the order of their targets."""
+    added = made.where("status = 'added'").select("name", F.lit(True).alias("added"), "ord", "sequences")
+    return tasks.select("name", F.lit(False).alias("added"), "ord", "sequences").unionByName(added)
+
+
+#: Derivations by name, with the tables that each needs besides the tasks, and what else sets it apart; add to it to plug in others.
+DERIVATIONS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...], dict]] = {
+    "domain_fragment_inputs": (domain_fragments, ("domains",), {}),
+    "antibody_fv_inputs": (variable_domains, (), {}),
+    "oversize_domain_monomer_fallback": (domain_to_one_copy, ("targets",), {}),
+    "large_target_split_or_fallback": (within_limit, ("targets",), {}),
+    "sequence_recovery": (recovered, ("targets", "records"), {}),
+    "protein_oligo_sequence_recovery": (recovered, ("targets", "records"), {"tracks": ("protein_oligo",)}),
+    "sequence_recovery_large_target_fallback": (recovered_within_limit, ("targets", "records"), {}),
+    "oligo_stoichiometry_recovery": (with_official_counts, ("targets", "states"), {}),
+    "oligo_stoichiometry_token_safe": (with_official_counts, ("targets", "states"), {"token_safe": True}),
+    "protein_oligo_sequence_stoich_token_safe": (recovered_with_official_counts, ("targets", "records", "states"), {}),
+    "scoreable_target_subset": (scoreable_subset, ("targets",), {}),
+    "scoreable_target_subset_oligo_first": (scoreable_subset, ("targets",), {"oligo_first": True}),
+    "scoreable_target_subset_oligo_size_first": (scoreable_subset, ("targets",), {"oligo_first": True, "size_first": True}),
+    "scoreable_target_subset_input_repair": (repaired, ("targets", "records"), {}),
+}
+
+
+def derive(name: str, tasks: DataFrame, **tables: DataFrame) -> DataFrame:
+    """A derivation or a cleaning of sequences by its name; tables that it doesn't need are left aside, a missing one is told."""
+    if name in S.STRATEGIES:
+        return S.apply(tasks, name)
+    if name not in DERIVATIONS:
+        raise ValueError(f"unknown strategy: {name}; known are {', '.join([*S.STRATEGIES, *DERIVATIONS])}")
+    made, needs, more = DERIVATIONS[name]
+    missing = [t for t in needs if tables.get(t) is None]
+    if missing:
+        raise ValueError(f"{name} needs the tables {', '.join(missing)}")
+    return made(tasks, *(tables[t] for t in needs), **more)

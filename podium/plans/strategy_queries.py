@@ -128,3 +128,25 @@ def _(t):
     text = F.concat(F.lit("data_x\nloop_\n_atom_site.id\n_atom_site.label_seq_id\n_atom_site.label_asym_id\n1 "), size.cast("string"), F.lit(" A\n2 "), (size + 5).cast("string"), F.lit(" "), chain, F.lit("\n3 . A\n#\n_other.key 1\n"))
     ranges = F.array(F.struct(F.lit(10).alias("lo"), F.lit(20).alias("hi")))
     return t.part.select("p_partkey", X.cropped_text(text, ranges, F.array(F.lit("A"))).alias("c")).select("p_partkey", "c.kept", "c.text")
+
+
+REPAIR = """WITH o AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS s, CASE WHEN o_custkey % 6 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) THEN 6 ELSE o_custkey % 6 END AS c FROM orders)
+  SELECT concat(CASE WHEN c IN (0, 6) THEN 'JOB' WHEN c = 2 THEN 'VIA' ELSE 'NEW' END, s) AS name, CASE WHEN c = 0 THEN 'already_covered' WHEN c IN (3, 4, 6) THEN 'skipped' ELSE 'added' END AS status,
+    CASE c WHEN 3 THEN 'no_recoverable_protein_sequence' WHEN 6 THEN 'no_recoverable_protein_sequence' WHEN 4 THEN 'oversize_after_repair:2560' ELSE 'none' END AS skip_reason, CASE WHEN c IN (0, 3, 6) THEN '' WHEN c = 2 THEN concat('OFF', s) ELSE concat('NEW', s) END AS source,
+    CASE WHEN c IN (0, 3, 6) THEN '' ELSE concat('r', s) END AS record_ids, CASE WHEN c IN (0, 3, 6) THEN '' WHEN c = 2 THEN concat('x, off', s) ELSE concat('new', s) END AS target_ids,
+    CASE c WHEN 0 THEN 'existing_input_covers_scoreable_target' WHEN 2 THEN concat('scoreable_input_repair,alias_fallback:OFF', s) WHEN 5 THEN 'scoreable_input_repair,recast_sequence_kind:rnaSequence' ELSE 'scoreable_input_repair' END AS rules,
+    CAST(CASE c WHEN 1 THEN 40 WHEN 2 THEN 40 WHEN 5 THEN 80 END AS BIGINT) AS tokens FROM o"""
+
+
+@query("arr2_input_repair", REPAIR)
+def _(t):
+    key, c = F.col("o_orderkey").cast("string"), F.col("o_custkey") % 6
+    target = F.concat(F.when(c == 0, "job").when(c == 2, "via").otherwise("new"), key)
+    state = F.when(c == 4, "A70").when(c == 5, "A2").otherwise("")
+    official = F.when(c == 2, F.concat(F.lit("off"), key)).otherwise("")
+    rows = t.orders.select(F.col("o_orderkey").alias("ord"), target.alias("target_id"), F.lit("protein_domain").alias("track"), state.alias("oligo_state"), F.lit("available").alias("reference_status"), F.lit("true").alias("rank_eligible"), F.lit("").alias("sequence_lookup_id"), official.alias("official_target_id"))
+    of = F.when(c == 2, F.concat(F.lit("x, off"), key)).otherwise(F.concat(F.lit("new"), key))
+    kind = F.when(c == 5, "rnaSequence").otherwise("proteinChain")
+    records = t.orders.where(~c.isin(0, 3)).select(F.col("o_orderkey").alias("ord"), of.alias("target_ids"), F.concat(F.lit("r"), key).alias("record_id"), F.lit("").alias("header"), F.repeat(F.lit("MKVL "), F.lit(10)).alias("sequence"), kind.alias("sequence_kind"))
+    got = V.derive("scoreable_target_subset_input_repair", tasks(t), targets=rows, records=records)
+    return got.select("name", "status", "skip_reason", "source", "record_ids", "target_ids", "rules", V.tokens(F.col("sequences")).alias("tokens"))

@@ -98,3 +98,39 @@ def test_recorded_answers(spark):
     one, two = got["1ABC_1"], got["2DEF_12"]
     assert (one.entry_title, one.experimental_method, one.entity_length, one.candidate_status, one.entry_error) == ("two lines", "", 7, responses.TARGET_INSIDE, "none")
     assert (two.entry_error, two.entity_error, two.entity_length, two.candidate_status, two.asym_ids) == ("malformed", "timeout", None, responses.UNVERIFIED, "")
+
+
+def test_repair_of_inputs(spark):
+    """Variants and phases lead to records, told proteins come before others, the first alias that has any decides."""
+    from podium.operators import derivations as V
+
+    protein = "MKVLWAALLVTFLAGCQAKVEQAVETEPEPELRQ"
+    tasks = spark.createDataFrame([("T1001o", 1, [("proteinChain", protein, 1, ["A"])])], "name string, ord long, sequences array<struct<kind:string,sequence:string,count:int,ids:array<string>>>")
+    fields = "ord long, target_id string, track string, oligo_state string, reference_status string, rank_eligible string, sequence_lookup_id string, official_target_id string"
+    row = lambda ord_, target, state="", status="available", eligible="true", lookup="", official="": (ord_, target, "protein_oligo", state, status, eligible, lookup, official)
+    targets = [row(1, "t1001"), row(2, "T1002V2O", "A2B1"), row(3, "T1003", lookup="X9"), row(4, "T1004", eligible="No"), row(5, "T1005", status="missing"), row(6, "T1006"), row(7, "H1007_V2", "A1Q"), row(8, "T1003", "late")]
+    records = [(1, "T1002V1", "r1", "", protein, "proteinChain"), (2, "T1002V1", "r2", "", protein[::-1], "proteinChain"), (3, "T1002V1", "r3", "", protein, "proteinChain"), (4, "T1002V1", "r4", "", protein[1:], "dnaSequence"), (5, "X9", "r5", "a subunit", "ACGT" * 10, "dnaSequence"), (6, "T1006", "r6", "", "MK", "proteinChain"), (7, "H1007_V1,H1007", "r7", "", protein, "")]
+    made = V.derive("scoreable_target_subset_input_repair", tasks, targets=spark.createDataFrame(targets, fields), records=spark.createDataFrame(records, "ord long, target_ids string, record_id string, header string, sequence string, sequence_kind string"))
+    got = {r.name: r for r in made.collect()}
+    assert {k: r.status for k, r in got.items()} == {"T1001": "already_covered", "T1002V2O": "added", "T1003": "added", "T1006": "skipped", "H1007_V2": "added"}
+    assert (got["T1002V2O"].source, got["T1002V2O"].record_ids, [e["count"] for e in got["T1002V2O"].sequences], [e["ids"] for e in got["T1002V2O"].sequences]) == ("T1002V1", "r1,r2", [2, 1], [["A", "B"], ["C"]])
+    assert got["T1002V2O"].rules == "scoreable_input_repair,alias_fallback:T1002V1"
+    assert (got["T1003"].source, got["T1003"].rules, got["T1003"].ord) == ("X9", "scoreable_input_repair,recast_sequence_kind:dnaSequence", 3)
+    assert got["T1006"].skip_reason == "no_recoverable_protein_sequence" and got["T1006"].sequences is None
+    assert got["H1007_V2"].rules.startswith("scoreable_input_repair,recast_sequence_kind:,alias_fallback:H1007_V1")
+    assert [(r.name, r.added) for r in V.with_repairs(tasks, made).orderBy("added", "ord").collect()] == [("T1001o", False), ("T1002V2O", True), ("T1003", True), ("H1007_V2", True)]
+
+
+def test_derivations_by_name(spark):
+    import pytest
+
+    from podium.operators import derivations as V
+
+    tasks = spark.createDataFrame([("T1", 1, [("proteinChain", "GSHHHHHH" + "MKVLWAALLVTFLAGCQAKVEQAVETEPEPELRQ", 1, ["A"])])], "name string, ord long, sequences array<struct<kind:string,sequence:string,count:int,ids:array<string>>>")
+    assert V.derive("terminal_tags", tasks).columns == ["name", "ord", "sequences", "changed"]
+    with pytest.raises(ValueError, match="needs the tables domains"):
+        V.derive("domain_fragment_inputs", tasks)
+    with pytest.raises(ValueError, match="unknown strategy: none; known are terminal_tags"):
+        V.derive("none", tasks)
+    assert V.derive("antibody_fv_inputs", tasks, targets=None).count() == 0
+    assert len(V.DERIVATIONS) == 14
