@@ -154,3 +154,11 @@ def readout(scores: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.count_if(F.expr("status = 'ok'")).alias("ok"), F.count_if(F.expr("status = 'ok' and score > 0")).alias("nonzero"), F.count_if(F.expr("status <> 'ok'")).alias("not_ok"),
         F.count_if(F.expr("prediction_path = ''")).alias("without_path"), ids(F.col("status") == "metric_failed").cast("long").alias("failed_ids"), F.round(F.coalesce(F.sum("score") / F.count(F.lit(1)), F.lit(0.0)), 6).alias("mean"),
     )
+
+
+def confidence_means(files: DataFrame, keys: tuple[str, ...] = ("plddt", "ptm", "iptm")) -> DataFrame:
+    """By run: files (run_id, body), how many of them could be read as objects, and the mean of each key over those that give it as a number."""
+    fields = F.from_json("body", "map<string,string>")
+    told = files.select("run_id", fields.alias("f"))
+    mean = lambda k: F.round(F.avg(F.element_at("f", F.lit(k)).try_cast("double")), 6).alias(f"mean_{k}")
+    return told.groupBy("run_id").agg(F.count(F.lit(1)).alias("files"), F.count("f").alias("read"), *map(mean, keys))

@@ -59,6 +59,30 @@ def merged_files(shards: DataFrame) -> DataFrame:
     return per.withColumn("shard", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("collision: "), "rel_path"))).otherwise(F.col("shard"))).drop("n")
 
 
+def merged_runs(specs: DataFrame, files: DataFrame) -> DataFrame:
+    """One run for each merged id: seeds of its shards in order of arrival, candidates, files, and what speaks against the merge.
+
+    specs: (merged, shard, ord, seeds, sample, benchmark, model, manifest, policy); files: (merged, shard, rel_path). The first problem is told: a field that
+    the shards don't share, a shard without files, or paths that several shards have. Without seeds the run has seed 101.
+    """
+    same = ("benchmark", "model", "manifest", "policy", "sample")
+    per = specs.groupBy("merged").agg(*(F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"n_{c}") for c in same), F.count_distinct("shard").alias("shards"), F.min("sample").alias("sample"))
+    each = specs.select("merged", "ord", F.posexplode(F.split(F.coalesce("seeds", F.lit("")), ",")).alias("pos", "seed")).withColumn("seed", F.trim("seed")).where("seed <> ''")
+    first = each.groupBy("merged", "seed").agg(F.min(F.struct("ord", "pos")).alias("at"))
+    seeds = first.groupBy("merged").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "seed"))), lambda s: s["seed"]).alias("seeds"))
+    paths = files.groupBy("merged", "rel_path").agg(F.count_distinct("shard").alias("n")).groupBy("merged").agg(F.sum("n").alias("files"), F.count_if(F.col("n") > 1).alias("collisions"))
+    with_files = files.join(specs.select("merged", "shard").distinct(), ["merged", "shard"], "left_semi").groupBy("merged").agg(F.count_distinct("shard").alias("delivered"))
+    out = per.join(seeds, "merged", "left").join(paths, "merged", "left").join(with_files, "merged", "left")
+    all_seeds = F.coalesce("seeds", F.array(F.lit("101")))
+    problem = ladder(*((F.col(f"n_{c}") > 1, f"mixed_{c}") for c in same), (F.coalesce("delivered", F.lit(0)) < F.col("shards"), "shard_without_files"), (F.col("collisions") > 0, "path_collision"), otherwise="none")
+    return out.select("merged", "shards", F.array_join(all_seeds, ",").alias("seeds"), (F.size(all_seeds) * F.greatest(F.coalesce(F.col("sample").cast("int"), F.lit(1)), F.lit(1))).alias("candidates"), F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("collisions", F.lit(0)).alias("collisions"), problem.alias("problem"))
+
+
+def merged_listing(merged: DataFrame, files: DataFrame) -> DataFrame:
+    """(merged, rel_path, shard) of the runs that can be merged."""
+    return files.join(merged.where("problem = 'none'").select("merged"), "merged", "left_semi").select("merged", "rel_path", "shard").distinct()
+
+
 def branch(summary: DataFrame, *, floor: float, probe_floor: float, min_nonzero: int) -> DataFrame:
     """The next step from a run's summary, told by the first rule that holds."""
     return summary.withColumn(

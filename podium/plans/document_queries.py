@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import candidates as D
 from ..operators import documents as J
+from ..operators import leaderboard as L
+from ..operators import runs as R
 from ..sources import responses as A
+from ..sources import texts
 from .registry import query
 
 #: Ten jobs a document; the other side spells keys in another order, has some jobs changed, some missing and some more, and every ninth document is cut off.
@@ -108,3 +112,72 @@ def _(t):
     entity = F.concat(F.lit('{"entity_poly": {"pdbx_seq_one_letter_code_can": "'), chain, F.lit('"}, "rcsb_polymer_entity": {"pdbx_description": "chain of '), "pdb_id", F.lit('"}, "rcsb_polymer_entity_container_identifiers": {"asym_ids": ["A", "B"], "auth_asym_ids": [7]}}'))
     entities = ids.select("pdb_id", F.lit("1").alias("entity_id"), entity.alias("body"), F.lit("").alias("error"))
     return A.candidate_rows(targets, A.hits(searches(t)), entries, entities)
+
+
+# -- confidences, merges, landing ---------------------------------------------------------------
+
+
+def confidence_files(t):
+    """A confidence file for each line: some cut off, some lists, some without a number."""
+    k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    path = F.concat_ws("/", F.lit("out"), F.col("l_suppkey").cast("string"), F.concat(k.cast("string"), F.lit("_"), F.col("l_partkey").cast("string"), F.lit("_summary_confidence.json")))
+    number = F.when(F.col("l_linenumber") == 3, F.lit("null")).otherwise(F.col("l_quantity").cast("int").cast("string"))
+    body = F.concat(F.lit('{"plddt": '), number, F.lit(', "ptm": 0.5, "chains": {"A": [1]}}'))
+    body = F.when(F.col("l_orderkey") % 7 == 0, F.lit('{"plddt": ')).when(F.col("l_orderkey") % 7 == 1, F.lit("[1]")).otherwise(body)
+    return t.lineitem.select(path.alias("path"), F.concat(F.lit("R"), F.col("l_suppkey").cast("string")).alias("run_id"), body.alias("body"), "l_linenumber")
+
+
+FILES = "f AS (SELECT concat('out/', l_suppkey, '/', l_orderkey * 10 + l_linenumber, '_', l_partkey, '_summary_confidence.json') AS path, concat('R', l_suppkey) AS run_id, l_orderkey % 7 > 1 AS fine, l_linenumber AS n, CASE WHEN l_linenumber <> 3 THEN CAST(l_quantity AS INT) END AS q FROM lineitem)"
+
+
+@query("src17_overlay", f"WITH {FILES} SELECT path, CASE WHEN NOT fine THEN NULL WHEN n = 2 THEN '90' ELSE CAST(q AS VARCHAR) END AS plddt, CASE WHEN fine THEN '0.5' END AS ptm, CASE WHEN fine THEN '{{\"A\":[1]}}' END AS chains, CASE WHEN fine AND n = 2 THEN '0.25' END AS consensus_score FROM f")
+def _(t):
+    files = confidence_files(t)
+    beside = F.regexp_replace("path", r"\.json$", ".selection_qa.json")
+    body = F.when(F.col("l_linenumber") == 2, '{"consensus_score": 0.25, "plddt": 90}').otherwise("{")
+    got = D.overlaid(files, files.where("l_linenumber in (2, 4)").select(beside.alias("path"), body.alias("body")))
+    return got.select("path", *(F.element_at("fields", F.lit(k)).alias(k) for k in ("plddt", "ptm", "chains", "consensus_score")))
+
+
+@query("agg9_confidence_files", f"WITH {FILES} SELECT run_id, count(*) AS files, count(*) FILTER (WHERE fine) AS read, round(avg(q) FILTER (WHERE fine), 6) AS mean_plddt, round(avg(0.5) FILTER (WHERE fine), 6) AS mean_ptm FROM f GROUP BY 1")
+def _(t):
+    return L.confidence_means(confidence_files(t), ("plddt", "ptm"))
+
+
+@query(
+    "snk8_merged_runs",
+    """WITH s AS (SELECT s_nationkey AS m, s_suppkey AS k, s_suppkey % 5 AS e, s_nationkey % 4 = 1 AND s_suppkey % 2 = 0 AS odd FROM supplier),
+      e AS (SELECT m, k, 0 AS pos, CAST(100 + e AS VARCHAR) AS seed FROM s UNION ALL SELECT m, k, 1, '101' FROM s), d AS (SELECT m, seed, min(k * 2 + pos) AS w FROM e GROUP BY 1, 2),
+      g AS (SELECT m, string_agg(seed, ',' ORDER BY w) AS seeds, count(*) AS n FROM d GROUP BY 1), p AS (SELECT m, count(*) AS shards, count(DISTINCT odd) AS kinds, count(*) FILTER (WHERE k % 3 > 0) AS delivered FROM s GROUP BY 1),
+      c AS (SELECT m, sum(n) AS files, count(*) FILTER (WHERE n > 1) AS collisions FROM (SELECT m, CASE WHEN m % 4 = 2 THEN k % 2 ELSE k END AS path, count(*) AS n FROM s WHERE m % 4 <> 3 OR k % 3 > 0 GROUP BY 1, 2) GROUP BY 1)
+      SELECT m AS merged, shards, seeds, CAST(n * 2 AS INTEGER) AS candidates, CAST(coalesce(files, 0) AS BIGINT) AS files, CAST(coalesce(collisions, 0) AS BIGINT) AS collisions,
+        CASE WHEN kinds > 1 THEN 'mixed_policy' WHEN m % 4 = 3 AND delivered < shards THEN 'shard_without_files' WHEN collisions > 0 THEN 'path_collision' ELSE 'none' END AS problem
+      FROM p JOIN g USING (m) LEFT JOIN c USING (m)""",
+)
+def _(t):
+    m, k = F.col("s_nationkey"), F.col("s_suppkey")
+    seeds = F.concat((100 + k % 5).cast("string"), F.lit(" , 101,"))
+    policy = F.when((m % 4 == 1) & (k % 2 == 0), "odd").otherwise("")
+    one = F.lit("x")
+    specs = t.supplier.select(m.alias("merged"), k.alias("shard"), k.alias("ord"), seeds.alias("seeds"), F.lit(2).alias("sample"), one.alias("benchmark"), one.alias("model"), one.alias("manifest"), policy.alias("policy"))
+    files = t.supplier.where("s_nationkey % 4 <> 3 OR s_suppkey % 3 > 0").select(m.alias("merged"), k.alias("shard"), F.concat(F.lit("a/"), F.when(m % 4 == 2, k % 2).otherwise(k).cast("string")).alias("rel_path"))
+    return R.merged_runs(specs, files)
+
+
+@query(
+    "src15_materialized",
+    """WITH w AS (SELECT concat('T', p_partkey) AS target_id, p_partkey AS k, unnest([concat('A', p_partkey % 400), concat('B', p_size)]) AS pdb_id FROM part WHERE p_partkey % 4 > 0),
+      i AS (SELECT *, CAST(substr(pdb_id, 2) AS INT) AS n, substr(pdb_id, 1, 1) AS h FROM w)
+      SELECT DISTINCT target_id, pdb_id, 'candidate' AS status, CASE WHEN n % 3 = 0 AND h = 'A' THEN 'cached' WHEN n % 5 = 0 AND h = 'A' THEN 'download_failed:HTTP 404' WHEN h = 'A' THEN 'downloaded' ELSE 'download_failed:not_fetched' END AS download_status,
+        CASE WHEN h <> 'A' OR n % 3 <> 0 AND n % 5 = 0 THEN NULL WHEN n % 3 = 0 THEN CAST(n AS BIGINT) ELSE CAST(n + 1 AS BIGINT) END AS bytes, CASE WHEN h <> 'A' OR n % 3 <> 0 AND n % 5 = 0 THEN '' WHEN n % 3 = 0 THEN 'old' ELSE 'new' END AS sha256 FROM i""",
+)
+def _(t):
+    k = F.col("p_partkey")
+    status = F.when(k % 4 == 0, "rejected").otherwise(" Candidate")
+    wanted = t.part.select(F.concat(F.lit("t"), k.cast("string")).alias("target_id"), F.concat(F.lit("a"), (k % 400).cast("string"), F.lit("; b"), F.col("p_size").cast("string"), F.lit(",")).alias("pdb_ids"), status.alias("status"))
+    n = (k % 400).cast("long")
+    ids = t.part.select(n.alias("n"), F.concat(F.lit("a"), n.cast("string")).alias("pdb_id")).distinct()
+    there = ids.where("n % 3 = 0").select("pdb_id", F.col("n").alias("length"), F.lit("old").alias("sha256"))
+    bad = F.col("n") % 5 == 0
+    fetched = ids.select("pdb_id", F.when(~bad, F.col("n") + 1).alias("length"), F.when(~bad, "new").alias("sha256"), F.when(bad, "HTTP 404").alias("error"))
+    return texts.materialized(wanted, there, fetched)

@@ -175,6 +175,24 @@ def tasks(texts: DataFrame, *, strict: bool = True) -> DataFrame:
     return rows.withColumn("n", n).withColumn("name", F.when((F.coalesce("name", F.lit("")) == "") | (F.col("n") > 1), F.raise_error(F.concat(F.lit("bad task name: "), F.coalesce("name", F.lit(""))))).otherwise(F.col("name"))).drop("n")
 
 
+def materialized(wanted: DataFrame, there: DataFrame, fetched: DataFrame, *, statuses: tuple[str, ...] = ("candidate",), force: bool = False) -> DataFrame:
+    """A row for each target and structure of the review rows wanted (target_id, pdb_ids, status): cached, downloaded or download_failed:<why>.
+
+    there: files (pdb_id, length, sha256) that lie in the landing folder; fetched: what a download brought (pdb_id, length, sha256, error). A file that is there is
+    kept unless force is set; one that is neither there nor fetched failed as not_fetched.
+    """
+    rows = wanted.withColumn("status", F.lower(F.trim("status"))).where(F.col("status").isin(*(s.strip().lower() for s in statuses)))
+    each = rows.select(F.upper(F.trim("target_id")).alias("target_id"), "status", F.explode(F.array_distinct(F.filter(F.transform(F.split("pdb_ids", "[,;]"), lambda x: F.upper(F.trim(x))), lambda x: x != ""))).alias("pdb_id"))
+    had = there.select(F.upper("pdb_id").alias("pdb_id"), F.struct("length", "sha256").alias("had"))
+    new = fetched.select(F.upper("pdb_id").alias("pdb_id"), F.struct("length", "sha256").alias("new"), F.coalesce("error", F.lit("")).alias("error"), F.lit(True).alias("tried"))
+    full = each.join(had, "pdb_id", "left").join(new, "pdb_id", "left")
+    fine = F.col("tried") & (F.col("error") == "")
+    keep = F.col("had").isNotNull() & ~F.lit(force)
+    told = F.when(keep, "cached").when(fine, "downloaded").otherwise(F.concat(F.lit("download_failed:"), F.coalesce("error", F.lit("not_fetched"))))
+    file = F.when(keep, F.col("had")).when(fine, F.col("new")).otherwise(F.col("had"))
+    return full.select("target_id", "pdb_id", "status", told.alias("download_status"), file["length"].alias("bytes"), F.coalesce(file["sha256"], F.lit("")).alias("sha256"))
+
+
 def run_specs(spark: SparkSession, pattern: str, schema: str, *, registered: DataFrame | None = None) -> DataFrame:
     """One spec for each file, with its folder; only registered runs if a register is given."""
     specs = spark.read.schema(schema).json(pattern, multiLine=True).withColumn("run_dir", F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]*$", 1))
