@@ -58,6 +58,7 @@ def first_present(*columns: Column) -> Column:
     return F.coalesce(*columns)
 
 
+# fixed values: the weights and penalties of the selector policies below
 def confidence_v1(c: dict[str, Column]) -> Column:
     """A weighted blend of confidences; null when there are none."""
     p = F.when(c["plddt"] > 1, c["plddt"] / 100).otherwise(c["plddt"])

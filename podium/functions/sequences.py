@@ -14,6 +14,7 @@ C_TAGS = ("GSHHHHHH", "GHHHHHH", "HHHHHH")
 MIN_LEFT, WINDOW, MIN_AFTER_WINDOW = 30, 40, 80
 VARIABLE_ENDS = ("WGQGTMVAVSS", "WGQGTLVTVSS", "WGQGTLVSVSS", "WGQGTSVTVSS", "FGTGTKVTVL", "FGPGTTVDSK", "FGIGTKVTVL", "FGGGTKLTVL")
 VARIABLE_STARTS = ("QVQL", "EVQL", "QLQL", "QVHL", "QVQLK", "QSALTQ", "EIVVTQ", "SFELTQ", "QAVVTQ", "DIQMTQ", "ELTQP", "QSVLTQ")
+# fixed values: letters of nucleic and of protein sequences, and how targets are named in texts
 NUCLEIC, PROTEIN = "ACGTUN", "ABCDEFGHIKLMNPQRSTVWXYZ"
 TARGET_TOKEN = r"(?i)\b([THRDML]\d{4}(?:s\d+|v\d+)?)\b"
 
@@ -138,6 +139,7 @@ def entropy(sequence: Column) -> Column:
 
 
 def low_complexity(segment: Column) -> Column:
+    # fixed values: bounds and letters that tell a linker or a disordered end
     return (segment != "") & ((entropy(segment) < 3.0) | (share(segment, "GSPQKENR") >= 0.70) | (share(segment, "GS") >= 0.45))
 
 
@@ -151,6 +153,7 @@ def low_complexity_cuts(sequence: Column) -> Column:
 
 def leader_cut(sequence: Column) -> Column:
     """Where a hydrophobic leader ends (15 to 37), 0 if there is none: the best scored cut."""
+    # fixed values: letters of a membrane stretch, and the bulky ones among them
     loose, bulky = "AILMFWVYCT", "ILVFMYW"
 
     def of(cut: Column) -> Column:

@@ -12,6 +12,7 @@ import stat
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from ..operators.ranks import importable, placed
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 
 def mounted(path: str) -> str:
     """A path as the file system has it; a scheme that Python can't open is refused."""
@@ -107,6 +111,36 @@ def listing(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".cif",
     return placed(found, ["all"], ["kind", "path"]).select("path", "length", "place")
 
 
+def hashes(listed: DataFrame) -> DataFrame:
+    """(path, bytes, sha256) of listed paths, read by executors a piece at a time; what isn't there, or is no file, has no bytes and an empty hash.
+
+    Only listed files are read, of any length; repeated paths give a row each, null ones none.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        import pyarrow as pa
+
+        for b in batches:
+            paths, sizes, digests = b["path"].to_pylist(), [], []
+            for path in paths:
+                digest, size = hashlib.sha256(), 0
+                try:
+                    with open(mounted(path), "rb") as f:
+                        while piece := f.read(1 << 20):
+                            digest.update(piece)
+                            size += len(piece)
+                except (FileNotFoundError, IsADirectoryError):
+                    size = None
+                sizes.append(size)
+                digests.append("" if size is None else digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=["path", "bytes", "sha256"])
+
+    importable(listed.sparkSession)
+    return listed.where("path is not null").select("path").mapInArrow(work, "path string, bytes long, sha256 string")
+
+
 # -- the store ----------------------------------------------------------------------------------
 
 

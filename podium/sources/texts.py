@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import lenient_float, primary
 from ..functions.sequences import TARGET_TOKEN, base_target, sequence_kind, target_of_model
 
+# fixed values: how ids of structures are written in texts and in links
 PDB_ID = r"\b([0-9](?=[A-Za-z0-9]*[A-Za-z])[A-Za-z0-9]{3})\b"
 LINK_ID = r"(?i)(?:structureId=|/structure/)([0-9][A-Za-z0-9]{3})"
 
@@ -201,6 +202,7 @@ def run_specs(spark: SparkSession, pattern: str, schema: str, *, registered: Dat
 
 def metric_values(text: Column) -> dict[str, Column]:
     """Numbers in the output of metric programs; null where they aren't told."""
+    # fixed values: how each program names its numbers
     number = lambda p: F.regexp_extract(text, p, 1).try_cast("double")
     gdt = number(r"(?i)GDT[-_ ]?TS(?:-score)?\s*=\s*([0-9.]+)")
     return {

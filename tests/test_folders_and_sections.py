@@ -40,6 +40,15 @@ def test_filters_reach_the_source(spark, root):
     assert [p.folder for p in reader.partitions()] == ["a"]
 
 
+def test_hashes_of_listed_files(spark, root):
+    import hashlib
+
+    listed = [f"{root}/a/x.cif", f"file://{root}/top.pdb", f"{root}/b/x.cif", f"{root}/gone", f"{root}/a", None, f"{root}/a/x.cif"]
+    got = [tuple(r) for r in folders.hashes(spark.createDataFrame([(p,) for p in listed], "path string")).collect()]
+    sha = lambda n: hashlib.sha256(b"x" * n).hexdigest()
+    assert sorted(got) == sorted([(listed[0], 3, sha(3)), (listed[0], 3, sha(3)), (listed[1], 2, sha(2)), (listed[2], 0, sha(0)), (listed[3], None, ""), (listed[4], None, "")], key=lambda r: r[0])
+
+
 def test_store_copies_once(spark, root, tmp_path):
     at = str(tmp_path / "store")
     rows = [("a/x.cif", "k1"), ("top.pdb", "k2"), ("a/x.cif", "k1"), ("gone", "k3"), ("a/z.txt", None)]
