@@ -134,3 +134,40 @@ def test_derivations_by_name(spark):
         V.derive("none", tasks)
     assert V.derive("antibody_fv_inputs", tasks, targets=None).count() == 0
     assert len(V.DERIVATIONS) == 14
+
+
+def test_overlay_of_confidences(spark):
+    """The sidecar's keys win, also with null; what isn't an object says nothing; repeated files and sidecars give no more rows than files."""
+    files = [("a/x.json", '{"plddt": 80, "ptm": 0.5, "chains": [1]}'), ("a/y.json", "[]"), ("a/z.json", "{"), ("a/v.json", '{"ptm": 1}'), ("a/v.json", '{"ptm": 2}'), ("a/w.json", None)]
+    sidecars = [("a/x.selection_qa.json", '{"plddt": null, "consensus_score": 0.75}'), ("a/y.selection_qa.json", '{"ptm": 1}'), ("a/v.selection_qa.json", "broken"), ("a/v.selection_qa.json", "broken too"), ("a/other.json", '{"ptm": 9}')]
+    schema = "path string, body string"
+    got = sorted(((r.path, r.fields) for r in candidates.overlaid(spark.createDataFrame(files, schema), spark.createDataFrame(sidecars, schema)).collect()), key=str)
+    assert got == sorted([("a/x.json", {"plddt": None, "consensus_score": "0.75", "ptm": "0.5", "chains": "[1]"}), ("a/y.json", {}), ("a/z.json", {}), ("a/v.json", {"ptm": "1"}), ("a/v.json", {"ptm": "2"}), ("a/w.json", {})], key=str)
+
+
+def test_means_and_merges(spark):
+    from podium.operators import leaderboard, runs
+
+    bodies = [("r", '{"plddt": 80, "ptm": null}'), ("r", '{"plddt": "high"}'), ("r", "{"), ("r", "[]"), ("r", None), ("s", "{}")]
+    got = {r.run_id: tuple(r)[1:] for r in leaderboard.confidence_means(spark.createDataFrame(bodies, "run_id string, body string"), ("plddt", "ptm")).collect()}
+    assert got == {"r": (5, 2, 80.0, None), "s": (1, 1, None, None)}
+
+    spec = lambda merged, shard, seeds, sample=1, policy=None: (merged, shard, int(shard[1:]), seeds, sample, "b", "m", "x", policy)
+    specs = [spec("a", "s1", "7, 5"), spec("a", "s2", "5,,9"), spec("b", "s1", None), spec("c", "s1", "1"), spec("c", "s2", "2", 2), spec("d", "s1", "1"), spec("e", "s1", "1"), spec("e", "s2", "2")]
+    files = [("a", "s1", "p"), ("a", "s2", "q"), ("b", "s1", "p"), ("c", "s1", "p"), ("c", "s2", "q"), ("e", "s1", "p"), ("e", "s2", "p"), ("e", "s2", "q")]
+    made = runs.merged_runs(spark.createDataFrame(specs, "merged string, shard string, ord long, seeds string, sample int, benchmark string, model string, manifest string, policy string"), spark.createDataFrame(files, "merged string, shard string, rel_path string"))
+    got = {r.merged: (r.seeds, r.candidates, r.files, r.collisions, r.problem) for r in made.collect()}
+    assert got["a"] == ("7,5,9", 3, 2, 0, "none") and got["b"] == ("101", 1, 1, 0, "none") and got["c"][4] == "mixed_sample" and got["d"][4] == "shard_without_files" and got["e"][2:] == (3, 1, "path_collision")
+    listed = runs.merged_listing(made, spark.createDataFrame(files, "merged string, shard string, rel_path string"))
+    assert sorted(map(tuple, listed.collect())) == [("a", "p", "s1"), ("a", "q", "s2"), ("b", "p", "s1")]
+
+
+def test_landing(spark):
+    from podium.sources import texts
+
+    wanted = spark.createDataFrame([("t1", "1abc, 2DEF;1ABC", " Candidate"), ("t2", "3ghi", "rejected"), ("t3", None, "candidate"), ("t4", "4jkl", "candidate")], "target_id string, pdb_ids string, status string")
+    there = spark.createDataFrame([("1ABC", 5, "h1"), ("4JKL", 6, "h4")], "pdb_id string, length long, sha256 string")
+    fetched = spark.createDataFrame([("1abc", 7, "n1", None), ("4jkl", None, None, "timeout")], "pdb_id string, length long, sha256 string, error string")
+    rows = lambda **how: sorted(tuple(r)[:2] + tuple(r)[3:] for r in texts.materialized(wanted, there, fetched, **how).collect())
+    assert rows() == [("T1", "1ABC", "cached", 5, "h1"), ("T1", "2DEF", "download_failed:not_fetched", None, ""), ("T4", "4JKL", "cached", 6, "h4")]
+    assert rows(force=True) == [("T1", "1ABC", "downloaded", 7, "n1"), ("T1", "2DEF", "download_failed:not_fetched", None, ""), ("T4", "4JKL", "download_failed:timeout", 6, "h4")]
