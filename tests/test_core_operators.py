@@ -190,3 +190,16 @@ def test_cropped_text_drops_odd_rows_and_copies_the_rest(spark):
     assert got["kept"] == 1
     assert got["text"] == "data_a\nloop_\n_atom_site.id\n_atom_site.atom\n_atom_site.label_seq_id\n_atom_site.auth_asym_id\n1 \"O5'\" 3 A\n_cell.x 1\nloop_\n_a.b\n7 8\n"
     assert one(spark, structures.cropped_text(F.lit(body), ranges, F.array().cast("array<string>")))["kept"] == 2
+
+
+def test_run_specs_by_folder_and_by_register(spark, tmp_path):
+    """One spec for each folder's file; with a register, those it names, and of those it names that aren't there, none."""
+    import json
+
+    for name, seeds in (("r1", "101"), ("r2", "102,103"), ("r3", "1")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "run_spec.json").write_text(json.dumps({"run_id": name, "seeds": seeds}, indent=2))
+    read = lambda **how: sorted((r["run_id"], r["seeds"], r["run_dir"].rsplit("/", 1)[1]) for r in texts.run_specs(spark, f"{tmp_path}/*/run_spec.json", "run_id string, seeds string", **how).collect())
+    assert read() == [("r1", "101", "r1"), ("r2", "102,103", "r2"), ("r3", "1", "r3")]
+    register = spark.createDataFrame([("r2",), ("r2",), ("gone",)], "run_id string")
+    assert read(registered=register) == [("r2", "102,103", "r2")]
