@@ -10,10 +10,10 @@ from ..functions.sequences import aliases, csv_items
 
 
 def alias_index(records: DataFrame) -> DataFrame:
-    """(alias, record_id, sequence, ord, ...): each record under its targets' ids and phases, first of equal ones."""
+    """(alias, record_id, sequence, ord, ...): each record under its targets' ids and phases, first of equal ones (same id, sequence and kind)."""
     targets = F.filter(F.transform(F.split("target_ids", ","), lambda t: F.upper(F.trim(t))), lambda t: t != "")
     under = records.withColumn("target", F.explode(targets)).withColumn("alias", F.explode(aliases(F.col("target")))).drop("target", "target_ids")
-    first = W.partitionBy("alias", "record_id", "sequence").orderBy("ord")
+    first = W.partitionBy("alias", "record_id", "sequence", "kind").orderBy("ord")
     return under.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
 
 
