@@ -61,9 +61,45 @@ class Sections:
         yield from self.take("".join(self.open))
 
 
+def told_lines(pieces: DataFrame) -> DataFrame:
+    """What Sections gives for all files: pieces come sorted and in batches, and a file's state is carried from batch to batch."""
+    import pyarrow as pa
+
+    importable(pieces.sparkSession)
+    schema = StructType().add("file", pieces.schema["file"].dataType).add("n", LongType()).add("target", StringType()).add("header", ArrayType(StringType())).add("line", StringType())
+
+    def parse(batches):
+        at, known = None, False
+        for batch in batches:
+            rows, files = [], batch["file"].to_pylist()
+            texts, begin = batch["text"].to_pylist(), 0
+            while begin < len(files):
+                file, end = files[begin], begin + 1
+                while end < len(files) and files[end] == file:
+                    end += 1
+                if not known or at.file != file:
+                    if known:
+                        rows.extend(at.terminate())
+                    at, known = Sections(), True
+                # adjoining pieces of a file are one text
+                rows.extend(at.eval({"file": file, "text": "".join(t for t in texts[begin:end] if t)}))
+                begin = end
+            yield made(rows, batch.schema.field("file").type)
+        if known:
+            yield made(list(at.terminate()), batch.schema.field("file").type)
+
+    def made(rows, kind):
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = (kind, pa.int64(), pa.string(), pa.list_(pa.string()), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "n", "target", "header", "line"])
+
+    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pieces.select("file", "pos", "text").repartition(n, "file").sortWithinPartitions("file", "pos").drop("pos").mapInArrow(parse, schema)
+
+
 def score_table_pieces(pieces: DataFrame, category: str) -> DataFrame:
     """score_table() of documents that are split into pieces (file, pos, text), anywhere, even within a line."""
     spark = pieces.sparkSession
     importable(spark)
     spark.udtf.register("podium_sections", F.udtf(Sections))
-    return scores(spark.sql("SELECT * FROM podium_sections(TABLE({pieces}))", pieces=pieces), category)
+    return scores(told_lines(pieces), category)
