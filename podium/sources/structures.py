@@ -9,32 +9,68 @@ from pyspark.sql import functions as F
 TOKEN = r"""'([^']*)'(?=\s|$)|"([^"]*)"(?=\s|$)|(\S+)"""
 
 
+#: Where a file's blocks begin.
+STARTS = r"(?m)^(?=loop_|#)"
+
+
+def raw_cells(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(rf"({TOKEN})"), 1)
+
+
+def bare(x: Column) -> Column:
+    first = F.left(x, F.lit(1))
+    quoted = (F.length(x) > 1) & first.isin("'", '"') & F.endswith(x, first)
+    return F.when(x.isin(".", "?"), "").when(quoted, F.substr(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+
+
 def cells(line: Column) -> Column:
-    raw = F.regexp_extract_all(line, F.lit(rf"({TOKEN})"), 1)
-    bare = lambda x: F.when(x.isin(".", "?"), "").otherwise(F.regexp_replace(x, r"""^(['"])(.*)\1$""", "$2"))
-    return F.transform(raw, bare)
+    return F.transform(raw_cells(line), bare)
 
 
-def category(texts: DataFrame, prefix: str) -> DataFrame:
-    """(file, n, values: map) of a category, whether it is a loop or single keys with values after them."""
-    starts = F.split("text", r"(?m)^(?=loop_|#)")
-    blocks = texts.select("file", F.posexplode(starts).alias("block", "body")).where(F.contains("body", F.lit(f"{prefix}.")))
-    keyed = F.transform(F.regexp_extract_all("body", F.lit(rf"(?m)^{prefix.replace('.', chr(92) + '.')}\.(\S+)"), 1), lambda x: x)
-    loop = F.startswith("body", F.lit("loop_"))
+def blocks(texts: DataFrame, prefix: str) -> DataFrame:
+    return texts.select("file", F.posexplode(F.split("text", STARTS)).alias("block", "body")).where(F.contains("body", F.lit(f"{prefix}.")))
+
+
+def keyed(prefix: str) -> Column:
+    return F.regexp_extract_all("body", F.lit(rf"(?m)^{prefix.replace('.', chr(92) + '.')}\.(\S+)"), 1)
+
+
+def looped(found: DataFrame, prefix: str) -> DataFrame:
+    """(file, n, keys, row) for each row of the loops among blocks."""
     rows = F.filter(F.split("body", r"\r?\n"), lambda x: (F.trim(x) != "") & ~x.rlike(r"^(loop_|_|#)"))
-    looped = blocks.where(loop).select("file", "block", keyed.alias("keys"), F.posexplode(rows).alias("i", "row"))
-    looped = looped.select("file", (F.col("block").cast("long") * (1 << 32) + F.col("i")).alias("n"), F.map_from_arrays("keys", F.slice(F.concat(cells(F.col("row")), F.array_repeat(F.lit(""), F.size("keys"))), F.lit(1), F.size("keys"))).alias("values"))
-    flat = F.regexp_replace("body", r"\r?\n", " ")
+    each = found.where(F.startswith("body", F.lit("loop_"))).select("file", "block", keyed(prefix).alias("keys"), F.posexplode(rows).alias("i", "row"))
+    return each.select("file", (F.col("block").cast("long") * (1 << 32) + F.col("i")).alias("n"), "keys", "row")
+
+
+def single(found: DataFrame, prefix: str) -> DataFrame:
+    """(file, n, values: map) for each block that is no loop."""
+    flat, keys = F.regexp_replace("body", r"\r?\n", " "), keyed(prefix)
     values = F.transform(F.regexp_extract_all(flat, F.lit(rf"{prefix}\.\S+\s+('[^']*'|\"[^\"]*\"|\S+)"), 1), lambda x: F.get(cells(x), 0))
-    single = blocks.where(~loop).select("file", (F.col("block").cast("long") * (1 << 32)).alias("n"), F.map_from_arrays(keyed, F.slice(F.concat(values, F.array_repeat(F.lit(""), F.size(keyed))), F.lit(1), F.size(keyed))).alias("values"))
-    return looped.unionByName(single)
+    return found.where(~F.startswith("body", F.lit("loop_"))).select("file", (F.col("block").cast("long") * (1 << 32)).alias("n"), F.map_from_arrays(keys, F.slice(F.concat(values, F.array_repeat(F.lit(""), F.size(keys))), F.lit(1), F.size(keys))).alias("values"))
+
+
+def category(texts: DataFrame, prefix: str) -> DataFrame:
+    """(file, n, values: map) of a category, whether it is a loop or single keys with values after them."""
+    found = blocks(texts, prefix)
+    values = F.slice(F.concat(cells(F.col("row")), F.array_repeat(F.lit(""), F.size("keys"))), F.lit(1), F.size("keys"))
+    return looped(found, prefix).select("file", "n", F.map_from_arrays("keys", values).alias("values")).unionByName(single(found, prefix))
 
 
 def atoms(texts: DataFrame) -> DataFrame:
-    """Atom rows with a whole-number residue: asym, auth, entity, residue."""
-    rows = category(texts, "_atom_site").where(F.col("values")["group_PDB"].isin("ATOM", "HETATM"))
-    v = lambda k: F.coalesce(F.col("values")[k], F.lit(""))
-    return rows.select("file", "n", v("label_asym_id").alias("asym"), v("auth_asym_id").alias("auth"), v("label_entity_id").alias("entity"), v("label_seq_id").try_cast("int").alias("residue")).where("residue is not null")
+    """Atom rows with a whole-number residue: asym, auth, entity, residue.
+
+    A row of a loop is split into cells once, and those that are asked for are read at their keys' places: no map is made for it.
+    """
+    names = ("group_PDB", "label_asym_id", "auth_asym_id", "label_entity_id", "label_seq_id")
+    found = blocks(texts, "_atom_site")
+    # a map refuses a key that stands twice, and so does this
+    row = F.when(F.size(F.array_distinct("keys")) < F.size("keys"), F.raise_error(F.lit("a key of _atom_site stands twice"))).otherwise(F.col("row"))
+    split = looped(found, "_atom_site").select("file", "n", "keys", F.explode(F.array(raw_cells(row))).alias("c"))
+    at = lambda k: F.array_position("keys", k).cast("int")
+    many = split.select("file", "n", *(F.when(at(k) > 0, F.coalesce(bare(F.get("c", at(k) - 1)), F.lit(""))).otherwise("").alias(k) for k in names))
+    few = single(found, "_atom_site").select("file", "n", *(F.coalesce(F.col("values")[k], F.lit("")).alias(k) for k in names))
+    rows = many.unionByName(few).where(F.col("group_PDB").isin("ATOM", "HETATM"))
+    return rows.select("file", "n", F.col("label_asym_id").alias("asym"), F.col("auth_asym_id").alias("auth"), F.col("label_entity_id").alias("entity"), F.col("label_seq_id").try_cast("int").alias("residue")).where("residue is not null")
 
 
 def chains(texts: DataFrame) -> DataFrame:
