@@ -75,3 +75,6 @@ CARRIERS: dict[str, tuple[tuple[str, ...], str]] = {
     # a cache of computed inputs by exact sequence: equal texts are equal sequences
     "cache": (("documents",), """SELECT doc_id AS ord, text AS sequence, CASE WHEN n_chars % 3 = 0 THEN 1 ELSE 2 END AS n_paths, n_chars % 2 = 0 AS has_hash, source AS source_run, n_chars AS bytes FROM {documents}"""),
 }
+
+#: Carriers whose rows take long, and the key by which the rows of their table are dealt to tasks first.
+DEALT = {"chains": "p_partkey"}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .carriers import CARRIERS
+from .carriers import CARRIERS, DEALT
 
 
 class Tables:
@@ -15,10 +15,15 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def dealt(self, name: str, key: str) -> DataFrame:
+        """A table dealt to tasks by key: few bytes make few splits of a file, however much there is to do for a row."""
+        return getattr(self, name).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in CARRIERS:
             tables, sql = CARRIERS[name]
-            return self.spark.sql(sql.format(**{t: "{" + t + "}" for t in tables}), **{t: getattr(self, t) for t in tables})
+            got = {t: self.dealt(t, DEALT[name]) if name in DEALT else getattr(self, t) for t in tables}
+            return self.spark.sql(sql.format(**{t: "{" + t + "}" for t in tables}), **got)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 

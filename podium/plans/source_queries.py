@@ -73,7 +73,7 @@ def _(t):
 @query("src3_html_tables", None)
 def _(t):
     cells = F.array_join(F.transform(F.array(F.col("p_partkey").cast("string"), F.lit("x"), F.col("p_size").cast("string"), F.concat(F.lit("T"), (1000 + F.col("p_partkey") % 9000).cast("string"), F.lit("-D1: 3-"), F.col("p_size").cast("string")), F.lit("12"), F.lit("easy 1abc")), lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))), "")
-    return texts.domain_summary(t.part.select(F.col("p_partkey").cast("string").alias("file"), F.concat(F.lit("<table><tr>"), cells, F.lit("</tr></table>")).alias("text")))
+    return texts.domain_summary(t.dealt("part", "p_partkey").select(F.col("p_partkey").cast("string").alias("file"), F.concat(F.lit("<table><tr>"), cells, F.lit("</tr></table>")).alias("text")))
 
 
 @query("src3_page_tables", None)
