@@ -40,16 +40,17 @@ def top(ranked: DataFrame, n: int, *, by: str = "category") -> DataFrame:
 
 def target_stats(rows: DataFrame, *, server_suffix: str = "s") -> DataFrame:
     """For each (category, target): rows, groups, server groups, and the best group with its score, the first on ties."""
+    # groups first, so that distinct ones are counted without a copy of the rows for each count
     server = F.col("grp").endswith(server_suffix)
-    first = F.struct("score", -F.col("ord"))
-    return rows.groupBy("category", "target").agg(
-        F.count(F.lit(1)).alias("scored_rows"),
-        F.count_distinct("grp").alias("group_count"),
-        F.count_distinct(F.when(server, F.col("grp"))).alias("server_group_count"),
-        F.max_by("grp", first).alias("best_group"),
-        F.max("score").alias("best_score"),
-        F.max_by(F.when(server, F.col("grp")), F.when(server, first)).alias("server_best_group"),
-        F.array_join(F.array_sort(F.collect_set("metric")), ",").alias("metrics"),
+    groups = rows.groupBy("category", "target", "grp").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("score", (-F.col("ord")).alias("minus"))).alias("first"), F.collect_set("metric").alias("metrics"))
+    return groups.groupBy("category", "target").agg(
+        F.sum("n").alias("scored_rows"),
+        F.count("grp").alias("group_count"),
+        F.count_if(server).alias("server_group_count"),
+        F.max_by("grp", "first").alias("best_group"),
+        F.max("first.score").alias("best_score"),
+        F.max_by(F.when(server, F.col("grp")), F.when(server, F.col("first"))).alias("server_best_group"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("metrics")))), ",").alias("metrics"),
     )
 
 
