@@ -268,7 +268,9 @@ def repaired(tasks: DataFrame, targets: DataFrame, records: DataFrame, *, limit:
     index = rows.select("name", F.explode(F.filter(F.array_distinct(F.concat(task_aliases(F.col("name")), F.array("lookup", "official"))), lambda a: a != "")).alias("alias"))
     covered = tasks.select(F.explode(task_aliases(F.col("name"))).alias("alias")).distinct().join(index, "alias").select("name").unionByName(tasks.select(F.upper(F.trim("name")).alias("name"))).distinct()
     needy = own.join(covered, "name", "left_anti")
-    seeds = F.array_distinct(F.flatten(F.array(*(repair_aliases(F.col(c)) for c in ("name", "lookup", "official")))))
+    # a blank id has no aliases to be worked out
+    of = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(repair_aliases(F.col(c)))
+    seeds = F.array_distinct(F.flatten(F.array(*(of(c) for c in ("name", "lookup", "official")))))
     ids = F.concat(F.array(F.upper("record_id")), F.transform(F.split(F.coalesce("target_ids", F.lit("")), ","), lambda x: F.upper(F.trim(x))))
     known = records.where(is_protein_record()).select("ord", "record_id", "target_ids", "sequence_kind", F.regexp_replace(F.upper("sequence"), r"\s+", "").alias("sequence"), F.explode(F.filter(F.array_distinct(ids), lambda x: x != "")).alias("alias"))
     met = needy.select("name", F.posexplode(seeds).alias("place", "alias")).join(known.withColumnRenamed("ord", "at"), "alias")
