@@ -2,14 +2,15 @@
 
 The rule is one task after the other, but tasks of one size are alike, so that whole size classes are dealt at once: shards
 with the same load and count are one entry of a heap, an entry takes as many rounds as keep it smallest, and once all loads lie within one task's size
-shards take turns in a fixed cycle. What a class is dealt is a few segments of its ranks; tasks find theirs in a join. One group holds the sizes of a
-pool (at most as many as its largest size), none holds its tasks.
+shards take turns in a fixed cycle. What a class is dealt is a few segments of its ranks; tasks find theirs in a join. The sizes of a pool (at most as
+many as its largest size) pass through one task in order, and segments leave it by the batch: it keeps the open shards of one pool, neither sizes nor tasks.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import accumulate, chain
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -19,6 +20,8 @@ from .ranks import importable, placed
 
 #: ranks of a class that share one key of the join
 BLOCK = 64
+#: runs of shards after which a batch of segments is handed on
+RUNS = 10_000
 
 
 class Segment(NamedTuple):
@@ -116,23 +119,56 @@ class Deal:
         return Segment(at, taken, 1, width, [(0, first)])
 
 
-def dealt(tasks: DataFrame, **how) -> DataFrame:
-    import pandas as pd
+def in_batches(rows: Iterator[tuple], pool_type) -> Iterator:
+    """(pool, tokens, Segment) as Arrow batches of about RUNS runs of shards."""
+    import pyarrow as pa
+
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        runs = [r for _, _, s in held for r in s.ranges]
+        ends = pa.array(accumulate((len(s.ranges) for _, _, s in held), initial=0), pa.int32())
+        places = pa.StructArray.from_arrays([pa.array([r[k] for r in runs], pa.int64()) for k in (0, 1)], names=["place", "shard"])
+        numbers = [pa.array(x, pa.int64()) for x in zip(*((size, s.start, s.count, s.per, s.width) for _, size, s in held), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in held], pool_type), *numbers, pa.ListArray.from_arrays(ends, places)], names=["pool", "tokens", "start", "count", "per", "width", "ranges"])
+
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += len(row[2].ranges)
+        if n >= RUNS:
+            yield batch(held)
+            held, n = [], 0
+    if held:
+        yield batch(held)
 
+
+def dealt(tasks: DataFrame, **how) -> DataFrame:
     importable(tasks.sparkSession)
     own = tasks.select("pool", "name", "ord", F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"))
     ranked = placed(own, ["pool", "tokens"], ["ord", "name"], "rank").withColumn("rank", F.col("rank") - 1)
     classes = own.groupBy("pool", "tokens").agg(F.count(F.lit(1)).alias("n"))
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tokens", ascending=False)
-        sizes, counts, pool = pdf["tokens"].tolist(), pdf["n"].tolist(), pdf["pool"].iloc[0]
-        state = Deal(least=sizes[-1], **how)
-        rows = [(pool, size, s.start, s.count, s.per, s.width, [{"place": p, "shard": i} for p, i in s.ranges]) for size, n in zip(sizes, counts, strict=True) for s in state.give(size, n)]
-        return pd.DataFrame(rows, columns=["pool", "tokens", "start", "count", "per", "width", "ranges"])
+    least = classes.groupBy(F.col("pool").alias("of")).agg(F.min("tokens").alias("least"))
+    in_order = classes.join(least, F.col("pool").eqNullSafe(F.col("of"))).select("pool", "tokens", "n", "least").repartition("pool").sortWithinPartitions("pool", F.desc("tokens"))
+
+    def deal(batches):
+        kind = None
+
+        def given():
+            nonlocal kind
+            state = None
+            for b in batches:
+                kind = b.schema.field("pool").type
+                for pool, size, n, low in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if state is None or pool != last:
+                        state, last = Deal(least=low, **how), pool
+                    for s in state.give(size, n):
+                        yield pool, size, s
+
+        rows = given()
+        for first in rows:  # the type of pools is known once there is one
+            yield from in_batches(chain([first], rows), kind)
 
     kind = own.schema["pool"].dataType.simpleString()
-    segments = classes.groupBy("pool").applyInPandas(deal, f"pool {kind}, tokens long, start long, count long, per long, width long, ranges array<struct<place:long,shard:int>>")
+    segments = in_order.mapInArrow(deal, f"pool {kind}, tokens long, start long, count long, per long, width long, ranges array<struct<place:long,shard:long>>")
     blocks = segments.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("count") - 1) / BLOCK))))
     own_, seg = ranked.withColumn("block", F.floor(F.col("rank") / BLOCK)).alias("t"), blocks.alias("s")
     here = F.col("t.pool").eqNullSafe(F.col("s.pool")) & (F.col("t.tokens") == F.col("s.tokens")) & (F.col("t.block") == F.col("s.block")) & F.col("t.rank").between(F.col("s.start"), F.col("s.start") + F.col("s.count") - 1)
