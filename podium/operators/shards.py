@@ -39,12 +39,14 @@ class Deal:
 
     def __init__(self, *, shards: int | None, max_tasks: int | None = None, max_tokens: int | None = None, least: int = 0):
         self.heap = [(0, 0, 1, shards)] if shards else []
+        self.live = shards or 0  # shards in the heap
         self.opened, self.max_tasks, self.max_tokens, self.least = shards or 0, max_tasks, max_tokens, least
 
     def push(self, load: int, tasks: int, first: int, width: int) -> None:
         """Shards that can take nothing more are left out."""
         if width and not (self.max_tasks is not None and tasks >= self.max_tasks) and not (self.max_tokens is not None and load + self.least > self.max_tokens):
             heapq.heappush(self.heap, (load, tasks, first, width))
+            self.live += width
 
     def most_rounds(self, size: int, load: int, tasks: int) -> int | None:
         """Tasks of a size that a shard can still take; None without a bound."""
@@ -77,7 +79,7 @@ class Deal:
 
     def cycles(self, size: int, at: int, count: int) -> Segment | None:
         """Whole turns of all shards whose loads are closer than the size; of a size of 0, of the smallest, if they hold equally many tasks."""
-        if count < 2 * sum(e[3] for e in self.heap[:1]) or len(self.heap) < 2:
+        if count < 2 * (self.live if size else self.heap[0][3]) or len(self.heap) < 2:
             return None
         low = self.heap[0][0]
         turn = sorted(self.heap if size else (e for e in self.heap if e[0] == low))
@@ -95,6 +97,7 @@ class Deal:
             place += e[3]
         self.heap = rest
         heapq.heapify(self.heap)
+        self.live -= width
         for load, tasks, first, w in turn:
             self.push(load + n * size, tasks + n, first, w)
         return Segment(at, n * width, 1, width, ranges)
@@ -102,6 +105,7 @@ class Deal:
     def rounds(self, size: int, at: int, count: int) -> Segment:
         """The smallest shards take turns for as long as they stay the smallest."""
         load, tasks, first, width = heapq.heappop(self.heap)
+        self.live -= width
         n = count
         if self.heap:
             load2, tasks2, first2, _ = self.heap[0]
