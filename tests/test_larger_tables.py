@@ -199,3 +199,25 @@ def test_many_open_shards_are_not_gone_through_for_each_size():
         for _ in deal.give(size, 7):
             pass
     assert len(deal.heap) > 1_000 and Heap.read < 100 and deal.live == sum(e[3] for e in list.__iter__(deal.heap))
+
+
+def test_no_edges_start_no_workers(spark, tmp_path):
+    """op2, pipeline: an empty table of components doesn't come from Python, whose workers would stay beside the others."""
+    from podium.llm import common
+
+    got = common.components(common.Scratch(spark), spark.range(3).selectExpr("id as a", "id as b"))
+    assert got.columns == ["id", "component"] and got.collect() == []
+    assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_remembered_words_stay_few():
+    """op2, pipeline: each worker of a core remembers words for some 6 MB at most."""
+    from podium.llm import common
+
+    memory = common.WordHash()
+    assert memory[b"w0"] == common.word_hashes([b"w0"])[0]
+    most = 0
+    for i in range(120_000):
+        memory[b"w%d" % i]
+        most = max(most, len(memory))
+    assert most <= 50_000
