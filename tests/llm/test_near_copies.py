@@ -168,3 +168,17 @@ def test_line_signature_holds_no_bands(spark):
         sides = [(int.from_bytes(bytes(b[:8]), "little", signed=True), int.from_bytes(bytes(b[8:]), "little", signed=True)) for b in (list(range(100, 116)), other)]
         pair = spark.range(1).select(*(F.lit(v).alias(f"{s}s{i}") for s, two in zip("ab", sides) for i, v in enumerate(two)))
         assert pair.where(line_dedup.agreeing()).count() == (k >= line_dedup.AGREE)
+
+
+def test_lines_pair_is_made_once(spark):
+    """op6, pipeline: a pair of lines that meets in several bands is made in the first of them, and in no other."""
+    from podium.llm import line_dedup
+
+    names = [f"k{b}" for b in range(len(line_dedup.BANDS) - 1)]
+    held = [{b for b in range(12) if (7919 * (i + 1) >> b) & 1} for i in range(20)]
+    row = lambda i, b: (i, b, *(16 * (b2 % 3) + b2 if b2 in held[i] else None for b2 in range(11)))
+    sides = [spark.createDataFrame([row(i, b) for i in range(20) for b in held[i]], f"{s}node long, band long, " + ", ".join(f"{s}{k} long" for k in names)) for s in "ab"]
+    left, right, first = line_dedup.first_met(*sides, names)
+    met = left.join(right, "band").where("anode < bnode").where(first).select("anode", "bnode", "band")
+    want = {(i, j, min(held[i] & held[j])) for i in range(20) for j in range(i + 1, 20) if held[i] & held[j]}
+    assert sorted(map(tuple, met.collect())) == sorted(want)
